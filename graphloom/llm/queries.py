@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import provenance, secrets
+from graphloom.llm import leaks, mixing, provenance, secrets, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,41 @@ def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("repo_id", "file_id", "blob_sha", "path", "language", "reason", F.round("containment", 6).alias("containment"), "origin")
 
 
-QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p7_found": p7_found, "p7_reasons": p7_reasons}
-ORACLE: dict[str, str] = {}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout")).select("item_id", "doc_id").distinct()
+
+
+def p8_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.removal_spans(leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout")))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_target")
+    return mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p9_shares_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached when as many tokens are asked for as one pass holds."""
+    targets = table(spark, sf_dir, "mix_target")
+    return mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets, budget=mixing.ONE_PASS), targets)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_parts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_masked, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
+_PHRASES = """WITH w AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x)) AS words FROM heldout),
+d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x)) AS words FROM documents),
+i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),
+p AS (SELECT doc_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM d))
+"""
+ORACLE: dict[str, str] = {"p8_found": _PHRASES + "SELECT DISTINCT item_id, doc_id FROM i JOIN p USING (phrase)"}
