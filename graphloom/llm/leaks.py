@@ -106,6 +106,8 @@ class FMIndex:
     """FM-index of a word string: first-column counts, wavelet tree of the last column, sampled positions."""
 
     def __init__(self, seq: np.ndarray, symbols: int):
+        # A least symbol of its own ends the string, so that steps back agree with the order of suffixes.
+        seq, symbols = np.append(seq + 1, 0), symbols + 1
         order = suffix_order(seq)
         self.n = len(seq)
         self.tree = WaveletTree(seq[order - 1].astype(np.int64), symbols)
@@ -118,14 +120,14 @@ class FMIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrase, lo, hi): the suffix ranges of the phrases that occur, each a row of word ids."""
         alive = np.arange(len(phrases))
-        last = phrases[:, -1]
+        last = phrases[:, -1] + 1
         lo, hi = self.first[last], self.first[last + 1]
         for step in range(phrases.shape[1] - 2, -1, -1):
             keep = lo < hi
             alive, lo, hi = alive[keep], lo[keep], hi[keep]
             if not len(alive):
                 break
-            symbol = phrases[alive, step]
+            symbol = phrases[alive, step] + 1
             _, before, until = self.tree.rank(symbol, lo, hi)
             lo, hi = self.first[symbol] + before, self.first[symbol] + until
         keep = lo < hi
