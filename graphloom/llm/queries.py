@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, mixing, provenance, secrets, spans
+from graphloom.llm import leaks, mixing, pairs, provenance, secrets, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,18 @@ def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.masked_texts(table(spark, sf_dir, "sources"))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairs(*(table(spark, sf_dir, t) for t in ("nodes", "files", "snapshots", "sources")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).filter("origin in ('doc', 'comment')").select("repo_id", "node_id")
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.judged(table(spark, sf_dir, "sources"), table(spark, sf_dir, "upstream")).select("repo_id", "file_id").distinct()
 
@@ -60,7 +72,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_masked, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
 _PHRASES = """WITH w AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x)) AS words FROM heldout),
 d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x)) AS words FROM documents),
 i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),
