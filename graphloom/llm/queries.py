@@ -73,8 +73,8 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
-_PHRASES = """WITH w AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x)) AS words FROM heldout),
-d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x)) AS words FROM documents),
+_PHRASES = """WITH w AS (SELECT item_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM heldout),
+d AS (SELECT DISTINCT doc_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM documents),
 i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),
 p AS (SELECT doc_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM d))
 """
