@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, mixing, pairs, provenance, secrets, spans
+from graphloom.llm import leaks, mixing, pairs, provenance, secrets, spans, syntax
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.parsed(table(spark, sf_dir, "sources")).filter("not valid").select("file_id", "blob_sha")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(syntax.parsed(table(spark, sf_dir, "sources")))
+
+
+def p1_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.against_status(syntax.parsed(table(spark, sf_dir, "sources")), table(spark, sf_dir, "files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_lines(table(spark, sf_dir, "sources")).select("file_id", "blob_sha", "line_no").distinct()
 
@@ -72,7 +84,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_status, p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
 _PHRASES = """WITH w AS (SELECT item_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM heldout),
 d AS (SELECT DISTINCT doc_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM documents),
 i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),
