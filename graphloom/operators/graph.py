@@ -97,12 +97,68 @@ def nearest_visible(levels: DataFrame, shown: DataFrame, nodes: DataFrame) -> Da
     return there.groupBy("node").agg(F.min_by("ancestor", F.struct("level", "ancestor")).alias("shown"))
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
+LOCAL_EDGES = 500_000
+
+
+def _local_components(live: DataFrame) -> DataFrame:
+    """Components of a graph known to be small, by one depth-first pass in one task."""
+    kind = live.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        frames = [b for b in batches if len(b)]
+        ahead: dict = {}
+        for f in frames:
+            for a, b in zip(f["src"], f["dst"]):
+                ahead.setdefault(a, []).append(b)
+                ahead.setdefault(b, [])
+        index: dict = {}
+        low: dict = {}
+        stack, held, out = [], set(), []
+        for start in ahead:
+            if start in index:
+                continue
+            work = [(start, iter(ahead[start]))]
+            index[start] = low[start] = len(index)
+            stack.append(start)
+            held.add(start)
+            while work:
+                node, todo = work[-1]
+                for nxt in todo:
+                    if nxt not in index:
+                        index[nxt] = low[nxt] = len(index)
+                        stack.append(nxt)
+                        held.add(nxt)
+                        work.append((nxt, iter(ahead[nxt])))
+                        break
+                    if nxt in held:
+                        low[node] = min(low[node], index[nxt])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                    if low[node] == index[node]:
+                        members = []
+                        while True:
+                            x = stack.pop()
+                            held.discard(x)
+                            members.append(x)
+                            if x == node:
+                                break
+                        out += [(x, max(members)) for x in members]
+        yield pd.DataFrame(out, columns=["node", "component"])
+
+    return live.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 200, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component): component is the greatest node that reaches the others and back.
 
-    Colouring: greatest labels spread forward; inside one colour, what reaches
-    the label's own node backward is its component; found components leave.
-    Nodes without edges in or out of the rest leave first.
+    Nodes without edges in or out of the rest leave first.  What is left goes to
+    one task if it is counted to be small (``local_edges``); beyond that greatest
+    labels spread forward, and inside one colour what reaches the label's own
+    node backward is its component.
     """
     e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     every = e.select(F.col("src").alias("node")).union(e.select("dst"))
@@ -122,6 +178,10 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rou
                 break
         if not after:
             break
+        if after <= local_edges:
+            found = _local_components(live)
+            out = found if out is None else out.unionByName(found)
+            break
         color = materialise(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("color", F.col("node")), "scc-color")
         changed = color
         while True:
