@@ -297,7 +297,7 @@ def flt_permitted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(ctes("latest", "g_files") + """, p AS (SELECT repo_id, split_part(path, '/', 1) AS top, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM g_files WHERE position('/' IN path) > 0),
-e AS (SELECT repo_id, top, ext, count(*) AS n, row_number() OVER (PARTITION BY repo_id, top ORDER BY count(*) DESC, ext) AS r FROM p GROUP BY ALL)
+e AS (SELECT repo_id, top, ext, count(*) AS n, row_number() OVER (PARTITION BY repo_id, top ORDER BY count(*) DESC, ext) AS r FROM p GROUP BY repo_id, top, ext)
 SELECT repo_id, top, CAST(sum(n) AS BIGINT) AS files, array_to_string(list(ext ORDER BY r) FILTER (WHERE r <= 3), ',') AS extensions FROM e GROUP BY repo_id, top""")
 def flt_tree(spark: SparkSession, d: str) -> DataFrame:
     """First directory level with file counts and the three commonest extensions."""
