@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.rows import col
+from graphloom.plans.shared import materialise
 
 K1, B = 1.2, 0.75
 
@@ -23,7 +24,7 @@ def bm25(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """
     terms = sorted({t.lower() for t in terms})
     counted = df.select(col(key).alias(key), tokens(col(text)).alias("__t"))
-    counted = counted.select(key, F.size("__t").alias("__n"), *(F.size(F.filter("__t", lambda x, t=t: x == t)).alias(f"__f{i}") for i, t in enumerate(terms)))
+    counted = counted.select(key, F.size("__t").alias("__n"), *((F.size("__t") - F.size(F.array_remove("__t", t))).alias(f"__f{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("__all"), F.avg("__n").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))))
     both = counted.crossJoin(F.broadcast(stats))  # one row beside each text
     score = F.lit(0.0)
@@ -49,8 +50,8 @@ def fuzzy(df: DataFrame, key: str, weights: dict[str, float], query: str, thresh
     return df.select(col(key).alias(key), score.alias("score")).filter(F.col("score") <= threshold)
 
 
-def shingle_hashes(text: Column, width: int) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+def shingle_hashes(words: str, width: int) -> Column:
+    """Distinct hashes of all runs of ``width`` words of an array column; a column, not an expression, for it is read once per run."""
     runs = F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
     return F.array_distinct(F.coalesce(runs, F.array().cast("array<bigint>")))
 
@@ -67,7 +68,9 @@ def similar_classes(df: DataFrame, key: str, text: str, *, threshold: float = 0.
     hashed = rows.select("id", F.md5("text").alias("m"))
     reps = hashed.groupBy("m").agg(F.min("id").alias("class_id"))
     members = hashed.join(reps, "m").select(F.col("id").alias(key), "class_id")
-    sets = rows.join(reps.select(F.col("class_id").alias("id")), "id", "left_semi").select("id", shingle_hashes(F.col("text"), width).alias("s")).filter("size(s) > 0")
+    sets = rows.join(reps.select(F.col("class_id").alias("id")), "id", "left_semi")
+    sets = sets.select("id", F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "").alias("words")).select("id", shingle_hashes("words", width).alias("s")).filter("size(s) > 0")
+    sets = materialise(sets, "shingles")
     df_counts = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     ranked = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h")).join(df_counts, "h")
     order = Window.partitionBy("id").orderBy("df", "h")
