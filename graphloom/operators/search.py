@@ -50,10 +50,16 @@ def fuzzy(df: DataFrame, key: str, weights: dict[str, float], query: str, thresh
     return df.select(col(key).alias(key), score.alias("score")).filter(F.col("score") <= threshold)
 
 
-def shingle_hashes(words: str, width: int) -> Column:
-    """Distinct hashes of all runs of ``width`` words of an array column; a column, not an expression, for it is read once per run."""
-    runs = F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
-    return F.array_distinct(F.coalesce(runs, F.array().cast("array<bigint>")))
+def shingle_hashes(text: Column, width: int) -> Column:
+    """Distinct hashes of all runs of ``width`` words.
+
+    The words are bound to a lambda's variable, so they are split once per text
+    and not once per run.
+    """
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, width), " ")))
+    bound = F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= width, F.array_distinct(runs(ws))))
+    return F.coalesce(F.element_at(bound, 1), F.array().cast("array<bigint>"))
 
 
 def similar_classes(df: DataFrame, key: str, text: str, *, threshold: float = 0.85, width: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +75,7 @@ def similar_classes(df: DataFrame, key: str, text: str, *, threshold: float = 0.
     reps = hashed.groupBy("m").agg(F.min("id").alias("class_id"))
     members = hashed.join(reps, "m").select(F.col("id").alias(key), "class_id")
     sets = rows.join(reps.select(F.col("class_id").alias("id")), "id", "left_semi")
-    sets = sets.select("id", F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "").alias("words")).select("id", shingle_hashes("words", width).alias("s")).filter("size(s) > 0")
-    sets = materialise(sets, "shingles")
+    sets = materialise(sets.select("id", shingle_hashes(F.col("text"), width).alias("s")), "shingles").filter("size(s) > 0")
     df_counts = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     ranked = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h")).join(df_counts, "h")
     order = Window.partitionBy("id").orderBy("df", "h")

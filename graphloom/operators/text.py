@@ -66,11 +66,15 @@ def grep(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
 def grep_context(df: DataFrame, key: str, text: str, pattern: str, around: int) -> DataFrame:
     """Matching lines with up to 30 lines on both sides, each line once; texts stay whole, so no self-join is made."""
     around = max(0, min(30, around))
-    parts = F.split(col(text), "\n")
-    hits = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.element_at("parts", i + 1).rlike(f"(?i){pattern}"))
-    near = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(F.lit(0), i - around), F.least(F.size("parts") - 1, i + around)))))
-    found = df.filter(col(text).isNotNull()).select(col(key).alias(key), parts.alias("parts")).withColumn("hits", hits).filter("size(hits) > 0")
-    return found.select(col(key), "parts", F.explode(near).alias("i")).select(col(key), (F.col("i") + 1).alias("line_no"), F.element_at("parts", F.col("i") + 1).alias("line")).distinct()
+
+    def near(ps: Column) -> Column:
+        hits = F.filter(F.transform(ps, lambda line, i: F.when(line.rlike(f"(?i){pattern}"), i)), lambda i: i.isNotNull())
+        rows = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(F.lit(0), i - around), F.least(F.size(ps) - 1, i + around)))))
+        return F.transform(rows, lambda i: F.struct((i + 1).alias("line_no"), F.element_at(ps, i + 1).alias("line")))
+
+    # The lines are bound to a lambda's variable, so a text is split once and not once per line.
+    found = df.filter(col(text).rlike(f"(?i){pattern}")).select(col(key).alias(key), F.explode(F.element_at(F.transform(F.array(F.split(col(text), "\n")), near), 1)).alias("x"))
+    return found.select(col(key), "x.line_no", "x.line").distinct()
 
 
 def excerpt(text: Column, first: int, last: int) -> Column:
