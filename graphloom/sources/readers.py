@@ -2,25 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.text import classified, detected_language, unportable
+from graphloom.plans.shared import materialise
+
 
+EXCLUDED = r"(^|/)(\.git|\.hg|\.svn|\.venv|node_modules|__pycache__|target)$"
 
-def directory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, size_bytes, language, outcome, content) of the files under ``root``, hidden folders left out.
 
-    Contents of secret, large and binary files are withheld; listing and reading
-    are distributed by the binary file source.
+def directory(spark: SparkSession, root: str, *, deepest: int = 64) -> DataFrame:
+    """(path, size_bytes, language, outcome, content) of the files under ``root``.
+
+    Folders are listed level by level on the executors, through Arrow's file
+    systems: Spark's own file index hides names that begin with a dot or an
+    underscore, which in a source tree are files like others.  Symbolic links
+    are not followed; contents of secret, large, binary and unportable files
+    are withheld.
     """
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    prefix = "^.*?" + root.rstrip("/").replace("file://", "").replace(".", r"\.") + "/"
-    f = b.select(F.regexp_replace("path", prefix, "").alias("path"), F.col("length").alias("size_bytes"), "content").filter(~F.col("path").rlike(r"(^|/)\.(git|hg|svn|venv)/|(^|/)(node_modules|__pycache__|target)/"))
-    f = classified(detected_language(f).withColumnRenamed("detected", "language"))
-    binary = F.instr(F.substring(F.decode(F.col("content"), "ISO-8859-1"), 1, 8192), "\x00") > 0
-    f = f.withColumn("outcome", F.when(F.col("outcome") == "redacted", "redacted").when(unportable(F.col("path")), "unportable").when(F.col("outcome") == "skipped", "skipped").when(binary, "binary").otherwise("candidate"))
-    return f.withColumn("content", F.when(F.col("outcome") == "candidate", F.decode("content", "UTF-8")))
+    base = root.rstrip("/")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        for b in batches:
+            rows = []
+            for folder in b["path"]:
+                fs, inside = pyarrow.fs.FileSystem.from_uri(base) if "://" in base else (pyarrow.fs.LocalFileSystem(), base)
+                for info in fs.get_file_info(pyarrow.fs.FileSelector(f"{inside}/{folder}".rstrip("/"))):
+                    if isinstance(fs, pyarrow.fs.LocalFileSystem) and os.path.islink(info.path):
+                        continue
+                    path = f"{folder}/{info.base_name}".lstrip("/")
+                    rows.append((path, info.type == pyarrow.fs.FileType.Directory, info.size or 0))
+            yield pd.DataFrame(rows, columns=["path", "folder", "size_bytes"])
+
+    level = spark.createDataFrame([("",)], "path string")
+    found = None
+    for _ in range(deepest):
+        here = materialise(level.mapInPandas(listed, "path string, folder boolean, size_bytes long"), "listing")
+        files = here.filter("not folder").select("path", "size_bytes")
+        found = files if found is None else found.unionByName(files)
+        level = here.filter("folder").filter(~F.col("path").rlike(EXCLUDED)).select("path").repartition("path")
+        if level.isEmpty():
+            break
+    f = classified(detected_language(found).withColumnRenamed("detected", "language"))
+    f = f.withColumn("outcome", F.when(F.col("outcome") == "redacted", "redacted").when(unportable(F.col("path")), "unportable").otherwise(F.col("outcome")))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            content, outcome = [], []
+            for path, was in zip(b["path"], b["outcome"]):
+                raw = None
+                if was == "candidate":
+                    fs, inside = pyarrow.fs.FileSystem.from_uri(base) if "://" in base else (pyarrow.fs.LocalFileSystem(), base)
+                    with fs.open_input_stream(f"{inside}/{path}") as stream:
+                        raw = stream.read()
+                    if b"\x00" in raw[:8192]:
+                        raw, was = None, "binary"
+                content.append(raw.decode("utf-8", "replace") if raw is not None else None)
+                outcome.append(was)
+            yield b.assign(content=content, outcome=outcome)
+
+    return f.select("path", "size_bytes", "language", "outcome").mapInPandas(read, "path string, size_bytes long, language string, outcome string, content string")
 
 
 def numstat(log: DataFrame, column: str = "value") -> DataFrame:
@@ -48,7 +96,7 @@ def spans(traces: DataFrame, column: str = "value") -> DataFrame:
     """(trace, service, peer, ts) of server-to-server spans in OTLP/JSON rows."""
     schema = "resourceSpans array<struct<resource: struct<attributes: array<struct<key: string, value: struct<stringValue: string>>>>, scopeSpans: array<struct<spans: array<struct<traceId: string, startTimeUnixNano: string, attributes: array<struct<key: string, value: struct<stringValue: string>>>>>>>>>"
     parsed = traces.select(F.explode(F.from_json(column, schema)["resourceSpans"]).alias("r"))
-    attr = lambda attrs, keys: F.element_at(F.transform(F.filter(attrs, lambda a: a["key"].isin(*keys)), lambda a: a["value"]["stringValue"]), 1)
+    attr = lambda attrs, keys: F.try_element_at(F.transform(F.filter(attrs, lambda a: a["key"].isin(*keys)), lambda a: a["value"]["stringValue"]), F.lit(1))
     flat = parsed.select(attr(F.col("r.resource.attributes"), ["service.name"]).alias("service"), F.explode(F.flatten(F.col("r.scopeSpans.spans"))).alias("s"))
     out = flat.select(F.col("s.traceId").alias("trace"), "service", attr(F.col("s.attributes"), ["peer.service", "server.address"]).alias("peer"), F.timestamp_micros((F.col("s.startTimeUnixNano").cast("bigint") / 1000).cast("bigint")).alias("ts"))
     return out.filter("service is not null and peer is not null")
