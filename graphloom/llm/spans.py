@@ -213,11 +213,14 @@ def _large_groups(rows: DataFrame, length: int, gram: int) -> DataFrame:
     wide = rows.withColumn("o", F.explode(F.sequence(F.lit(back) - F.col("left"), F.lit(back) - F.col("left") + F.length("around") - length)))
     wide = wide.filter(f"o <= {back}").withColumn("stretch", F.expr(f"substring(around, o - ({back} - left) + 1, {length})"))
     wide = wide.withColumn("before", F.expr(f"CASE WHEN o > {back} - left AND o > 0 THEN substring(around, o - ({back} - left), 1) END"))
-    side = wide.select("h", "o", "doc_id", "at", F.md5("stretch").alias("key"), "before")
+    wide = wide.withColumn("after", F.expr(f"nullif(substring(around, o - ({back} - left) + {length} + 1, 1), '')"))
+    side = wide.select("h", "o", "doc_id", "at", F.md5("stretch").alias("key"), "before", "after")
     a, b = side.alias("a"), side.alias("b")
     same = (F.col("a.h") == F.col("b.h")) & (F.col("a.o") == F.col("b.o")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    fresh = F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before")) | (F.col("a.o") == back)
-    out = a.join(b, same & fresh)
+    # The first and the last offset of a run of matches; between them lie fewer than ``length``, so the two stretches cover the run.
+    first = F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
+    last = F.col("a.after").isNull() | F.col("b.after").isNull() | (F.col("a.after") != F.col("b.after")) | (F.col("a.o") == back)
+    out = a.join(b, same & (first | last))
     return out.select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"), (F.col("a.at") - back + F.col("a.o")).cast("int").alias("from_a"), (F.col("b.at") - back + F.col("b.o")).cast("int").alias("from_b"), F.lit(length).cast("int").alias("chars"))
 
 
