@@ -35,7 +35,7 @@ from graphloom.plans.shared import materialise
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's public split pattern.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 256
+BUCKET_ROWS = 20_000
 ONE_PASS = -1
 
 
@@ -77,20 +77,21 @@ def mixture(documents: DataFrame, targets: DataFrame, *, budget: int | None = No
     docs = documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").filter("doc_id is not null and text <> ''")
     docs = docs.join(wanted.select("source"), "source", "left_semi").select("doc_id", "source", "text")
     sized = materialise(token_counts(docs, tokenizer_path).filter("tokens > 0").groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")), "tokens")
+    parts = max(256, sized.count() // BUCKET_ROWS)
     sums = sized.groupBy("source").agg(F.sum("tokens").alias("pass_tokens"))
     live = wanted.join(sums, "source")
     if budget is None or budget == ONE_PASS:
         dry = F.min(F.col("pass_tokens") * F.col("repeats") / F.col("weight")) * F.sum("weight")
         one = live.agg(F.sum("pass_tokens").alias("one"), F.floor(dry).alias("dry")).first()
         budget = (one["one"] if budget == ONE_PASS else one["dry"]) or 0
-    shuffled = sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("order", 56))
-    shuffled = shuffled.withColumn("order", F.shiftrightunsigned("order", 1))
+    shuffled = sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+    shuffled = shuffled.withColumn("order", F.shiftrightunsigned("order", 1)).withColumn("bucket", F.floor(F.col("order") / (2**63 / parts)).cast("long"))
     queued = running_totals(shuffled, ["source"], "bucket", ["order", "doc_id"], "tokens", "sent")
     # A source needs at most as many passes as its share of the budget, were it alone, could take.
     queued = queued.join(live, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.col("repeats").cast("bigint"), F.ceil(F.lit(budget) / F.col("pass_tokens"))).cast("int") - 1)))
     queued = queued.withColumn("finish", (F.col("copy") * F.col("pass_tokens") + F.col("sent")) / F.col("weight"))
     last = queued.agg(F.max("finish").alias("last"))
-    queued = queued.crossJoin(F.broadcast(last)).withColumn("slot", F.floor(F.col("finish") / F.col("last") * (BUCKETS * 16 - 1)).cast("int"))  # one row beside each document
+    queued = queued.crossJoin(F.broadcast(last)).withColumn("slot", F.floor(F.col("finish") / F.col("last") * (parts * 16)).cast("long"))  # one row beside each document
     ordered = running_totals(queued.select("source", "doc_id", "copy", "tokens", "finish", "slot"), [], "slot", ["finish", "source", "copy", "doc_id"], "tokens", "total")
     return ordered.filter(F.col("total") <= budget).select("source", "doc_id", "copy", "tokens", "finish", "total")
 

@@ -209,7 +209,9 @@ def pairs(nodes: DataFrame, files: DataFrame, snapshots: DataFrame, sources: Dat
     """(repo_id, node_id, qualified_name, signature, kind, origin, description, code)."""
     rows = documented(callables(nodes, files, snapshots), sources).withColumn("overload", normalised_signature(F.col("signature")))
     # The documented declaration of each symbol, whatever file it stands in; the least node_id if there are several.
-    key = Window.partitionBy("repo_id", "qualified_name", "overload")
+    # A symbol without a name is alone, so that nameless rows never meet in one task.
+    symbol = F.coalesce("qualified_name", F.concat(F.lit("#"), "node_id"))
+    key = Window.partitionBy("repo_id", symbol, "overload")
     declared = F.min(F.when(F.col("says"), F.struct("node_id", "doc"))).over(key)
     rows = rows.withColumn("declared", declared)
     description = F.when(F.col("says"), F.col("doc")).when(F.col("doc").isNull(), F.col("declared.doc"))
