@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.rows import col
 from graphloom.plans.shared import materialise, release
 
-_BUCKETS = 64
+_BUCKET_ROWS = 20_000
 
 
 def forest(df: DataFrame, *, group: str, node: str, parent: str, name: str | None = None) -> DataFrame:
@@ -88,12 +88,12 @@ def cycle_roots(nodes: DataFrame) -> DataFrame:
 
 
 def sibling_offsets(sized: DataFrame) -> DataFrame:
-    """(g, id, p, size, offset, ...): exclusive prefix sum of sizes in id order among siblings.
+    """(g, id, p, size, offset, ...): exclusive prefix sums of sizes among siblings, in a fixed order.
 
-    Siblings are cut into buckets by the leading characters of their hashed ids;
-    bucket totals are summed first, then each bucket on its own.
+    Siblings are cut into buckets by their hashed ids, more of them the more rows
+    there are; bucket totals are summed first, then each bucket on its own.
     """
-    b = sized.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(_BUCKETS)))
+    b = sized.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(max(64, sized.count() // _BUCKET_ROWS))))
     totals = b.groupBy("g", "p", "bucket").agg(F.sum("size").alias("t"))
     w = Window.partitionBy("g", "p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("g").alias("t_g"), F.col("p").alias("t_p"), F.col("bucket").alias("t_b"), F.coalesce(F.sum("t").over(w), F.lit(0)).alias("before"))
@@ -129,6 +129,7 @@ def nested_sets(tree: DataFrame, separator: str = "/") -> DataFrame:
     tree = materialise(tree, "forest")
     sized, cyclic = _doubling(tree.select("g", "id", "p", F.lit(1).cast("bigint").alias("size")), ["size"], {}, "sizes")
     whole = tree.join(sized.select("g", "id", "size", F.col("p").isNull().alias("tree")), ["g", "id"])
+    whole = materialise(whole, "sized")
     placed = sibling_offsets(whole.filter("tree").select("g", "id", "p", "name", "size"))
     start = placed.select(
         "g", "id", "p", F.coalesce("p", "id").alias("root"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
