@@ -44,9 +44,10 @@ _ISSUED = re.compile(
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"(?:[\s'\"+,;()]|\\n|\\r|//|#|\*)*((?:[A-Za-z0-9+/=]{16,}))")
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]*://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@")
+_LOGIN = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user|-a|--auth)[ =]\s*[\"']?([^\s:\"']+):([^\s\"']+)")
 _AUTH = re.compile(r"(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=._~\-]{8,})")
 _TERM = r"passw|pass(?:phrase|code)|(?<![a-z])pass(?![a-z])|passe\b|pwd|pw\b|secret|token|key|credential|authori[sz]ation|kennwort|contrase|clave|senha"
-_HINT = re.compile(rf"(?i){_TERM}|bearer|basic|://|_live_|gh[pousr]_|github_pat|glpat-|npm_|AIza|SG\.|ASIA|xox|AKIA|eyJ")
+_HINT = re.compile(rf"(?i){_TERM}|bearer|basic|://|curl|wget|_live_|gh[pousr]_|github_pat|glpat-|npm_|AIza|SG\.|ASIA|xox|AKIA|eyJ")
 _KEYED = re.compile(
     r"(?<![\w$.\-])(?P<name>[A-Za-z_$][\w$.\-]*)(?P<close>[\"'`]?\]?)"
     r"(?P<type>\s*:\s*&?(?:'static )?[A-Za-z_][\w.<>\[\]| ]*(?==)|\s+[A-Za-z_][\w.\[\]]*\s*(?==))?"
@@ -165,6 +166,9 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
         v = m[2]
         if not (_HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v)) and len(v) >= 4 and residual(v, costs)[0] >= 2:
             out.append((m.start(2), m.end(2), "url_password"))
+    for m in _LOGIN.finditer(text):
+        if usable(m[2], costs):
+            out.append((m.start(2), m.end(2), "login"))
     for m in _AUTH.finditer(text):
         v = m[2]
         if m[1].lower() == "basic":
