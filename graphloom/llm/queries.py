@@ -90,4 +90,12 @@ d AS (SELECT DISTINCT doc_id, string_split(lower(array_to_string(regexp_extract_
 i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),
 p AS (SELECT doc_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM d))
 """
-ORACLE: dict[str, str] = {"p8_found": _PHRASES + "SELECT DISTINCT item_id, doc_id FROM i JOIN p USING (phrase)"}
+_GRAMS = """WITH g AS (SELECT doc_id, k, hash(substr(text, k, 200)) AS h FROM (SELECT DISTINCT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS k FROM documents WHERE length(text) >= 200)),
+d AS (SELECT DISTINCT h, doc_id FROM g), m AS (SELECT h FROM d GROUP BY 1 HAVING count(*) > 1)
+"""
+ORACLE: dict[str, str] = {
+    "p8_found": _PHRASES + "SELECT DISTINCT item_id, doc_id FROM i JOIN p USING (phrase)",
+    "p10_found": _GRAMS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_shared": _GRAMS + """, w AS (SELECT doc_id, least(200, coalesce(lead(k) OVER (PARTITION BY doc_id ORDER BY k) - k, 200)) AS gained FROM g SEMI JOIN m USING (h)), c AS (SELECT doc_id, sum(gained) AS shared FROM w GROUP BY 1),
+t AS (SELECT doc_id, max(coalesce(length(text), 0)) AS chars FROM documents GROUP BY 1) SELECT t.doc_id, chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN chars = 0 THEN 0.0 ELSE round(coalesce(shared, 0) / chars, 6) END AS share FROM t LEFT JOIN c ON c.doc_id = t.doc_id""",
+}
