@@ -18,7 +18,7 @@ from graphloom.plans.shared import materialise, release
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, reverse: bool = False) -> DataFrame:
     """(seed, node, distance): nodes within ``depth`` steps of each seed, nearest distance, the seed itself at 0."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct()
+    steps = materialise(edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct(), "steps")
     seen = materialise(seeds.select(F.col(seeds.columns[0]).alias("seed"), F.col(seeds.columns[0]).alias("node")).filter("seed is not null").distinct().withColumn("distance", F.lit(0)), "seen")
     frontier = seen
     for d in range(1, depth + 1):
@@ -46,7 +46,7 @@ def call_chain(edges: DataFrame, seeds: DataFrame, depth: int, *, callers: bool
     """(caller, callee, depth): the edges of simple paths from the seeds, one row per edge and depth."""
     depth = max(1, min(10, depth))
     near, far = ("dst", "src") if callers else ("src", "dst")
-    e = edges.select("src", "dst").distinct()
+    e = materialise(edges.select("src", "dst").distinct(), "steps")
     paths = seeds.select(F.col(seeds.columns[0]).alias("at")).distinct().withColumn("path", F.array("at"))
     out = None
     for d in range(1, depth + 1):
@@ -60,7 +60,7 @@ def call_chain(edges: DataFrame, seeds: DataFrame, depth: int, *, callers: bool
 
 def traces(edges: DataFrame, src: object, dst: object, *, depth: int = 8, most: int = 5) -> DataFrame:
     """(length, path): up to ``most`` shortest simple paths; only nodes that can still arrive are walked."""
-    e = edges.select("src", "dst").distinct()
+    e = materialise(edges.select("src", "dst").distinct(), "steps")
     spark = edges.sparkSession
     target = spark.createDataFrame([(dst,)], ["seed"])
     left = materialise(reach(e, target, depth, reverse=True).select(F.col("node").alias("dst"), F.col("distance").alias("left")), "left")
@@ -221,7 +221,7 @@ def recursive_nodes(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 def reachable_max(edges: DataFrame, values: DataFrame) -> DataFrame:
     """(node, value): the greatest value reachable along edges, the node's own included; cycles need no condensing, since maxima only grow."""
-    e = edges.select("src", "dst").distinct()
+    e = materialise(edges.select("src", "dst").distinct(), "steps")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).union(values.select("node")).distinct()
     state = materialise(nodes.join(values.select("node", "value"), "node", "left"), "max")
     moved = state.filter("value is not null")
@@ -269,6 +269,7 @@ def blast_radius(edges: DataFrame, changed: DataFrame, depth: int, containment:
 
     ``edges`` carry a band; ``containment`` has (node, level, owner); ``candidates`` has (owner).
     """
+    edges = materialise(edges.select("src", "dst", "band"), "edges")
     touched = materialise(reach(edges, changed, depth, reverse=True).groupBy("node").agg(F.min("distance").alias("distance")), "touched")
     by_band = edges.join(touched.select(F.col("node").alias("dst")), "dst", "left_semi").join(touched.select(F.col("node").alias("src")), "src", "left_semi").groupBy("band").agg(F.count("*").alias("edges"))
     owners = containment.join(touched.select("node"), "node", "left_semi").groupBy("level").agg(F.count_distinct("owner").alias("touched"))

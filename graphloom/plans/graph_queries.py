@@ -10,6 +10,7 @@ from graphloom.operators import graph, hierarchy, intervals, resolution, segment
 from graphloom.plans import facts
 from graphloom.plans.facts import ctes, table
 from graphloom.plans.registry import query
+from graphloom.plans.shared import materialise
 
 # ---- joins
 
@@ -266,7 +267,7 @@ def gr_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 @query(ctes("sym_edges", recursive=True) + ", o AS (SELECT min(src) AS a FROM sym_edges), q AS (SELECT a AS node, 0 AS distance FROM o UNION SELECT e.dst, q.distance + 1 FROM q JOIN sym_edges e ON e.src = q.node WHERE q.distance < 4), ends AS (SELECT (SELECT a FROM o) AS a, (SELECT max(node) FROM q) AS b), w AS (SELECT [src, dst] AS path, dst AS node, 1 AS length FROM sym_edges, ends WHERE src = a UNION ALL SELECT list_append(w.path, e.dst), e.dst, w.length + 1 FROM w JOIN sym_edges e ON e.src = w.node, ends WHERE w.length < 5 AND w.node <> ends.b AND NOT list_contains(w.path, e.dst)) SELECT length, array_to_string(path, '>') AS path FROM w, ends WHERE node = b ORDER BY length, w.path LIMIT 5")
 def gr_traces(spark: SparkSession, d: str) -> DataFrame:
     """The five shortest paths from the graph's first symbol to the last one it reaches in four steps."""
-    e = facts.sym_edges(spark, d)
+    e = materialise(facts.sym_edges(spark, d), "edges")
     seed = e.agg(F.min("src").alias("src"))
     a, b = seed.first()[0], graph.reach(e, seed, 4).agg(F.max("node")).first()[0]
     return graph.traces(e, a, b, depth=5).select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
@@ -280,7 +281,7 @@ def gr_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gr_recursive(spark: SparkSession, d: str) -> DataFrame:
-    e = facts.cyclic_edges(spark, d).select("src", "dst")
+    e = materialise(facts.cyclic_edges(spark, d).select("src", "dst"), "edges")
     return graph.recursive_nodes(e, graph.strong_components(e))
 
 
@@ -294,7 +295,7 @@ def gr_transitive_max(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gr_feedback(spark: SparkSession, d: str) -> DataFrame:
     """Edges to cut so that no cycle is left (greedy; the minimum is NP-hard)."""
-    e = facts.cyclic_edges(spark, d)
+    e = materialise(facts.cyclic_edges(spark, d), "edges")
     return graph.feedback_edges(e, graph.strong_components(e.select("src", "dst")))
 
 
