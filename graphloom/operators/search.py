@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +21,19 @@ def tokens(text: Column) -> Column:
 def bm25(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, score) of texts holding a term; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    One pass over the texts: term counts are columns, not exploded postings, so
-    nothing is shuffled but the few corpus statistics. Null texts are empty.
+    Term counts are columns, not exploded postings, so nothing is shuffled; the
+    corpus statistics are one row, read first. Null texts are empty.
     """
     terms = sorted({t.lower() for t in terms})
     counted = df.select(col(key).alias(key), tokens(col(text)).alias("__t"))
     counted = counted.select(key, F.size("__t").alias("__n"), *((F.size("__t") - F.size(F.array_remove("__t", t))).alias(f"__f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("__all"), F.avg("__n").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms))))
-    both = counted.crossJoin(F.broadcast(stats))  # one row beside each text
+    stats = counted.agg(F.count("*").alias("__all"), F.avg("__n").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("__all") - F.col(f"__d{i}") + 0.5) / (F.col(f"__d{i}") + 0.5))
+        idf = math.log(1 + (stats["__all"] - stats[f"__d{i}"] + 0.5) / (stats[f"__d{i}"] + 0.5))
         tf = F.col(f"__f{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.col("__avg")))
-    return both.filter(sum((F.col(f"__f{i}") for i in range(len(terms))), F.lit(0)) > 0).select(key, score.alias("score"))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / (stats["__avg"] or 1.0)))
+    return counted.filter(sum((F.col(f"__f{i}") for i in range(len(terms))), F.lit(0)) > 0).select(key, score.alias("score"))
 
 
 def fuzzy(df: DataFrame, key: str, weights: dict[str, float], query: str, threshold: float = 0.4) -> DataFrame:

@@ -273,13 +273,16 @@ def gr_traces(spark: SparkSession, d: str) -> DataFrame:
     return graph.traces(e, a, b, depth=5).select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query()
+_REACH = ctes("sym_edges", "cyclic_edges", recursive=True) + ", r AS (SELECT src AS origin, dst AS node FROM cyclic_edges UNION SELECT r.origin, e.dst FROM r JOIN cyclic_edges e ON e.src = r.node), n AS (SELECT src AS node FROM cyclic_edges UNION SELECT dst FROM cyclic_edges) "
+
+
+@query(_REACH + "SELECT n.node, greatest(n.node, coalesce(max(a.node), n.node)) AS component FROM n LEFT JOIN (SELECT x.origin, x.node FROM r x JOIN r y ON x.origin = y.node AND x.node = y.origin) a ON a.origin = n.node GROUP BY n.node")
 def gr_components(spark: SparkSession, d: str) -> DataFrame:
-    """Strong components of the graph with cycles (tested against a driver-side algorithm on small graphs)."""
+    """Strong components of the graph with cycles."""
     return graph.strong_components(facts.cyclic_edges(spark, d).select("src", "dst"))
 
 
-@query()
+@query(_REACH + "SELECT DISTINCT node FROM r WHERE origin = node")
 def gr_recursive(spark: SparkSession, d: str) -> DataFrame:
     e = materialise(facts.cyclic_edges(spark, d).select("src", "dst"), "edges")
     return graph.recursive_nodes(e, graph.strong_components(e))

@@ -121,7 +121,7 @@ def top_level_of_detail(spark: SparkSession, d: str) -> DataFrame:
     """A layer's view cut to its budget, with the fact that it was cut."""
     g = facts.call_edges(spark, d).groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("n"))
     rows, meta = layout.level_of_detail(g, "layer", [F.col("n").desc(), F.col("node")])
-    return rows.crossJoin(F.broadcast(meta.select("truncated")))
+    return rows.withColumn("truncated", F.lit(meta.first()["truncated"]))
 
 
 @query(ctes("sym_edges") + ", d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM sym_edges UNION ALL SELECT dst FROM sym_edges) GROUP BY 1), n AS (SELECT p_partkey AS node, p_size = 1 AS entry, p_brand LIKE '%1' AS test, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON node = p_partkey) SELECT row_number() OVER (ORDER BY test, entry DESC, degree DESC, node) AS position, node, CASE WHEN entry THEN 'entry point' ELSE 'central' END AS why FROM n QUALIFY position <= 7")
@@ -150,10 +150,10 @@ def flt_view_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
 def snk_event_retention(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the last week; the newest instant is one row."""
+    """Events of the last week before the newest."""
     e = table(spark, d, "events")
-    newest = e.agg(F.max("ts").alias("newest"))
-    return e.crossJoin(F.broadcast(newest)).filter("ts >= newest - INTERVAL 7 DAYS").groupBy("user_id").agg(F.count("*").alias("kept"))
+    newest = e.agg(F.max("ts")).first()[0]
+    return e.filter(F.col("ts") >= F.lit(newest) - F.expr("INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count("*").alias("kept"))
 
 
 @query("WITH p AS (SELECT c_nationkey, c_custkey, length(c_name) AS n FROM customer), r AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS used FROM p) SELECT c_nationkey, CAST((used - 1) // 200 AS BIGINT) AS pack, count(*) AS items FROM r GROUP BY ALL")

@@ -68,10 +68,10 @@ def agg_quality_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ctes("call_edges") + ", g AS (SELECT src, dst, sum(weight) AS n FROM call_edges GROUP BY ALL) SELECT src, dst, CAST(n AS BIGINT) AS n, round(n / greatest(max(n) OVER (), 1), 4) AS weight FROM g")
 def agg_collapsed_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls collapsed to pairs, weighted by the busiest pair; its count is one row joined back."""
+    """Calls collapsed to pairs, weighted by the busiest pair."""
     g = facts.call_edges(spark, d).groupBy("src", "dst").agg(F.sum("weight").alias("n"))
-    most = g.agg(F.greatest(F.max("n"), F.lit(1)).alias("most"))
-    return g.crossJoin(F.broadcast(most)).select("src", "dst", "n", F.round(F.col("n") / F.col("most"), 4).alias("weight"))
+    most = max(g.agg(F.max("n")).first()[0] or 1, 1)
+    return g.select("src", "dst", "n", F.round(F.col("n") / most, 4).alias("weight"))
 
 
 _LAYERS = "l AS (SELECT s_suppkey, s_nationkey FROM supplier), p AS (SELECT p_partkey, p_size % 25 AS layer FROM part), e AS (SELECT l.s_nationkey AS a, p.layer AS b, band, weight FROM call_edges JOIN l ON s_suppkey = src JOIN p ON p_partkey = dst)"
@@ -131,9 +131,9 @@ def usage_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH l AS (SELECT o_orderpriority, CAST(epoch(m.last) - epoch(o_orderdate) AS DOUBLE) / 86400 AS lag FROM orders, (SELECT max(o_orderdate) AS last FROM orders) m) SELECT o_orderpriority, round(quantile_cont(lag, 0.5), 6) AS p50, round(quantile_cont(lag, 0.95), 6) AS p95 FROM l GROUP BY 1")
 def fresh_lag(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    last = o.agg(F.max("o_orderdate").alias("last"))
-    lag = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / 86400e6
-    return o.crossJoin(F.broadcast(last)).withColumn("lag", lag).groupBy("o_orderpriority").agg(F.round(F.percentile("lag", 0.5), 6).alias("p50"), F.round(F.percentile("lag", 0.95), 6).alias("p95"))
+    micros = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    lag = (F.lit(o.agg(F.max(micros)).first()[0]) - micros) / 86400e6
+    return o.withColumn("lag", lag).groupBy("o_orderpriority").agg(F.round(F.percentile("lag", 0.5), 6).alias("p50"), F.round(F.percentile("lag", 0.95), 6).alias("p95"))
 
 
 @query("WITH s AS (SELECT DISTINCT repo_id, snapshot_no, taken_at FROM snapshots QUALIFY row_number() OVER (PARTITION BY repo_id, snapshot_no ORDER BY taken_at DESC) = 1) SELECT repo_id, snapshot_no, CAST(epoch(taken_at) - epoch(lag(taken_at) OVER (PARTITION BY repo_id ORDER BY snapshot_no)) AS BIGINT) AS seconds_since FROM s")

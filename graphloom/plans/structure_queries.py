@@ -213,8 +213,8 @@ def agg_cross_domain(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("dst0"), (F.col("p_size") % 25).alias("b"))
     e = facts.call_edges(spark, d).withColumnsRenamed({"src": "src0", "dst": "dst0"}).join(s, "src0").join(p, "dst0").filter("a <> b")
     g = e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("n"))
-    most = g.agg(F.max("n").alias("most"))
-    return g.crossJoin(F.broadcast(most)).select("src", "dst", "n", F.round(F.col("n") / F.col("most"), 4).alias("weight"))
+    most = g.agg(F.max("n")).first()[0] or 1
+    return g.select("src", "dst", "n", F.round(F.col("n") / most, 4).alias("weight"))
 
 
 @query("SELECT a.l_suppkey AS repo_a, b.l_suppkey AS repo_b, count(DISTINCT a.l_orderkey) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(DISTINCT a.l_orderkey) >= 3")
