@@ -90,8 +90,9 @@ def mixture(documents: DataFrame, targets: DataFrame, *, budget: int | None = No
     # A source needs at most as many passes as its share of the budget, were it alone, could take.
     queued = queued.join(live, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.col("repeats").cast("bigint"), F.ceil(F.lit(budget) / F.col("pass_tokens"))).cast("int") - 1)))
     queued = queued.withColumn("finish", (F.col("copy") * F.col("pass_tokens") + F.col("sent")) / F.col("weight"))
-    last = queued.agg(F.max("finish").alias("last"))
-    queued = queued.crossJoin(F.broadcast(last)).withColumn("slot", F.floor(F.col("finish") / F.col("last") * (parts * 16)).cast("long"))  # one row beside each document
+    # No finish time exceeds the longest queue's: all of its copies' tokens over its weight.
+    last = live.agg(F.max(F.col("pass_tokens") * F.col("repeats") / F.col("weight"))).first()[0] or 1.0
+    queued = queued.withColumn("slot", F.floor(F.col("finish") / last * (parts * 16)).cast("long"))
     ordered = running_totals(queued.select("source", "doc_id", "copy", "tokens", "finish", "slot"), [], "slot", ["finish", "source", "copy", "doc_id"], "tokens", "total")
     return ordered.filter(F.col("total") <= budget).select("source", "doc_id", "copy", "tokens", "finish", "total")
 
