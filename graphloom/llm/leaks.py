@@ -14,7 +14,7 @@ Items are taken in blocks of bounded size, each against all documents, so
 neither side need fit one task.
 
 Defined results: items shorter than the phrase hold no case; null texts hold
-no words; a document delivered twice is reported once; equal items are each
+no words; rows without an id are left out; a document delivered twice is reported once; equal items are each
 reported.
 """
 

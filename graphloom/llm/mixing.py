@@ -11,7 +11,7 @@ Prefix sums are two-level (buckets first, then inside a bucket), so no source,
 however large, meets one task.
 
 Defined results: source names compare in lower case without outer blanks;
-documents of other or null sources, and null or empty texts, take no part;
+documents of other or null sources, without a doc_id, and null or empty texts, take no part;
 repeated doc_ids are one document; targets of null, zero or negative weight
 and targets without documents get nothing, the others keep their proportions;
 null max_repeats counts as 1; equal finish times are ordered by source,

@@ -11,7 +11,8 @@ without text, placeholders, generic labels, the words of the callable's name.
 Texts are read once per file version: the callables of a file, bounded by the
 file, travel to its text.
 
-Defined results: null or blank documentation counts as missing; callables
+Defined results: null or empty documentation counts as missing; rows without a
+repository or node id have no pair; callables
 without a text, or with lines outside it, have no pair; files, nodes and texts
 delivered twice give one pair; null signatures match only null signatures.
 """

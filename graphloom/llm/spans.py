@@ -14,7 +14,7 @@ compared character by character.
 Texts that are copies of one another are represented by the copy of least
 doc_id and joined back at the end.
 
-Defined results: positions count code points from 0; null texts and texts
+Defined results: rows without a doc_id are left out; positions count code points from 0; null texts and texts
 shorter than the length share nothing; repeats inside one document do not
 count; a document delivered twice counts once; equal texts share all of their
 length.
