@@ -16,7 +16,7 @@ these the doubled pointers converge to the cycle's own nodes.
 
 Defined results: a null parent, or one that is no node of the group, makes a
 root; a node that is its own parent is a cycle of one; null ids are dropped
-(they can be neither named nor pointed at); repeated rows of one id count once,
+(they can be neither named nor pointed at), as are rows of a null group; repeated rows of one id count once,
 the smallest parent being taken; empty tables give no rows; null names read as
 empty path parts.
 """
