@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.rows import col, row_hash
 
 # The keys a segment's meta table holds, no more and no fewer.
-META_KEYS = ("commit_sha", "engine_version", "language_matrix_version", "pdx_version", "precise_sources", "profile", "repo_id", "repo_id_source", "repo_url", "schema_version")
+META_KEYS = ("commit_sha", "engine_version", "language_matrix_version", "tool_version", "precise_sources", "profile", "repo_id", "repo_id_source", "repo_url", "schema_version")
 
 
 def duplicate_keys(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
