@@ -217,6 +217,23 @@ def test_vendored_copies(spark):
     assert {(r.repo_id, r.file_id) for r in V.judged(s, u.limit(0)).collect()} == {("r3", "e"), ("r4", "f")}
 
 
+def test_copies_held_by_many_repositories(spark):
+    lib = "\n".join(f"export function thing{i}(a) {{ return wrap{i * 7}(a, {i}); }}" for i in range(20))
+    loose = "\n".join(f"const both{i} = create{i}(options, {i * 5});" for i in range(20))
+    tiny = "module.exports = require('./thing/index.js');\n"
+    licence = "\n".join(f"// licence paragraph {i} of the common licence" for i in range(30)) + "\n"
+    idioms = "if (value === null) {\nreturn undefined;\n} catch (error) {\nthrow new Error(message);\nconsole.log(message);\n"
+    rows = []
+    for i in range(12):
+        own = "\n".join(f"const mine{i}_{k} = build{i}(config, {k});" for k in range(6)) + "\n"
+        for name, text in (("lib", lib), ("loose", loose), ("tiny", tiny), ("own", licence + idioms + own)):
+            rows += [(f"r{i}", f"{name}{i}", "1", f"src/{name}.js", "javascript", text)] * (2 if i == 3 else 1)
+    s = spark.createDataFrame(rows, "repo_id string, file_id string, blob_sha string, path string, language string, text string")
+    u = spark.createDataFrame([("p", "thing.js", licence + lib), ("p", "index.js", tiny.replace("\n", "\r\n"))] + [(f"q{i}", "x.js", licence + x) for i, x in enumerate(idioms.split("\n"))], "pkg_name string, file_name string, text string")
+    got = V.judged(s, u).collect()
+    assert {r.file_id for r in got} == {f"{name}{i}" for name in ("lib", "loose", "tiny") for i in range(12)} and all(r.containment == 1 for r in got)
+
+
 # ---- pairs
 
 
