@@ -62,18 +62,18 @@ def p8_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), budget=mixing.ONE_PASS)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares ``p9_mixture`` reaches, beside the targets they drift from where sources end."""
     targets = table(spark, sf_dir, "mix_target")
-    return mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+    return mixing.shares(p9_mixture(spark, sf_dir), targets)
 
 
 def p9_shares_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached when as many tokens are asked for as one pass holds."""
-    targets = table(spark, sf_dir, "mix_target")
-    return mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets, budget=mixing.ONE_PASS), targets)
+    """The shares reached when as many tokens are asked for as one pass holds, as ``p9_shares`` asks too."""
+    return p9_shares(spark, sf_dir)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

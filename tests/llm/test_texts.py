@@ -13,6 +13,7 @@ from graphloom.llm import leaks as L
 from graphloom.llm import mixing as M
 from graphloom.llm import pairs as P
 from graphloom.llm import provenance as V
+from graphloom.llm import queries as Q
 from graphloom.llm import spans as X
 
 # ---- leaks
@@ -180,6 +181,18 @@ def test_mixture(spark):
     assert sum(r.tokens for r in everything) == sum(sums[s] * repeats[s] for s in sums)
 
 
+def test_registered_mixture_is_not_cut_at_the_driest_source(spark, tmp_path):
+    docs = [(i, "big" if i < 300 else "mid" if i < 399 else "tiny", "some words here") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 1), ("tiny", 0.2, 2)], "source string, weight double, max_repeats int").write.parquet(str(tmp_path / "mix_target.parquet"))
+    chosen = Q.p9_mixture(spark, str(tmp_path)).collect()
+    each = chosen[0].tokens
+    assert len(chosen) == 400 and sum(r.tokens for r in chosen) == 400 * each
+    assert sorted(r.copy for r in chosen if r.source == "tiny") == [0, 1]
+    got = {r.source: (r.records, r.most_copies, r.share, r.target_share) for r in Q.p9_shares(spark, str(tmp_path)).collect()}
+    assert got == {"big": (299, 1, 0.7475, 0.5), "mid": (99, 1, 0.2475, 0.3), "tiny": (2, 2, 0.005, 0.2)}
+
+
 # ---- provenance
 
 CODE = "\n".join(f"def handle_{i}(value):\n    total_{i} = compute_{i}(value, {i})\n    return total_{i}" for i in range(12)) + "\n"
