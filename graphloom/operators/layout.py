@@ -43,17 +43,42 @@ def squarified(sizes: list[float], x: float = 0.0, y: float = 0.0, w: float = 1.
 
 
 def treemap(items: DataFrame, container: str, item: str, size: str) -> DataFrame:
-    """(container, item, x, y, w, h): each container's members, bounded by its view's budget, laid out in the unit square."""
-    kinds = dict(items.dtypes)
+    """(container, item, x, y, w, h): all of each container's members, laid out in the unit square with areas in proportion to their sizes.
 
-    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, item], ascending=[False, True])
-        boxes = squarified(pdf[size].astype(float).tolist())
-        return pd.DataFrame({container: pdf[container], item: pdf[item], **{c: [b[k] for b in boxes] for k, c in enumerate("xywh")}})
-
-    w = Window.partitionBy(container).orderBy(F.col(size).desc(), item)
-    kept = items.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= BUDGETS["file"]).select(container, item, size)
-    return kept.groupBy(container).applyInPandas(lay, f"{container} {kinds[container]}, {item} {kinds[item]}, x double, y double, w double, h double")
+    One task lays out at most a view's budget of boxes: a container with more
+    is cut by rank into blocks of that many members, the blocks into blocks of
+    blocks, and each block is laid out inside the tile its total size has got.
+    Null sizes count as 0.
+    """
+    kinds, most = dict(items.dtypes), BUDGETS["file"]
+    w = Window.partitionBy(container).orderBy(F.col("__size").desc(), item)
+    sized = items.select(container, item, F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("__size"))
+    ranked = materialise(sized.withColumn("__r", F.row_number().over(w).cast("bigint") - 1), "treemap")
+    last = ranked.agg(F.max("__r")).first()[0] or 0
+    group = [container, "__up"]
+
+    def laid(members: DataFrame, tiles: DataFrame | None, member: str, kind: str) -> DataFrame:
+        def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["__size", member], ascending=[False, True])
+            boxes = squarified(pdf["__size"].tolist(), *pdf[["__x", "__y", "__w", "__h"]].iloc[0])
+            return pd.DataFrame({container: pdf[container], member: pdf[member], **{c: [b[k] for b in boxes] for k, c in enumerate("xywh")}})
+
+        if tiles is None:
+            members = members.withColumns({"__x": F.lit(0.0), "__y": F.lit(0.0), "__w": F.lit(1.0), "__h": F.lit(1.0)})
+        else:
+            tiles = tiles.select(F.col(container).alias("__c"), F.col("__block").alias("__b"), *(F.col(c).alias(f"__{c}") for c in "xywh"))
+            members = members.join(tiles, F.col(container).eqNullSafe(F.col("__c")) & (F.col("__up") == F.col("__b"))).drop("__c", "__b")
+        return members.groupBy(*group).applyInPandas(lay, f"{container} {kinds[container]}, {member} {kind}, x double, y double, w double, h double")
+
+    step, steps = most, []
+    while step <= last:
+        steps.append(step)
+        step *= most
+    tiles = None
+    for step in reversed(steps):
+        blocks = ranked.groupBy(container, F.expr(f"__r div {step}").alias("__block")).agg(F.sum("__size").alias("__size"))
+        tiles = laid(blocks.withColumn("__up", F.expr(f"__block div {most}")), tiles, "__block", "bigint")
+    return laid(ranked.withColumn("__up", F.expr(f"__r div {most}")), tiles, item, kinds[item])
 
 
 def level_of_detail(rows: DataFrame, level: str, order: list) -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,22 @@ def test_squarified():
     assert L.squarified([]) == [] and L.squarified([0, 0]) == [(0.0, 0.0, 0.0, 0.0)] * 2
 
 
+@pytest.mark.parametrize("most", [800, 7])
+def test_treemap_lays_out_every_item(spark, monkeypatch, most):
+    monkeypatch.setitem(L.BUDGETS, "file", most)
+    rows = [("big", i, 1 + i % 50) for i in range(most + 150)] + [("small", i, s) for i, s in enumerate((6, 3, None, 0, 1))] + [(None, 1, 2)]
+    got = L.treemap(spark.createDataFrame(rows, "c string, i long, s int"), "c", "i", "s").collect()
+    boxes = {(r.c, r.i): (r.x, r.y, r.w, r.h) for r in got}
+    assert len(got) == len(boxes) == len(rows)
+    for c in ("big", "small", None):
+        mine = [(boxes[c, i], s or 0) for k, i, s in rows if k == c]
+        total = sum(s for _, s in mine)
+        assert all(abs(w * h - s / total) < 1e-9 and -1e-9 <= x and x + w <= 1 + 1e-9 and -1e-9 <= y and y + h <= 1 + 1e-9 for (x, y, w, h), s in mine)
+        solid = [b for b, s in mine if s]
+        for k, (x, y, w, h) in enumerate(solid):
+            assert not any(x + w - 1e-9 > x2 and x2 + w2 - 1e-9 > x and y + h - 1e-9 > y2 and y2 + h2 - 1e-9 > y for x2, y2, w2, h2 in solid[:k])
+
+
 def test_complexity(spark):
     # function f: if { while { if } } ; for
     rows = [("f", "r", None, "body"), ("f", "a", "r", "if"), ("f", "b", "a", "while"), ("f", "c", "b", "if"), ("f", "d", "r", "for")]
