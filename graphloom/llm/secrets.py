@@ -46,7 +46,24 @@ _BODY = re.compile(r"(?:[\s'\"+,;()]|\\n|\\r|//|#|\*)*((?:[A-Za-z0-9+/=]{16,}))"
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]*://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@")
 _LOGIN = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user|-a|--auth)[ =]\s*[\"']?([^\s:\"']+):([^\s\"']+)")
 _AUTH = re.compile(r"(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=._~\-]{8,})")
-_TERM = r"passw|pass(?:phrase|code)|(?<![a-z])pass(?![a-z])|passe\b|pwd|pw\b|secret|token|key|credential|authori[sz]ation|kennwort|contrase|clave|senha"
+_GAP = r"[^A-Za-z0-9\s]+"
+
+
+def _parted(words: list[str]) -> str:
+    """Pattern of the words with one gap somewhere inside, by their common beginnings."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        if len(w) > 1:
+            by_first.setdefault(w[0], []).append(w[1:])
+    ways = []
+    for c, rest in by_first.items():
+        more = _parted(rest)
+        ways.append(f"{c}(?:{_GAP}(?:{'|'.join(rest)}){'|' + more if more else ''})")
+    return "|".join(ways)
+
+
+# Every name that name_says_credential accepts matches: its words whole, wherever they stand, or in two parts.
+_TERM = r"pass|pw|secret|token|key|credential|authori[sz]ation|kennwort|contrase|clave|senha|" + _parted(list(_NAMES))
 _HINT = re.compile(rf"(?i){_TERM}|bearer|basic|://|curl|wget|_live_|gh[pousr]_|github_pat|glpat-|npm_|AIza|SG\.|ASIA|xox|AKIA|eyJ")
 _KEYED = re.compile(
     r"(?<![\w$.\-])(?P<name>[A-Za-z_$][\w$.\-]*)(?P<close>[\"'`]?\]?)"

@@ -41,6 +41,28 @@ def test_clean(line, language):
     assert S.find(line, language, COSTS) == []
 
 
+def accepted_names():
+    words = [*S._NAMES, *(p.replace(" ", "_") for p in S._PAIRS)]
+    for w in words:
+        for form in (w, w.upper(), w.title(), w.title().replace("_", ""), w.replace("_", "-")):
+            for before in ("", "db", "db_", "DB_", "my.", "x1"):
+                yield from (before + form + after for after in ("", "1", "_2"))
+        yield from (w[:k] + gap + w[k:] for k in range(1, len(w)) for gap in ("_", "-", "."))
+        yield from (w[:k] + w[k:].title() for k in range(1, len(w)))
+
+
+def test_every_name_the_detector_accepts_is_hinted():
+    names = {n for n in accepted_names() if S.name_says_credential(n)}
+    assert {"dbPass", "pw1", "db_Pw_2", "to_ken"} <= names
+    assert [n for n in sorted(names) if not S._TERMS.search(n) or not S._HINT.search(n)] == []
+
+
+@pytest.mark.parametrize("name", ["dbPass", "smtpPass", "userPass", "pw1", "db_pw_2", "redis_pass"])
+def test_found_by_name_alone(name):
+    text = f'a = 1\n{name} = "kT9vQ2mXw7"\n'
+    assert S.masked(text, S.find(text, "python", COSTS)) == f'a = 1\n{name} = "XXXXXXXXXX"\n'
+
+
 def test_viterbi_explains_words():
     assert S.residual("userPassword", COSTS)[0] == 0
     assert S.residual("Report_sample44", COSTS)[0] == 2
