@@ -82,6 +82,8 @@ _PAIR = re.compile(r"[\"']([\w.\-]+)[\"']\s*,\s*(\"[^\"\n]*\"|'[^'\n]*')")
 _FLAG = re.compile(r"--(?P<name>[\w\-]+)(?:=|\s+)(?P<value>\"[^\"\n]*\"|'[^'\n]*'|[^\s\"']+)")
 _INNER = re.compile(r"(?i)[;&?\s\"'](password|pwd|secret|token|api_?key|accountkey|sharedaccesskey)=([^;&\s\"']+)")
 _JOINED = re.compile(r"\s*(?:\+|,|\.|\.\.)?\s*\\?\s*(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')")
+_JOINS = re.compile(r"\s*(?:\+|\.\.|\.|,\s*(?=\")|\\|(?=\n?\s*\"))")
+_NEXT_PAIR = re.compile(r"\s*,\s*['\"][\w.\-]+['\"]\s*[:=]")
 _HEX = re.compile(r"(?i)^(?:(?:md5|sha-?\d+|blake2b?)[:\-=$].*|0x[0-9a-f]+|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$")
 _HOLE = re.compile(r"\$\{|\$\(|\{\{|\}\}|^\{.*\}$|^<.*>$|^%\(|^%[A-Za-z_]+%$|^\$[A-Za-z_]|^@[A-Za-z_]+@$|^#\{|\(\)$|://")
 _DUMMY = re.compile(r"(?i)replace|change.?(?:me|this|it)|^your|[_\-<\s]your[_\-\s]|placeholder|example|dummy|redacted|masked|todo|fixme|insert|^(?:none|null|nil|undefined|true|false|empty|test|secret|password|token|xxx+.*|abc123.*|1234.*)$|^env[:.]|^vault[:.]|process\.env|os\.environ|getenv|^secretmanager|^ssm:|^arn:|^ssh-|^file:|^ref:")
@@ -142,7 +144,7 @@ def residual(value: str, costs: dict[str, float]) -> tuple[int, float]:
 def usable(value: str, costs: dict[str, float]) -> bool:
     """Whether a literal beside a credential's name is a credential someone could use."""
     v = value.strip()
-    if len(v) < 6 or len(v) > 4000 or _HEX.match(v) or _HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v) or " " in v or not v.isprintable():
+    if len(v) < 6 or _HEX.match(v) or _HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v) or " " in v or not v.isprintable():
         return False
     bare = v.replace("%", "")
     rest, per_char = residual(bare, costs)
@@ -207,18 +209,17 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
             value, skip = _unquote(raw)
             whole, end = value, at + skip + len(value)
             if skip:
-                after = text[line_start + at + len(raw) : line_start + at + len(raw) + 400]
-                j, stop = 0, None
-                while (p := _JOINED.match(after, j)) and re.match(r"\s*(?:\+|\.\.|\.|,\s*(?=\")|\\|(?=\n?\s*\"))", after[j:]) and not re.match(r"\s*,\s*['\"][\w.\-]+['\"]\s*[:=]", after[j:]):
-                    if after[j : p.start(1)].strip() == "," and "concat!" not in line:
+                j, pieces = line_start + at + len(raw), [value]
+                while (p := _JOINED.match(text, j)) and _JOINS.match(text, j) and not _NEXT_PAIR.match(text, j):
+                    between = text[j : p.start(1)]
+                    if between.strip() == "," and "concat!" not in line:
                         break
-                    if after[j : p.start(1)].strip() == "":
-                        if "\n" not in after[j : p.start(1)] or language not in ("python", "c", "cpp"):
-                            break
-                    piece = p[1][1:-1]
-                    whole, j, stop = whole + piece, p.end(), p
-                if stop is not None:
-                    end = at + len(raw) + stop.end(1) - 1
+                    if between.strip() == "" and ("\n" not in between or language not in ("python", "c", "cpp")):
+                        break
+                    pieces.append(p[1][1:-1])
+                    j = p.end()
+                if len(pieces) > 1:
+                    whole, end = "".join(pieces), j - 1 - line_start
             if usable(whole, costs):
                 out.append((line_start + at + skip, line_start + end, "assigned"))
     out.sort(key=lambda s: (s[0], -s[1]))
@@ -274,7 +275,7 @@ def _candidates(line: str, language: str | None) -> Iterator[tuple[str, int, str
         if skip or language in _UNQUOTED or comment and comment.start() <= m.start():
             for name in names:
                 yield name, start, raw
-        if skip and (inner := _INNER.search(raw)):
+        for inner in _INNER.finditer(raw) if skip else ():
             yield inner[1], start + inner.start(2), inner[2]
         at = m.end() if skip or any(map(name_says_credential, names)) else start
 

@@ -63,6 +63,30 @@ def test_found_by_name_alone(name):
     assert S.masked(text, S.find(text, "python", COSTS)) == f'a = 1\n{name} = "XXXXXXXXXX"\n'
 
 
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ('c = "x;token=${T};password=kT9vQ2mXw7"\n', 'c = "x;token=${T};password=XXXXXXXXXX"\n'),
+        ('c = "Server=h;password=kT9vQ2mXw7;secret=Zq83hsKd92Lm"\n', 'c = "Server=h;password=XXXXXXXXXX;secret=XXXXXXXXXXXX"\n'),
+    ],
+)
+def test_every_credential_inside_a_literal(text, hidden):
+    assert S.masked(text, S.find(text, "python", COSTS)) == hidden
+
+
+def long_value(n):
+    return "".join("kT9vQ2mXw7Zq83hsKd92Lm4pRb6"[(i * i + i // 27) % 27] for i in range(n))
+
+
+def test_long_credentials():
+    value = long_value(9_000)
+    text = f'secret_key = "{value}"\n'
+    assert S.masked(text, S.find(text, "python", COSTS)) == f'secret_key = "{"X" * len(value)}"\n'
+    text = "secret_key = " + " +\n    ".join(f'"{value[k : k + 60]}"' for k in range(0, 1_800, 60)) + "\nother = 'kept as it is'\n"
+    hidden = S.masked(text, S.find(text, "python", COSTS))
+    assert len(hidden) == len(text) and not any(value[k : k + 60] in hidden for k in range(0, 1_800, 60)) and hidden.endswith("other = 'kept as it is'\n")
+
+
 def test_viterbi_explains_words():
     assert S.residual("userPassword", COSTS)[0] == 0
     assert S.residual("Report_sample44", COSTS)[0] == 2
