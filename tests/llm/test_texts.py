@@ -230,6 +230,20 @@ def test_vendored_copies(spark):
     assert {(r.repo_id, r.file_id) for r in V.judged(s, u.limit(0)).collect()} == {("r3", "e"), ("r4", "f")}
 
 
+LICENCE = "".join(f"# Paragraph {i} of a long licence that a tool or a package puts before all else, word after word.\n" for i in range(90))
+
+
+@pytest.mark.parametrize(
+    ("text", "reason"),
+    [
+        (LICENCE + "# Code generated by x. DO NOT EDIT.\n" + CODE, "generated"), ("/*\n" + "a line\n" * 70 + "*/\n// somelib 1.2.3\n// Copyright 2015 the somelib authors\n" + CODE, "vendored"),
+        (LICENCE + CODE + "# Code generated by x. DO NOT EDIT.\n", None), (LICENCE + CODE, None),
+    ],
+)
+def test_own_reasons_behind_a_long_licence(text, reason):
+    assert V.own_reason("a.py", "python", text) == reason
+
+
 def test_copies_held_by_many_repositories(spark):
     lib = "\n".join(f"export function thing{i}(a) {{ return wrap{i * 7}(a, {i}); }}" for i in range(20))
     loose = "\n".join(f"const both{i} = create{i}(options, {i * 5});" for i in range(20))
