@@ -152,13 +152,15 @@ def _local_components(live: DataFrame) -> DataFrame:
     return live.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 200, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component): component is the greatest node that reaches the others and back.
 
     Nodes without edges in or out of the rest leave first.  What is left goes to
     one task if it is counted to be small (``local_edges``); beyond that greatest
     labels spread forward, and inside one colour what reaches the label's own
-    node backward is its component.
+    node backward is its component.  Each round settles at least the component
+    of the greatest label, so rounds end; more than ``most_rounds``, where it is
+    given, raise an error.
     """
     e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     every = e.select(F.col("src").alias("node")).union(e.select("dst"))
@@ -166,8 +168,8 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rou
         every = every.union(nodes.select(nodes.columns[0]))
     every = materialise(every.distinct(), "scc-nodes")
     live = materialise(e.filter("src <> dst"), "scc-edges")
-    out = None
-    for _ in range(most_rounds):
+    out, rounds = None, 0
+    while True:
         while True:  # trim
             trimmed = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             trimmed = materialise(trimmed.join(trimmed.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "scc-edges")
@@ -182,6 +184,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None, most_rou
             found = _local_components(live)
             out = found if out is None else out.unionByName(found)
             break
+        if rounds == most_rounds:
+            raise RuntimeError(f"{after} edges are left after {rounds} rounds of colours")
+        rounds += 1
         color = materialise(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("color", F.col("node")), "scc-color")
         changed = color
         while True:

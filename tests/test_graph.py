@@ -1,8 +1,10 @@
 """Traversal and structure on toy and random graphs."""
 
+import inspect
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
@@ -35,6 +37,16 @@ def test_components_both_ways(spark):
     assert rec == {n for n in r if any(n in r[b] for a, b in pairs if a == n)}
 
 
+def test_components_are_never_left_unfinished(spark):
+    # A chain of two-node cycles whose labels fall along the edges settles one cycle a round.
+    pairs = [p for k in range(3, 0, -1) for p in ((10 * k, 10 * k + 1), (10 * k + 1, 10 * k), (10 * k, 10 * k - 10))][:-1]
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        G.strong_components(edges(spark, pairs), most_rounds=2, local_edges=0)
+    assert inspect.signature(G.strong_components).parameters["most_rounds"].default is None
+    got = {x.node: x.component for x in G.strong_components(edges(spark, pairs), local_edges=0).collect()}
+    assert got == {n: n // 10 * 10 + 1 for p in pairs for n in p}
+
+
 def test_feedback_edges_leave_no_cycle(spark):
     rng = random.Random(4)
     pairs = {(rng.randrange(15), rng.randrange(15)) for _ in range(40)}
