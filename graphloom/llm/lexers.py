@@ -9,11 +9,13 @@ is ``<error>``, which no grammar accepts.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from graphloom.llm.grammar import NL
 
 ERROR = "<error>"
+# A hole that holds no expression; no grammar accepts it.
+NOTHING = "\x00"
 Offsets = Callable[[int], int]
 
 
@@ -106,7 +108,22 @@ def _javascript() -> Callable:
 
     lex = _regex_lexer(pattern, Kinds(fixed, classify))
     first = re.compile(r"^#![^\n]*")
-    return lambda text: lex(first.sub(lambda m: " " * len(m[0]), text))
+    tokens, parts = re.compile(pattern), re.compile(rf"\\[\s\S]|({hole})")
+
+    def run(text: str) -> tuple[list[str], Offsets]:
+        return lex(first.sub(lambda m: " " * len(m[0]), text))
+
+    def holes(text: str) -> Iterator[tuple[int, str]]:
+        """(offset, expression) of the holes of the text's templates."""
+        if "${" in text:
+            for m in tokens.finditer(first.sub(lambda m: " " * len(m[0]), text)):
+                if m[1][:1] == "`" and "${" in m[1]:
+                    for h in parts.finditer(m[1], 1):
+                        if h[1]:
+                            yield m.start(1) + h.start() + 2, h[1][2:-1]
+
+    run.holes = holes
+    return run
 
 
 def _java() -> Callable:
@@ -293,9 +310,76 @@ def _python() -> Callable:
 
         return out, offset
 
+    formatted = re.compile(r"(?i)(?:f|fr|rf)[\"']")
+
+    def holes(text: str) -> Iterator[tuple[int, str]]:
+        """(offset, expression) of the holes of the text's f-strings, format specifications included."""
+        if formatted.search(text):
+            for m in compiled.finditer(text):
+                if formatted.match(m[1]) and len(m[1]) > 2:
+                    start = m[1].index(m[1][-1])
+                    quote = 3 if m[1][start : start + 3] in ('"""', "'''") else 1
+                    for at, hole in _python_holes(m[1], start + quote, len(m[1]) - quote, "r" in m[1][:start].lower()):
+                        yield m.start(1) + at, hole
+
+    lex.holes = holes
     return lex
 
 
+_QUOTED = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"[^\"\n]*\"|'[^'\n]*'")
+
+
+def _python_holes(token: str, at: int, end: int, raw: bool, spec: bool = False) -> Iterator[tuple[int, str]]:
+    """Holes of token[at:end], the literal part of an f-string or a format specification."""
+    while at < end:
+        c = token[at]
+        if c == "\\" and not raw and not spec:
+            at = token.find("}", at) + 1 if token.startswith("\\N{", at) else at + (1 if token[at + 1 : at + 2] in ("{", "}") else 2)
+            continue
+        if c != "{" or not spec and token.startswith("{{", at):
+            at += 2 if c == "{" else 1
+            continue
+        start = k = at + 1
+        depth, stop = 0, None  # where the expression ends: a conversion, a specification or the hole's own end
+        while k < end:
+            c = token[k]
+            if c in "\"'" and (q := _QUOTED.match(token, k, end)):
+                k = q.end()
+                continue
+            if c in "([{":
+                depth += 1
+            elif c == "}" and not depth or c == ":" and not depth or c == "!" and not depth and token[k + 1 : k + 2] != "=":
+                stop = k
+                break
+            elif c in ")]}":
+                depth -= 1
+                if depth < 0:
+                    break
+            k += 1
+        if stop is None:
+            yield start, NOTHING
+            return
+        expression = token[start:stop]
+        shown = expression.rstrip()
+        if shown.endswith("=") and shown[-2:-1] not in ("=", "!", "<", ">"):
+            expression = shown[:-1]
+        yield start, expression if expression.strip() else NOTHING
+        if token[stop] == "!":
+            conversion = re.compile(r"![rsa]\s*(?=[:}])").match(token, stop, end)
+            if not conversion:
+                yield stop, NOTHING
+                return
+            stop = conversion.end()
+        at = stop + 1
+        if token[stop] == ":":
+            depth, k = 1, at
+            while k < end and depth:
+                depth += (token[k] == "{") - (token[k] == "}")
+                k += 1
+            yield from _python_holes(token, at, k - 1, raw, True)
+            at = k
+
+
 # ---- Data languages
 
 

@@ -91,12 +91,34 @@ def parser(language: str, built: dict[str, dict] | None = None) -> Parser:
     return _PARSERS[language]
 
 
+# What makes a file of the expression in a hole, each way shown to the parser: two kinds of bracket, so that no bracket of a hole can close one outside.
+_AROUND = {"python": [("(", ")"), ("[", "]")], "javascript": [("(", ")"), ("x[", "]")], "typescript": [("(", ")"), ("x[", "]")]}
+# Templates of types have types in their holes.
+_AROUND_TYPE = {"typescript": [("type T = (", ")"), ("type T = [", "]")]}
+
+
+def _hole_error(text: str, language: str, built: dict[str, dict] | None) -> tuple[int, str] | None:
+    """The first error inside an interpolation, whose expressions the same parser reads."""
+    holes = getattr(LEXERS[language], "holes", None)
+    for at, hole in holes(text) if holes else ():
+        found = _first_of(hole, _AROUND[language], language, built)
+        if found and not (language in _AROUND_TYPE and _first_of(hole, _AROUND_TYPE[language], language, built) is None):
+            return text.count("\n", 0, at) + found[0], found[1]
+    return None
+
+
+def _first_of(hole: str, around: list[tuple[str, str]], language: str, built: dict[str, dict] | None) -> tuple[int, str] | None:
+    return next((e for a, b in around if (e := first_error(f"{a}{hole}\n{b}\n", language, built))), None)
+
+
 def first_error(text: str, language: str, built: dict[str, dict] | None = None) -> tuple[int, str] | None:
     """(line, what stands there) of the first unrecoverable error, or null if the text is accepted."""
     if text.startswith("﻿"):
         text = text[1:]
     kinds, offset = LEXERS[language](text)
     at = parser(language, built).first_error(kinds)
+    if at < 0 and (inner := _hole_error(text, language, built)) and not (language in CONFIRM and not CONFIRM[language](text)):
+        return inner
     if at < 0 or language in CONFIRM and not CONFIRM[language](text):
         return None
     if at >= len(kinds):

@@ -312,3 +312,26 @@ def test_table(spark):
     rate = {(r.repo_id, r.language): (r.files, r.invalid, r.rate) for r in S.rates(out).collect()}
     assert rate[("r", "python")] == (2, 1, 0.5)
     assert S.parsed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("python", "x = f'{a b}'\n"), ("python", "x = f'{1 +}'\n"), ("python", "x = 1\ny = rf\"\"\"{a:>{b c}}\"\"\"\n"), ("python", "x = f'{}'\n"), ("python", "x = f'{a!z}'\n"), ("python", "x = f'{a) + (b}'\n"),
+        ("javascript", "x = `${x y}`"), ("javascript", "x = `a${a +}b`"), ("javascript", "x = `${}`"), ("javascript", "x = `${a) + (b}`"), ("javascript", "x = `${f(() => { let = 1 1; })}`"),
+        ("typescript", "const x: string = `${a +}`"), ("typescript", "x = `${`${b c}`}`"),
+    ],
+)
+def test_errors_inside_interpolations(language, text):
+    assert S.first_error(text, language) is not None
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("python", "x = f'{a!r:>{w}} {{}} {b=} {c[\"k\"]:%Y-%m-%d} {d != e} {(lambda: 1)()} {*f,}'\n"), ("python", "x = f'\\N{DASH} {a}' rf'\\{b}' f'{ {1: 2}[1] } {c = !r}'\n"),
+        ("javascript", "x = `${a, b} ${() => { return {c: 1}; }} \\${ ${await d}`"), ("typescript", "type T = `a${string}-${keyof U & string}-${infer V}`"), ("typescript", "x = `${a as string}${b!}`"),
+    ],
+)
+def test_valid_interpolations(language, text):
+    assert S.first_error(text, language) is None
