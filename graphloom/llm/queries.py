@@ -62,7 +62,7 @@ def p8_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), budget=mixing.ONE_PASS)
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +71,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, sf_dir), targets)
 
 
-def p9_shares_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached when as many tokens are asked for as one pass holds, as ``p9_shares`` asks too."""
-    return p9_shares(spark, sf_dir)
-
-
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, sf_dir, "documents"))
 
@@ -84,7 +79,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_status, p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p9_shares_one_pass, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_status, p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p10_found, p10_shared)}
 _PHRASES = """WITH w AS (SELECT item_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM heldout),
 d AS (SELECT DISTINCT doc_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM documents),
 i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),

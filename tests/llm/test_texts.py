@@ -146,7 +146,7 @@ def test_mixture(spark):
     docs += [docs[0], (900, "a", None, 1), (901, "a", "", 1), (None, "a", "x", 1)]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string, tokens int")
     t = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, None), ("C", 0.2, 2), ("void", 0.4, 1), ("zero", 0.0, 1), (None, 0.1, 1)], "source string, weight double, max_repeats int")
-    chosen = M.mixture(d, t).collect()
+    chosen = M.mixture(d, t, budget=M.UNTIL_DRY).collect()
     tok = M.tokenizer(M.TOKENIZER)
     sized = {}
     for i, s, x, _ in docs:
@@ -175,10 +175,26 @@ def test_mixture(spark):
         run[r.source] += r.tokens
         assert abs(r.finish - run[r.source] / weight[r.source]) < 1e-6
     assert M.mixture(d.limit(0), t).count() == 0 and M.mixture(d, t.limit(0)).count() == 0
-    again = M.mixture(d.repartition(7), t).collect()
+    again = M.mixture(d.repartition(7), t, budget=M.UNTIL_DRY).collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in chosen}
-    everything = M.mixture(d, t, budget=10**9).collect()
-    assert sum(r.tokens for r in everything) == sum(sums[s] * repeats[s] for s in sums)
+    everything = M.mixture(d, t, budget=10**9)
+    assert everything.agg({"tokens": "sum"}).first()[0] == sum(sums[s] * repeats[s] for s in sums)
+    # Every budget takes the longest beginning of the one queue that fits.
+    queue = sorted(everything.collect(), key=lambda r: r.total)
+    for budget in (0, 1, 57, 900, 1500, sum(sums.values())):
+        want = {(r.doc_id, r.copy) for r in queue if r.total <= budget}
+        assert {(r.doc_id, r.copy) for r in M.mixture(d, t, budget=budget).collect()} == want
+    assert {(r.doc_id, r.copy) for r in M.mixture(d, t).collect()} == want
+
+
+def test_running_totals_of_many_buckets(spark):
+    rows = [(i % 3, i * 7 % 5000, i, i % 11) for i in range(9000)]
+    df = spark.createDataFrame(rows, "g int, bucket long, id int, n int")
+    run, want = defaultdict(int), {}
+    for g, bucket, i, n in sorted(rows):
+        run[g] += n
+        want[i] = run[g]
+    assert {r.id: r.total for r in M.running_totals(df, ["g"], "bucket", ["id"], "n", "total").collect()} == want
 
 
 def test_registered_mixture_is_not_cut_at_the_driest_source(spark, tmp_path):
@@ -189,8 +205,8 @@ def test_registered_mixture_is_not_cut_at_the_driest_source(spark, tmp_path):
     each = chosen[0].tokens
     assert len(chosen) == 400 and sum(r.tokens for r in chosen) == 400 * each
     assert sorted(r.copy for r in chosen if r.source == "tiny") == [0, 1]
-    got = {r.source: (r.records, r.most_copies, r.share, r.target_share) for r in Q.p9_shares(spark, str(tmp_path)).collect()}
-    assert got == {"big": (299, 1, 0.7475, 0.5), "mid": (99, 1, 0.2475, 0.3), "tiny": (2, 2, 0.005, 0.2)}
+    got = {r.source: (r.records, r.most_copies, r.share, r.target_share, r.short_share) for r in Q.p9_shares(spark, str(tmp_path)).collect()}
+    assert got == {"big": (299, 1, 0.7475, 0.5, 0.0), "mid": (99, 1, 0.2475, 0.3, 0.0525), "tiny": (2, 2, 0.005, 0.2, 0.195)}
 
 
 # ---- provenance
