@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.hierarchy import _doubling
+from graphloom.operators.hierarchy import _doubling, forest, numbered
 from graphloom.plans.shared import materialise
 
 # Most rows of a view, by level of detail.
@@ -114,8 +114,10 @@ def complexity(ast: DataFrame, branching: list[str], loops: list[str]) -> DataFr
     Cyclomatic is 1 + branching nodes; cognitive adds one plus the branching
     nodes around each; loop depth is the deepest nesting of loops.
     """
-    n = ast.select("g", "id", "p", F.col("type").isin(*branching).cast("long").alias("b"), F.col("type").isin(*loops).cast("long").alias("l"))
-    state = n.select("g", "id", "p", F.col("b").alias("around"), F.col("l").alias("depth"))
+    kind = lambda names, c: F.col("name").isin(*names).cast("long").alias(c)
+    rows, links = numbered(forest(ast, group="g", node="id", parent="p", name="type"))
+    n = rows.select("g", "n", kind(branching, "b"), kind(loops, "l"))
+    state = links.select("n", "p").join(n, "n").select("n", "p", F.col("b").alias("around"), F.col("l").alias("depth"))
     placed, _ = _doubling(state, [], {"around": F.col("around") + F.col("b_around"), "depth": F.col("depth") + F.col("b_depth")}, "complexity")
-    both = materialise(n.select("g", "id", "b").join(placed.select("g", "id", "around", "depth"), ["g", "id"]), "complexity")
+    both = materialise(n.select("g", "n", "b").join(placed.select("n", "around", "depth"), "n"), "complexity")
     return both.groupBy("g").agg((1 + F.sum("b")).alias("cyclomatic"), F.sum(F.col("b") * F.col("around")).alias("cognitive"), F.max("depth").cast("int").alias("loop_depth"))

@@ -31,11 +31,11 @@ def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _forest(spark: SparkSession, sf_dir: str, name: str | None) -> DataFrame:
     nodes = hierarchy.latest_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "snapshots"), ["parent_id", *([name] if name else [])])
-    return hierarchy.forest(nodes, group="repo_id", node="node_id", parent="parent_id", name=name)
+    return hierarchy.forest(nodes, group="repo_id", node="node_id", parent="parent_id", name=name, once=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.nested_sets(_forest(spark, sf_dir, None)).select(F.col("g").alias("repo_id"), F.col("id").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"))
+    return hierarchy.nested_sets(_forest(spark, sf_dir, None), paths=False).select(F.col("g").alias("repo_id"), F.col("id").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"))
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All descendants of every node, by nested-set ranges."""
-    ranges = hierarchy.nested_sets(_forest(spark, sf_dir, None))
+    ranges = hierarchy.nested_sets(_forest(spark, sf_dir, None), paths=False)
     out = hierarchy.descendants_of(ranges, ranges)
     return out.select(F.col("g").alias("repo_id"), F.col("id").alias("node_id"), F.col("descendant").alias("descendant_id"))
 

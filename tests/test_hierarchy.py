@@ -58,6 +58,13 @@ def test_random_and_deep(spark):
     check(spark, parents)
 
 
+def test_hot_parents_and_cut_families(spark, monkeypatch):
+    monkeypatch.setattr(H, "HOT_ROWS", 4)
+    monkeypatch.setattr(H, "_BUCKET_ROWS", 3)
+    parents = {f"c{i:02}": ("r", "c00", None)[i % 3] for i in range(1, 40)} | {"r": None, "c00": "r", "loop": "c99", "c99": "loop"} | {f"l{i}": "loop" for i in range(9)}
+    check(spark, parents)
+
+
 def test_edges(spark):
     schema = "grp string, id string, p string"
     run = lambda rows: sorted(tuple(r) for r in H.nested_sets(H.forest(spark.createDataFrame(rows, schema), group="grp", node="id", parent="p")).select("g", "id", "root", "depth").collect())
