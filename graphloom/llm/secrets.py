@@ -2,8 +2,8 @@
 
 A literal beside an assignment to a credential-like name is segmented into
 dictionary words by Viterbi over the word costs of a public tokenizer's
-vocabulary; what the words do not explain is the literal's residual, and a
-long enough residual makes it a secret.  Digests, commit ids, UUIDs,
+vocabulary; what the words do not explain is the literal's residual, and its
+longest run, if long enough, makes it a secret.  Digests, commit ids, UUIDs,
 placeholders and references are excluded first.  Tokens of well-known issuers,
 key blocks, authorization values and passwords inside URLs are recognised by
 their own form, whatever the name beside them.
@@ -64,6 +64,8 @@ def _parted(words: list[str]) -> str:
 
 # Every name that name_says_credential accepts matches: its words whole, wherever they stand, or in two parts.
 _TERM = r"pass|pw|secret|token|key|credential|authori[sz]ation|kennwort|contrase|clave|senha|" + _parted(list(_NAMES))
+_TRIPLE = re.compile(r"(?:=>|=|:)\s*\(?\s*[bBrRuUfF]{0,2}(\"\"\"|'''|`)")
+_NAMED = re.compile(r"([A-Za-z_$][\w$.\-]*)[\"'`]?\]?(?:\s*:\s*[\w.\[\]| ]+)?\s*$")
 _HINT = re.compile(rf"(?i){_TERM}|bearer|basic|://|curl|wget|_live_|gh[pousr]_|github_pat|glpat-|npm_|AIza|SG\.|ASIA|xox|AKIA|eyJ")
 _KEYED = re.compile(
     r"(?<![\w$.\-])(?P<name>[A-Za-z_$][\w$.\-]*)(?P<close>[\"'`]?\]?)"
@@ -87,6 +89,7 @@ _NEXT_PAIR = re.compile(r"\s*,\s*['\"][\w.\-]+['\"]\s*[:=]")
 _HEX = re.compile(r"(?i)^(?:(?:md5|sha-?\d+|blake2b?)[:\-=$].*|0x[0-9a-f]+|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$")
 _HOLE = re.compile(r"\$\{|\$\(|\{\{|\}\}|^\{.*\}$|^<.*>$|^%\(|^%[A-Za-z_]+%$|^\$[A-Za-z_]|^@[A-Za-z_]+@$|^#\{|\(\)$|://")
 _DUMMY = re.compile(r"(?i)replace|change.?(?:me|this|it)|^your|[_\-<\s]your[_\-\s]|placeholder|example|dummy|redacted|masked|todo|fixme|insert|^(?:none|null|nil|undefined|true|false|empty|test|secret|password|token|xxx+.*|abc123.*|1234.*)$|^env[:.]|^vault[:.]|process\.env|os\.environ|getenv|^secretmanager|^ssm:|^arn:|^ssh-|^file:|^ref:")
+_WOVEN = re.compile(r"[A-Za-z]\d+[A-Za-z]")
 _REPEATED = re.compile(r"^(.)\1+$")
 _UNQUOTED = {"yaml", "properties", "bash", "markdown", "ini", "env", "shell", "dotenv", "text", "toml", None}
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;)|\s(?://|#)\s")
@@ -116,14 +119,14 @@ _CHAR_COST = math.log(62)
 
 
 def residual(value: str, costs: dict[str, float]) -> tuple[int, float]:
-    """Characters of ``value`` that no dictionary word explains, and the cost per character of the best segmentation."""
+    """The longest run of characters of ``value`` that no dictionary word explains, and the cost per character of the best segmentation."""
     low, n = value.lower(), len(value)
     best = [0.0] * (n + 1)
-    left = [0] * (n + 1)
+    word = [0] * (n + 1)  # length of the piece that ends here: 0 a separator, 1 an unexplained character, else a word
     for i in range(1, n + 1):
         c = low[i - 1]
         sep = c in "-_. /+#" and 1 < i < n
-        b, r = best[i - 1] + (1.0 if sep else _CHAR_COST), left[i - 1] + (not sep)
+        b, w = best[i - 1] + (1.0 if sep else _CHAR_COST), int(not sep)
         if c.isalpha():
             for k in range(3, min(14, i) + 1):
                 j = i - k
@@ -132,30 +135,39 @@ def residual(value: str, costs: dict[str, float]) -> tuple[int, float]:
                 cost = costs.get(low[j:i])
                 if cost is None:
                     continue
-                w = value[j:i]
-                if not (w.islower() or w.isupper() or w[1:].islower()):
+                x = value[j:i]
+                if not (x.islower() or x.isupper() or x[1:].islower()):
                     continue
                 if best[j] + cost < b:
-                    b, r = best[j] + cost, left[j]
-        best[i], left[i] = b, r
-    return left[n], best[n] / max(1, n)
+                    b, w = best[j] + cost, k
+        best[i], word[i] = b, w
+    longest = run = 0
+    i = n
+    while i:
+        run = run + 1 if word[i] == 1 else 0
+        longest = max(longest, run)
+        i -= max(1, word[i])
+    return longest, best[n] / max(1, n)
+
+
+# Unexplained characters in a row that make a literal beside a credential's name a secret, and as many in one of letters alone.
+LEAST_RUN, LEAST_LETTERS = 2, 6
 
 
 def usable(value: str, costs: dict[str, float]) -> bool:
-    """Whether a literal beside a credential's name is a credential someone could use."""
+    """Whether a literal beside a credential's name is a credential someone could use; one of under six characters is not."""
     v = value.strip()
-    if len(v) < 6 or _HEX.match(v) or _HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v) or " " in v or not v.isprintable():
-        return False
-    bare = v.replace("%", "")
-    rest, per_char = residual(bare, costs)
-    if rest < 2:
+    if len(v) < 6 or _HEX.match(v) or _HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v) or not v.isprintable():
         return False
-    if not any(c.isdigit() or c in "!@#$%^&*+=?~/" for c in v):
-        words = re.split(r"[-_.]", v)
-        if all(w.islower() or w.isupper() or w.istitle() for w in words if w) or re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+", v):
-            return rest >= 8 and per_char > 3.4
-        return rest >= 6
-    return len(v) >= 8 or rest >= 5
+    if re.search(r"\s", v):  # words are prose; letters around digits are not
+        return any(_WOVEN.search(w) and residual(w, costs)[0] >= LEAST_LETTERS for w in v.split())
+    run, per_char = residual(v.replace("%", ""), costs)
+    if any(c.isdigit() or c in "!@#$%^&*+=?~/" for c in v):
+        return run >= LEAST_RUN and (len(v) >= 8 or run >= 5)
+    words = [w for w in re.split(r"[-_.]", v) if w]
+    if all(w.islower() or w.isupper() or w.istitle() for w in words) or re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+", v):
+        return run >= 8 and per_char > 3.4  # a name in words of another language costs less
+    return run >= LEAST_LETTERS
 
 
 def _unquote(raw: str) -> tuple[str, int]:
@@ -168,7 +180,11 @@ def _unquote(raw: str) -> tuple[str, int]:
 
 
 def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the credentials in ``text``, in order, not overlapping."""
+    """(start, end, kind) of the credentials in ``text``, in order, not overlapping.
+
+    A credential put together from several literals, or written over several
+    lines, has one span for each; all but the first are ``continued``.
+    """
     if not text or not _HINT.search(text):
         return []
     out: list[tuple[int, int, str]] = []
@@ -183,7 +199,7 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
             out.append((m.start(), m.end(), "issued_token"))
     for m in _URL.finditer(text):
         v = m[2]
-        if not (_HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v)) and len(v) >= 4 and residual(v, costs)[0] >= 2:
+        if not (_HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v)) and len(v) >= 4 and residual(v, costs)[0] >= LEAST_RUN:
             out.append((m.start(2), m.end(2), "url_password"))
     for m in _LOGIN.finditer(text):
         if usable(m[2], costs):
@@ -208,6 +224,7 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
                 continue
             value, skip = _unquote(raw)
             whole, end = value, at + skip + len(value)
+            spans = [(line_start + at + skip, line_start + end)]
             if skip:
                 j, pieces = line_start + at + len(raw), [value]
                 while (p := _JOINED.match(text, j)) and _JOINS.match(text, j) and not _NEXT_PAIR.match(text, j):
@@ -217,11 +234,14 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
                     if between.strip() == "" and ("\n" not in between or language not in ("python", "c", "cpp")):
                         break
                     pieces.append(p[1][1:-1])
+                    spans.append((p.start(1) + 1, p.end(1) - 1))
                     j = p.end()
-                if len(pieces) > 1:
-                    whole, end = "".join(pieces), j - 1 - line_start
+                whole = "".join(pieces)
             if usable(whole, costs):
-                out.append((line_start + at + skip, line_start + end, "assigned"))
+                out += _assigned(spans)
+    for name, spans in _long_literals(text):
+        if name_says_credential(name) and usable("".join(text[a:b] for a, b in spans), costs):
+            out += _assigned(spans)
     out.sort(key=lambda s: (s[0], -s[1]))
     kept: list[tuple[int, int, str]] = []
     for s in out:
@@ -236,6 +256,23 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
 _TERMS = re.compile(rf"(?i){_TERM}")
 
 
+def _assigned(spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    return [(a, b, "continued" if k else "assigned") for k, (a, b) in enumerate((a, b) for a, b in spans if a < b)]
+
+
+def _long_literals(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(name, spans) of the literals in triple quotes or back quotes, one span for each of their lines."""
+    at = 0
+    while m := _TRIPLE.search(text, at):
+        begin, end = m.end(), text.find(m[1], m.end())
+        named = _NAMED.search(text[text.rfind("\n", 0, m.start()) + 1 : m.start()])
+        if end < 0:
+            return
+        at = end + len(m[1])
+        if named and (m[1] != "`" or "\n" in text[begin:end]):
+            yield named[1], [(begin + x.start(), begin + x.end()) for x in _SOLID.finditer(text[begin:end])]
+
+
 def _hinted(text: str) -> Iterator[tuple[int, str]]:
     """(offset, line) of the lines naming a credential, each once."""
     last = -1
@@ -280,6 +317,7 @@ def _candidates(line: str, language: str | None) -> Iterator[tuple[str, int, str
         at = m.end() if skip or any(map(name_says_credential, names)) else start
 
 
+_SOLID = re.compile(r"[^\s\\](?:[^\r\n\\]*[^\s\\])?")
 _LETTER = re.compile(r"[^\r\n]")
 
 
@@ -302,6 +340,8 @@ def secret_lines(sources: DataFrame, vocabulary: str = WORD_VOCABULARY) -> DataF
 
     def emit(file_id, blob_sha, language, text):
         for start, _, kind in find(text, language, word_costs(vocabulary)):
+            if kind == "continued":
+                continue
             yield file_id, blob_sha, text.count("\n", 0, start) + 1, kind
 
     return map_rows(sources, ["file_id", "blob_sha", "language", "text"], emit, "file_id string, blob_sha string, line_no int, kind string").distinct()
@@ -313,6 +353,6 @@ def masked_texts(sources: DataFrame, vocabulary: str = WORD_VOCABULARY) -> DataF
     def emit(file_id, blob_sha, language, text):
         spans = find(text, language, word_costs(vocabulary))
         if spans:
-            yield file_id, blob_sha, len(spans), masked(text, spans)
+            yield file_id, blob_sha, sum(kind != "continued" for *_, kind in spans), masked(text, spans)
 
     return map_rows(sources, ["file_id", "blob_sha", "language", "text"], emit, "file_id string, blob_sha string, credentials int, text string").dropDuplicates(["file_id", "blob_sha"])

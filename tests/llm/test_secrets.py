@@ -1,6 +1,8 @@
 """Credentials found, decoys left alone, masking exact."""
 
+import ast
 import base64
+import json
 
 import pytest
 
@@ -29,10 +31,10 @@ CLEAN = [
 def test_found(line, language):
     text = f"first\r\n{line}\r\nlast"
     spans = S.find(text, language, COSTS)
-    assert len(spans) == 1 and text.count("\n", 0, spans[0][0]) == 1
+    assert [k for *_, k in spans].count("continued") == len(spans) - 1 and text.count("\n", 0, spans[0][0]) == 1
     hidden = S.masked(text, spans)
     assert len(hidden) == len(text) and hidden != text and hidden.count("\r\n") == 2
-    assert text[: spans[0][0]] == hidden[: spans[0][0]] and text[spans[0][1]:] == hidden[spans[0][1]:]
+    assert text[: spans[0][0]] == hidden[: spans[0][0]] and text[spans[-1][1]:] == hidden[spans[-1][1]:]
     assert S.find(hidden, language, COSTS) == [] or S.find(hidden, language, COSTS)[0][2] == "private_key"
 
 
@@ -74,6 +76,30 @@ def test_every_credential_inside_a_literal(text, hidden):
     assert S.masked(text, S.find(text, "python", COSTS)) == hidden
 
 
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ('token = ("kIk99jhCLH"\n         "i2vMYUSRuM77")\n', 'token = ("XXXXXXXXXX"\n         "XXXXXXXXXXXX")\n'),
+        ('token = ("kIk99jhCLH" +\n         "i2vMYUSRuM77")\nx = 1\n', 'token = ("XXXXXXXXXX" +\n         "XXXXXXXXXXXX")\nx = 1\n'),
+        ("secret = 'kIk99jhCLH' \\\n    'i2vMYUSRuM77'\n", "secret = 'XXXXXXXXXX' \\\n    'XXXXXXXXXXXX'\n"),
+        ('password = """kIk99jhCLH\n  i2vMYUSRuM77\n"""\n', 'password = """XXXXXXXXXX\n  XXXXXXXXXXXX\n"""\n'),
+        ('passphrase = "tr0ub4dor &3 xk29"\n', 'passphrase = "XXXXXXXXXXXXXXXXX"\n'),
+        ('password = "Enter your password, at least 8 characters"\n', 'password = "Enter your password, at least 8 characters"\n'),
+        ('password = f"""{secret}\n"""\n', 'password = f"""{secret}\n"""\n'),
+    ],
+)
+def test_masked_python_still_parses(text, hidden):
+    got = S.masked(text, S.find(text, "python", COSTS))
+    assert got == hidden
+    ast.parse(got)
+
+
+def test_masked_data_still_parses():
+    text = '{"db": {"password": "kT9v\\"Q2mXw7", "user": "x"}, "api_key": "Zq83hsKd92Lm"}'
+    got = S.masked(text, S.find(text, "json", COSTS))
+    assert json.loads(got)["db"]["user"] == "x" and "kT9v" not in got and "Zq83" not in got
+
+
 def long_value(n):
     return "".join("kT9vQ2mXw7Zq83hsKd92Lm4pRb6"[(i * i + i // 27) % 27] for i in range(n))
 
