@@ -51,13 +51,32 @@ FlowItem = FlowNode | FlowNode ':' FlowNode? | '?' FlowNode (':' FlowNode?)? | '
 FlowNode = SCALAR | ALIAS | Flow | Props SCALAR? | Props Flow ;
 """
 
+
+
+def _parameters(name: str, one: str, starred: str) -> str:
+    """Parameter lists: plain ones, then those with defaults, one slash among them, then what follows a star."""
+    n = name
+    return f"""
+{n} = {n}N {n}A | {n}D {n}B | {n}S ;
+{n}N = {one} ;
+{n}D = {one} '=' Expr ;
+{n}A = | ',' | ',' {n}N {n}A | ',' {n}D {n}B | ',' '/' {n}P | ',' {n}S ;
+{n}B = | ',' | ',' {n}D {n}B | ',' '/' {n}Q | ',' {n}S ;
+{n}P = | ',' | ',' {n}N {n}P | ',' {n}D {n}Q | ',' {n}S ;
+{n}Q = | ',' | ',' {n}D {n}Q | ',' {n}S ;
+{n}S = '*' {starred} {n}K | '*' ',' ({n}N | {n}D) {n}K | {n}W ;
+{n}K = | ',' | ',' ({n}N | {n}D) {n}K | ',' {n}W ;
+{n}W = '**' {one} ','? ;
+"""
+
+
 PYTHON = """
 File = (Stmt | NEWLINE)* ;
 Stmt = Simple | Compound ;
 Simple = Small (';' Small)* ';'? NEWLINE ;
-Small = Exprs | Exprs ('=' Right)+ | Exprs AUG Right | Power ':' Expr ('=' Right)? | '(' Power ')' ':' Expr ('=' Right)?
+Small = Exprs | (Targets '=')+ Right | Single AUG Right | Single ':' Expr ('=' Right)?
   | 'pass' | 'break' | 'continue' | 'return' Exprs? | Yield | 'raise' (Expr ('from' Expr)?)? | ('global' | 'nonlocal') (Name % ',')
-  | 'del' Exprs | 'assert' Expr (',' Expr)? | 'import' (Dotted ('as' Name)?) % ','
+  | 'del' Deleted | 'assert' Expr (',' Expr)? | 'import' (Dotted ('as' Name)?) % ','
   | 'from' ('.' | '...')* Dotted 'import' Imported | 'from' ('.' | '...')+ 'import' Imported | 'type' Name TypeParams? '=' Expr ;
 Imported = '*' | (As % ',') | '(' (As % ',') ','? ')' ;
 As = Name ('as' Name)? ;
@@ -67,7 +86,7 @@ Yield = 'yield' Exprs? | 'yield' 'from' Expr ;
 Suite = Simple | NEWLINE INDENT Stmt+ DEDENT ;
 Compound = 'if' Named ':' Suite ('elif' Named ':' Suite)* ('else' ':' Suite)? | 'while' Named ':' Suite ('else' ':' Suite)?
   | 'async'? 'for' Targets 'in' Exprs ':' Suite ('else' ':' Suite)? | 'async'? 'with' Withs ':' Suite | Try
-  | Decorator* 'async'? 'def' Name TypeParams? '(' Params? ')' ('->' Exprs)? ':' Suite | Decorator* 'class' Name TypeParams? ('(' Args? ')')? ':' Suite
+  | Decorator* 'async'? 'def' Name TypeParams? '(' Params? ')' ('->' Exprs)? ':' Suite | Decorator* 'class' Name TypeParams? ('(' Bases? ')')? ':' Suite
   | 'match' Exprs ':' NEWLINE INDENT Case+ DEDENT ;
 Decorator = '@' Named NEWLINE ;
 TypeParams = '[' (TypeParam % ',') ','? ']' ;
@@ -75,39 +94,46 @@ TypeParam = ('*' | '**')? Name (':' Expr)? ('=' Expr)? ;
 Try = 'try' ':' Suite Except+ ('else' ':' Suite)? ('finally' ':' Suite)? | 'try' ':' Suite 'finally' ':' Suite ;
 Except = 'except' '*'? (Exprs ('as' Name)?)? ':' Suite ;
 Withs = (With % ',') | '(' (With % ',') ','? ')' ;
-With = Expr ('as' Power)? | Expr 'as' '(' Targets ')' | Expr 'as' '[' Targets ']' ;
+With = Expr ('as' Target)? ;
 Case = 'case' Patterns ('if' Named)? ':' Suite ;
 Patterns = Pattern (',' Pattern)* ','? ;
 Pattern = OrPat ('as' Name)? | '*' Name ;
 OrPat = ClosedPat % '|' ;
-ClosedPat = '-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | Dotted | '(' Patterns? ')' | '[' Patterns? ']'
+ClosedPat = '-'? NUM (('+' | '-') NUM)? | STR+ | BYTES+ | 'None' | 'True' | 'False' | Dotted | '(' Patterns? ')' | '[' Patterns? ']'
   | '{' (KeyPat (',' KeyPat)* ','?)? '}' | Dotted '(' (ArgPat (',' ArgPat)* ','?)? ')' ;
 KeyPat = ClosedPat ':' Pattern | '**' Name ;
 ArgPat = Pattern | Name '=' Pattern ;
-Params = Param (',' Param)* ','? ;
-Param = Name (':' Star)? ('=' Expr)? | '*' (Name (':' Star)?)? | '**' Name (':' Expr)? | '/' ;
+""" + _parameters("Params", "Name (':' Expr)?", "Name (':' Star)?") + _parameters("LambdaParams", "Name", "Name") + """
 Star = Expr | '*' Power ;
-LambdaParams = LambdaParam (',' LambdaParam)* ','? ;
-LambdaParam = Name ('=' Expr)? | '*' Name? | '**' Name | '/' ;
 Targets = Target (',' Target)* ','? ;
-Target = '*'? Power ;
+Target = '*'? Place ;
+Place = Name | Power '.' Name | Power '[' Slices ']' | '(' Targets? ')' | '[' Targets? ']' ;
+Single = Name | Power '.' Name | Power '[' Slices ']' | '(' Single ')' ;
+Deleted = Gone (',' Gone)* ','? ;
+Gone = Name | Power '.' Name | Power '[' Slices ']' | '(' Deleted? ')' | '[' Deleted? ']' ;
 Exprs = One (',' One)* ','? ;
 One = Named | '*' Bin ;
 Named = Expr | Name ':=' Expr ;
 Expr = Bin | Bin 'if' Bin 'else' Expr | 'lambda' LambdaParams? ':' Expr ;
-Bin = Unary | Bin OP Unary | Bin 'not' 'in' Unary | Bin 'is' 'not' Unary | Bin 'in' Unary | Bin 'is' Unary | Bin '-' Unary | Bin '+' Unary | Bin '*' Unary | Bin '**' Unary | Bin '/' Unary | Bin '|' Unary | Bin '@' Unary ;
-Unary = Power | ('not' | '-' | '+' | '~') Unary ;
+Bin = Not | Bin LOGIC Not ;
+Not = Sum | 'not' Not ;
+Sum = Unary | Sum OP Unary | Sum 'not' 'in' Unary | Sum 'is' 'not' Unary | Sum 'in' Unary | Sum 'is' Unary | Sum '-' Unary | Sum '+' Unary | Sum '*' Unary | Sum '**' Unary | Sum '/' Unary | Sum '|' Unary | Sum '@' Unary ;
+Unary = Power | ('-' | '+' | '~') Unary ;
 Power = Atom | 'await' Atom | Power '.' Name | Power '(' Args? ')' | Power '[' Slices ']' ;
-Args = Arg (',' Arg)* ','? ;
-Arg = Named | Name '=' Expr | '*' Expr | '**' Expr | Named Comp ;
+Args = Bases | Named Comp ;
+Bases = (Given % ',') ','? | (Given % ',') ',' Keywords ','? | Keywords ','? ;
+Given = Named | '*' Expr ;
+Keywords = (Keyword % ',') | (Keyword % ',') ',' (Spread % ',') | (Spread % ',') ;
+Keyword = Name '=' Expr | '*' Expr ;
+Spread = Name '=' Expr | '**' Expr ;
 Slices = Slice (',' Slice)* ','? ;
 Slice = Named | '*' Bin | Expr? ':' Expr? (':' Expr?)? | Expr? ':=' Expr ;
 Comp = CompFor+ ;
 CompFor = 'async'? 'for' Targets 'in' Bin CompIf* ;
 CompIf = 'if' CondIf ;
 CondIf = Bin | 'lambda' LambdaParams? ':' Expr | Name ':=' Bin ;
-Atom = Name | NUM | STR+ | '...' | 'None' | 'True' | 'False' | '(' Exprs? ')' | '(' Yield ')' | '(' One Comp ')' | '[' Exprs? ']' | '[' One Comp ']'
-  | '{' Exprs '}' | '{' One Comp '}' | '{' (Pair (',' Pair)* ','?)? '}' | '{' Expr ':' Expr Comp '}' ;
+Atom = Name | NUM | STR+ | BYTES+ | '...' | 'None' | 'True' | 'False' | '(' Exprs? ')' | '(' Yield ')' | '(' Named Comp ')' | '[' Exprs? ']' | '[' Named Comp ']'
+  | '{' Exprs '}' | '{' Named Comp '}' | '{' (Pair (',' Pair)* ','?)? '}' | '{' Expr ':' Expr Comp '}' ;
 Pair = Expr ':' Expr | '**' Bin ;
 Name = ID | 'match' | 'case' | 'type' ;
 """
@@ -138,6 +164,19 @@ Prim{s} = Name | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'tru
 """
 
 
+def _statements(suffix: str, ann: str, typed: bool) -> str:
+    """Statements outside of functions, or with suffix F inside of them, where a return may stand."""
+    f = suffix
+    return f"""
+Stmt{f} = Block{f} | VarStmt | ';' | ExprS Semi | 'if' '(' Expr ')' Stmt{f} | 'if' '(' Expr ')' Stmt{f} 'else' Stmt{f} | 'for' 'await'? '(' ForHead ')' Stmt{f} | 'while' '(' Expr ')' Stmt{f}
+  | 'do' Stmt{f} 'while' '(' Expr ')' Semi? | 'continue' Name? Semi | 'break' Name? Semi {"| 'return' Expr? Semi" if f else ""} | 'throw' Expr Semi | 'debugger' Semi
+  | 'switch' '(' Expr ')' '{{' CaseClause{f}* '}}' | 'try' Block{f} 'catch' ('(' Binding {ann} ')')? Block{f} ('finally' Block{f})? | 'try' Block{f} 'finally' Block{f}
+  | Function | Class | Name ':' Stmt{f} {"| TypeDecl" if typed else ""} ;
+Block{f} = '{{' Stmt{f}* '}}' ;
+CaseClause{f} = 'case' Expr ':' Stmt{f}* | 'default' ':' Stmt{f}* ;
+"""
+
+
 def _script(typed: bool) -> str:
     """The module grammar of JavaScript, or with types that of TypeScript."""
     ann = "(':' Type)?" if typed else ""
@@ -159,13 +198,7 @@ Spec = {"'type'?" if typed else ""} Word ('as' Word)? | STR ('as' Word)? | Word
 Export = 'export' VarStmt | 'export' Function | 'export' Class | 'export' 'default' Function | 'export' 'default' Class | 'export' 'default' AssignS Semi
   | 'export' '*' ('as' (Word | STR))? 'from' STR Attrs? Semi | 'export' {"'type'?" if typed else ""} Named ('from' STR Attrs?)? Semi
   {"| Decorator+ 'export' 'default'? Class | 'export' TypeDecl | 'export' '=' Expr Semi | 'export' 'default' TypeDecl | 'export' 'as' 'namespace' Name Semi | 'export' 'import' Name '=' Expr Semi" if typed else ""} ;
-Stmt = Block | VarStmt | ';' | ExprS Semi | 'if' '(' Expr ')' Stmt | 'if' '(' Expr ')' Stmt 'else' Stmt | 'for' 'await'? '(' ForHead ')' Stmt | 'while' '(' Expr ')' Stmt
-  | 'do' Stmt 'while' '(' Expr ')' Semi? | 'continue' Name? Semi | 'break' Name? Semi | 'return' Expr? Semi | 'throw' Expr Semi | 'debugger' Semi
-  | 'switch' '(' Expr ')' '{{' CaseClause* '}}' | 'try' Block 'catch' ('(' Binding {ann} ')')? Block ('finally' Block)? | 'try' Block 'finally' Block
-  | Function | Class | Name ':' Stmt {"| TypeDecl" if typed else ""} ;
-Semi = ';' | ASI ;
-Block = '{{' Stmt* '}}' ;
-CaseClause = 'case' Expr ':' Stmt* | 'default' ':' Stmt* ;
+{_statements("", ann, typed)}{_statements("F", ann, typed)}Semi = ';' | ASI ;
 VarStmt = VarKind (Declarator % ',') Semi ;
 VarKind = 'var' | 'let' | 'const' ;
 Declarator = Binding {"'!'?" if typed else ""} {ann} ('=' Assign)? ;
@@ -175,7 +208,7 @@ BindElems = BindElem? (',' BindElem?)* ;
 BindElem = Binding ('=' Assign)? | '...' Binding ;
 BindProp = PropName ':' Binding ('=' Assign)? | Name ('=' Assign)? | '...' Binding ;
 Function = 'async'? 'function' '*'? Name? {tp} '(' Params? ')' {ret} {body} ;
-FBody = '{{' Stmt* '}}' ;
+FBody = '{{' StmtF* '}}' ;
 Params = Param (',' Param)* ','? ;
 Param = {"Decorator* ParamMod*" if typed else ""} Binding {opt} {ann} ('=' Assign)? | {"Decorator*" if typed else ""} '...' Binding {ann} {"| 'this' ':' Type" if typed else ""} ;
 Arrow = 'async'? Name '=>' ArrowBody | 'async'? {tp} '(' Params? ')' {ret} '=>' ArrowBody ;
@@ -214,7 +247,7 @@ TArgs = '<' (Type % ',') '>' ;
 TypeRef = Name ('.' Word)* TArgs? ;
 Type = Union | Union 'extends' Union '?' Type ':' Type | TParams? '(' Params? ')' '=>' Type | 'abstract'? 'new' TParams? '(' Params? ')' '=>' Type | (Name | 'this') 'is' Type | 'asserts' (Name | 'this') ('is' Type)? ;
 Union = ('|' | '&')? Postfix | Union ('|' | '&') Postfix | Union ('|' | '&') TParams? '(' Params? ')' '=>' Type ;
-Postfix = Basic | Postfix '[' ']' | Postfix '[' Type ']' | ('keyof' | 'readonly' | 'unique') Postfix | 'infer' Name | 'typeof' ('this' | Name) ('.' Word)* TArgs? | 'typeof' 'import' '(' STR ')' ;
+Postfix = Basic | Postfix '[' ']' | Postfix '[' Type ']' | ('keyof' | 'readonly' | 'unique') Postfix | 'infer' Name ('extends' Postfix)? | 'typeof' ('this' | Name) ('.' Word)* TArgs? | 'typeof' 'import' '(' STR ')' ;
 Basic = TypeRef | STR | NUM | '-' NUM | TEMPLATE | 'void' | 'null' | 'this' | 'true' | 'false' | '(' Type ')' | '[' (TupleItem (',' TupleItem)* ','?)? ']' | TypeBody
   | '{' ('+' | '-')? 'readonly'? '[' Name 'in' Type ('as' Type)? ']' (('+' | '-')? '?')? (':' Type)? Semi? '}' | 'import' '(' STR ')' ('.' Word)* TArgs? ;
 TupleItem = '...'? Type '?'? | '...'? Name '?'? ':' Type ;
@@ -277,7 +310,7 @@ Switch = 'switch' '(' Expr ')' '{' Group* '}' ;
 Group = Label ':' BlockStmt* | Label '->' (Expr ';' | Block | 'throw' Expr ';') ;
 Label = 'case' (CaseItem % ',') ('when' Expr)? | 'default' ;
 CaseItem = Tern | Pattern | 'default' ;
-Pattern = Modifier* Type Name | Type '(' (Pattern % ',')? ')' Name? ;
+Pattern = '_' | Modifier* Type Name | Type '(' (Pattern % ',')? ')' Name? ;
 Expr = Tern | Post AOP Expr | Post '=' Expr | Post '>' '>=' Expr | Post '>' '>' '>=' Expr | Lambda ;
 Lambda = Name '->' LambdaBody | '(' (Name % ',')? ')' '->' LambdaBody | '(' Formals ')' '->' LambdaBody ;
 LambdaBody = Expr | Block ;
@@ -293,7 +326,7 @@ Literal = NUM | STR | CHAR | 'true' | 'false' | 'null' ;
 New = 'new' TArgs? Annotation* Ref Args ClassBody? | 'new' Annotation* Simple DimExpr+ Dims? | 'new' Annotation* Simple Dims '{' (Init (',' Init)* ','?)? '}' ;
 DimExpr = Annotation* '[' Expr ']' ;
 Args = '(' (Expr % ',')? ')' ;
-Name = ID | 'record' | 'sealed' | 'permits' | 'yield' | 'module' | 'open' | 'requires' | 'exports' | 'opens' | 'uses' | 'provides' | 'with' | 'to' | 'transitive' | 'when' | 'non' ;
+Name = ID | '_' | 'record' | 'sealed' | 'permits' | 'yield' | 'module' | 'open' | 'requires' | 'exports' | 'opens' | 'uses' | 'provides' | 'with' | 'to' | 'transitive' | 'when' | 'non' ;
 """
 
 GO = """

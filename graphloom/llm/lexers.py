@@ -44,6 +44,8 @@ _STRING = r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"'
 _SINGLE = r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'"
 _BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
 _BLOCK_COMMENT_1 = r"/\*[^*\n]*\*+(?:[^/*\n][^*\n]*\*+)*/"
+# Combining marks that identifiers may hold after their first letter.
+_MARKS = "\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u200c\u200d\ufe00-\ufe0f\U000e0100-\U000e01ef"
 _IDENT = r"[A-Za-z_$\u00aa-\uffff\U00010000-\U0010ffff][\w$]*"
 
 
@@ -134,7 +136,7 @@ def _java() -> Callable:
     words = (
         "abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface native new package "
         "private protected public return static strictfp super switch synchronized this throw throws transient try void volatile while true false null "
-        "record sealed permits yield module open requires exports opens uses provides with to transitive when non"
+        "record sealed permits yield module open requires exports opens uses provides with to transitive when non _"
     )
     fixed = _same(words, "{ } ( ) [ ] ; , < > + - * | & ! ~ ? : . @ = -> :: >= ++ -- ...")
     fixed |= dict.fromkeys("boolean byte char double float int long short".split(), "PRIMITIVE")
@@ -227,27 +229,36 @@ def _python() -> Callable:
     prefix = r"(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?"
     triple = rf"{prefix}(?:\"\"\"[^\"\\]*(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*)*\"\"\"|'''[^'\\]*(?:(?:\\[\s\S]|'(?!''))[^'\\]*)*''')"
     single = rf"{prefix}(?:{_STRING}|{_SINGLE})"
+    # Holes may hold the string's own quotes; what these patterns do not match is read as a plain string.
+    hole = r"\{(?:[^{}\"'\n]|\"[^\"\n]*\"|'[^'\n]*')*+\}"
+    for _ in range(2):
+        hole = rf"\{{(?:[^{{}}\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|{hole})*+\}}"
+    formatted = "|".join(rf"(?:[fFtT][rR]?|[rR][fFtT]){q}(?!{q})(?:[^{q}\\\n{{}}]|\\[^\n{{}}]|\{{\{{|\}}\}}|{hole})*+{q}" for q in "\"'")
     number = r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
     marks = r"\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@="
-    compiled = re.compile(rf"(?>[ \t\f]+|\\\r?\n)*+((?:(?:#[^\n]*)?\r?\n[ \t\f]*)+(?:#[^\n]*\Z)?|#[^\n]*\Z|{triple}|{single}|[^\W\d]\w*|{number}|{marks}|[\s\S]|\Z)")
+    compiled = re.compile(rf"(?>[ \t\f]+|\\\r?\n)*+((?:(?:#[^\n]*)?\r?\n[ \t\f]*)+(?:#[^\n]*\Z)?|#[^\n]*\Z|{triple}|{formatted}|{single}|[^\W\d][\w{_MARKS}]*|{number}|{marks}|[\s\S]|\Z)")
     words = "False None True as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not pass raise return try while with yield match case type"
     fixed = _same(words, "{ } ( ) [ ] ; , + - * / ** | @ ~ : . = := -> ...")
-    fixed |= dict.fromkeys("or and < > == >= <= != // % << >> & ^".split(), "OP")
+    fixed |= {"or": "LOGIC", "and": "LOGIC"}
+    fixed |= dict.fromkeys("< > == >= <= != // % << >> & ^".split(), "OP")
     fixed |= dict.fromkeys("+= -= *= /= //= %= &= |= ^= @= **= >>= <<=".split(), "AUG")
-    brace = re.compile(r"\{\{|\}\}")
+    escapes = re.compile(r"\\(?:(x)(?![\da-fA-F]{2})|(u)(?![\da-fA-F]{4})|(U)(?!00(?:0[\da-fA-F]|10)[\da-fA-F]{4})|[\s\S])")
 
     def classify(t: str) -> str:
         c = t[0]
         if c in "\r\n#":
             return NL
         if t[-1] in "\"'" and len(t) > 1:
-            if "f" in t[:2].lower() and c not in "\"'":
-                holes = brace.sub("", t)
-                if holes.count("{") != holes.count("}"):
-                    return ERROR
-            return "STR"
+            lead = t[: t.index(t[-1])].lower()
+            if "b" in lead and not t.isascii():
+                return ERROR
+            if "\\" in t and "r" not in lead and any(m[1] or (m[2] or m[3]) and "b" not in lead for m in escapes.finditer(t)):
+                return ERROR
+            return "BYTES" if "b" in lead else "STR"
         if c.isalpha() or c == "_":
             return "ID"
+        if c == "0" and t.replace("_", "").isdigit() and t.strip("0_"):
+            return ERROR
         return _number_or(t, ERROR)
 
     kinds = Kinds(fixed, classify)
@@ -310,13 +321,13 @@ def _python() -> Callable:
 
         return out, offset
 
-    formatted = re.compile(r"(?i)(?:f|fr|rf)[\"']")
+    opening = re.compile(r"(?i)(?:[ft]|[ft]r|r[ft])[\"']")
 
     def holes(text: str) -> Iterator[tuple[int, str]]:
         """(offset, expression) of the holes of the text's f-strings, format specifications included."""
-        if formatted.search(text):
+        if opening.search(text):
             for m in compiled.finditer(text):
-                if formatted.match(m[1]) and len(m[1]) > 2:
+                if opening.match(m[1]) and len(m[1]) > 2:
                     start = m[1].index(m[1][-1])
                     quote = 3 if m[1][start : start + 3] in ('"""', "'''") else 1
                     for at, hole in _python_holes(m[1], start + quote, len(m[1]) - quote, "r" in m[1][:start].lower()):
@@ -336,6 +347,12 @@ def _python_holes(token: str, at: int, end: int, raw: bool, spec: bool = False)
         if c == "\\" and not raw and not spec:
             at = token.find("}", at) + 1 if token.startswith("\\N{", at) else at + (1 if token[at + 1 : at + 2] in ("{", "}") else 2)
             continue
+        if c == "}" and not spec:
+            if not token.startswith("}}", at):
+                yield at, NOTHING
+                return
+            at += 2
+            continue
         if c != "{" or not spec and token.startswith("{{", at):
             at += 2 if c == "{" else 1
             continue

@@ -3,9 +3,8 @@
 Every file version is lexed and its whole token stream run through table-driven
 parsers built from bundled grammars; the first token no reading accepts is the
 file's error.  Tables are built once, on the driver, and broadcast (a few
-hundred kilobytes, whatever the data).  Where Python itself holds a language's
-parser, a file found invalid is shown to it and the finding dropped if it
-disagrees; files found valid are not.
+hundred kilobytes, whatever the data).  No other parser has a say, so a verdict
+does not depend on the Python an executor runs.
 
 Defined results: null texts have no status; an empty text is valid where the
 grammar has empty files; one leading byte order mark is ignored, a second is
@@ -15,11 +14,6 @@ by memory only, since stacks are linked lists.
 
 from __future__ import annotations
 
-import ast
-import json
-import tomllib
-import warnings
-import xml.parsers.expat
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -39,49 +33,6 @@ def built_tables() -> dict[str, dict]:
     return {language: tables(text) for language, text in GRAMMARS.items()}
 
 
-def _python_agrees(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (RecursionError, MemoryError):
-        return True
-    except (SyntaxError, ValueError):
-        return True
-    return False
-
-
-def _json_agrees(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_refuse)
-    except RecursionError:
-        return True
-    except ValueError:
-        return True
-    return False
-
-
-def _refuse(name: str):
-    raise ValueError(name)
-
-
-def _toml_agrees(text: str) -> bool:
-    try:
-        tomllib.loads(text)
-    except (ValueError, RecursionError):
-        return True
-    return False
-
-
-def _xml_agrees(text: str) -> bool:
-    try:
-        xml.parsers.expat.ParserCreate("utf-8").Parse(text.encode("utf-8", "surrogatepass"), True)
-    except xml.parsers.expat.ExpatError:
-        return True
-    return False
-
-
-CONFIRM = {"python": _python_agrees, "json": _json_agrees, "toml": _toml_agrees, "xml": _xml_agrees}
 _PARSERS: dict[str, Parser] = {}
 
 
@@ -117,9 +68,9 @@ def first_error(text: str, language: str, built: dict[str, dict] | None = None)
         text = text[1:]
     kinds, offset = LEXERS[language](text)
     at = parser(language, built).first_error(kinds)
-    if at < 0 and (inner := _hole_error(text, language, built)) and not (language in CONFIRM and not CONFIRM[language](text)):
+    if at < 0 and (inner := _hole_error(text, language, built)):
         return inner
-    if at < 0 or language in CONFIRM and not CONFIRM[language](text):
+    if at < 0:
         return None
     if at >= len(kinds):
         return text.count("\n") + 1, "end of file"
