@@ -46,27 +46,12 @@ _BODY = re.compile(r"(?:[\s'\"+,;()]|\\n|\\r|//|#|\*)*((?:[A-Za-z0-9+/=]{16,}))"
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]*://([^\s/:@\"'<>]*):([^\s/@\"'<>]+)@")
 _LOGIN = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user|-a|--auth)[ =]\s*[\"']?([^\s:\"']+):([^\s\"']+)")
 _AUTH = re.compile(r"(?i)\b(bearer|basic)\s+([A-Za-z0-9+/=._~\-]{8,})")
-_GAP = r"[^A-Za-z0-9\s]+"
-
-
-def _parted(words: list[str]) -> str:
-    """Pattern of the words with one gap somewhere inside, by their common beginnings."""
-    by_first: dict[str, list[str]] = {}
-    for w in words:
-        if len(w) > 1:
-            by_first.setdefault(w[0], []).append(w[1:])
-    ways = []
-    for c, rest in by_first.items():
-        more = _parted(rest)
-        ways.append(f"{c}(?:{_GAP}(?:{'|'.join(rest)}){'|' + more if more else ''})")
-    return "|".join(ways)
-
-
-# Every name that name_says_credential accepts matches: its words whole, wherever they stand, or in two parts.
-_TERM = r"pass|pw|secret|token|key|credential|authori[sz]ation|kennwort|contrase|clave|senha|" + _parted(list(_NAMES))
+# Every name that name_says_credential accepts holds one of these, and every other form one of the marks of its kind.
+_TERMS = ("pass", "pw", "secret", "token", "key", "credential", "authori", "kennwort", "contrase", "clave", "senha")
+_ISSUED_MARKS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "xox", "AKIA", "ASIA", "AIza", "npm_", "SG.", "eyJ")
+_TWO_PARTS = frozenset(w[:4] + " " + w[4:] for w in _NAMES if w.startswith("pass") and len(w) > 5) | {w.replace("key", " key") for w in _NAMES if w.endswith("key")}
 _TRIPLE = re.compile(r"(?:=>|=|:)\s*\(?\s*[bBrRuUfF]{0,2}(\"\"\"|'''|`)")
 _NAMED = re.compile(r"([A-Za-z_$][\w$.\-]*)[\"'`]?\]?(?:\s*:\s*[\w.\[\]| ]+)?\s*$")
-_HINT = re.compile(rf"(?i){_TERM}|bearer|basic|://|curl|wget|_live_|gh[pousr]_|github_pat|glpat-|npm_|AIza|SG\.|ASIA|xox|AKIA|eyJ")
 _KEYED = re.compile(
     r"(?<![\w$.\-])(?P<name>[A-Za-z_$][\w$.\-]*)(?P<close>[\"'`]?\]?)"
     r"(?P<type>\s*:\s*&?(?:'static )?[A-Za-z_][\w.<>\[\]| ]*(?==)|\s+[A-Za-z_][\w.\[\]]*\s*(?==))?"
@@ -102,7 +87,7 @@ def name_says_credential(name: str) -> bool:
         parts.pop()
     if not parts:
         return False
-    return parts[-1] in _NAMES or " ".join(parts[-2:]) in _PAIRS or "".join(parts[-2:]) in _NAMES
+    return parts[-1] in _NAMES or " ".join(parts[-2:]) in _PAIRS or " ".join(parts[-2:]) in _TWO_PARTS
 
 
 @lru_cache(maxsize=2)
@@ -185,26 +170,27 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
     A credential put together from several literals, or written over several
     lines, has one span for each; all but the first are ``continued``.
     """
-    if not text or not _HINT.search(text):
+    if not text:
         return []
+    low = _lower(text)
     out: list[tuple[int, int, str]] = []
-    for m in _BLOCK.finditer(text):
+    for m in _BLOCK.finditer(text) if "-----BEGIN" in text else ():
         body = _BODY.match(text, m.end())
         if body:
             end = text.find("-----END", m.end())
             out.append((m.start(), m.end() if end < 0 else end, "private_key"))
     blocks = list(out)
-    for m in _ISSUED.finditer(text):
+    for m in _ISSUED.finditer(text) if any(mark in text for mark in _ISSUED_MARKS) else ():
         if "EXAMPLE" not in m[0] and not re.search(r"(.)\1{7}", m[0]) and not m[0].lower().endswith("xxxx"):
             out.append((m.start(), m.end(), "issued_token"))
-    for m in _URL.finditer(text):
+    for m in _URL.finditer(text) if "://" in text else ():
         v = m[2]
         if not (_HOLE.search(v) or _DUMMY.search(v) or _REPEATED.match(v)) and len(v) >= 4 and residual(v, costs)[0] >= LEAST_RUN:
             out.append((m.start(2), m.end(2), "url_password"))
-    for m in _LOGIN.finditer(text):
+    for m in _LOGIN.finditer(text) if any(mark in text for mark in ("curl", "wget", "http")) else ():
         if usable(m[2], costs):
             out.append((m.start(2), m.end(2), "login"))
-    for m in _AUTH.finditer(text):
+    for m in _AUTH.finditer(text) if "bearer" in low or "basic" in low else ():
         v = m[2]
         if m[1].lower() == "basic":
             try:
@@ -216,7 +202,8 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
             out.append((m.start(2), m.end(2), "authorization"))
         elif len(v) >= 16 and usable(v, costs):
             out.append((m.start(2), m.end(2), "authorization"))
-    for m in _hinted(text):
+    named = _hinted(text, low)
+    for m in named:
         line_start, line = m
         for f in _candidates(line, language):
             name, at, raw = f
@@ -239,7 +226,7 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
                 whole = "".join(pieces)
             if usable(whole, costs):
                 out += _assigned(spans)
-    for name, spans in _long_literals(text):
+    for name, spans in _long_literals(text) if named else ():
         if name_says_credential(name) and usable("".join(text[a:b] for a, b in spans), costs):
             out += _assigned(spans)
     out.sort(key=lambda s: (s[0], -s[1]))
@@ -253,9 +240,6 @@ def find(text: str, language: str | None, costs: dict[str, float]) -> list[tuple
     return kept
 
 
-_TERMS = re.compile(rf"(?i){_TERM}")
-
-
 def _assigned(spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     return [(a, b, "continued" if k else "assigned") for k, (a, b) in enumerate((a, b) for a, b in spans if a < b)]
 
@@ -273,17 +257,22 @@ def _long_literals(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             yield named[1], [(begin + x.start(), begin + x.end()) for x in _SOLID.finditer(text[begin:end])]
 
 
-def _hinted(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, line) of the lines naming a credential, each once."""
-    last = -1
-    for m in _TERMS.finditer(text):
-        if m.start() < last:
-            continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        last = end
-        yield start, text[start:end]
+def _lower(text: str) -> str:
+    """``text`` in lower case, place by place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def _hinted(text: str, low: str) -> list[tuple[int, str]]:
+    """(offset, line) of the lines naming a credential, in order."""
+    starts: set[int] = set()
+    for term in _TERMS:
+        at = low.find(term)
+        while at >= 0:
+            starts.add(low.rfind("\n", 0, at) + 1)
+            end = low.find("\n", at)
+            at = low.find(term, end) if end >= 0 else -1
+    return [(a, text[a : b if b >= 0 else len(text)]) for a in sorted(starts) for b in (text.find("\n", a),)]
 
 
 def _candidates(line: str, language: str | None) -> Iterator[tuple[str, int, str]]:
