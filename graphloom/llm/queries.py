@@ -79,7 +79,11 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_status, p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p10_found, p10_shared)}
+def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_stretches(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_status, p3_found, p3_masked, p6_found, p6_pairs, p7_found, p7_reasons, p8_found, p8_removals, p9_mixture, p9_shares, p10_found, p10_shared, p10_stretches)}
 _PHRASES = """WITH w AS (SELECT item_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM heldout),
 d AS (SELECT DISTINCT doc_id, string_split(lower(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')), ' ') AS words FROM documents),
 i AS (SELECT item_id, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM w)),
@@ -91,6 +95,8 @@ d AS (SELECT DISTINCT h, doc_id FROM g), m AS (SELECT h FROM d GROUP BY 1 HAVING
 ORACLE: dict[str, str] = {
     "p8_found": _PHRASES + "SELECT DISTINCT item_id, doc_id FROM i JOIN p USING (phrase)",
     "p10_found": _GRAMS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_stretches": _GRAMS + """, w AS (SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 200, true) AS begins FROM g SEMI JOIN m USING (h)),
+r AS (SELECT doc_id, k, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM w) SELECT doc_id, min(k) - 1 AS start, max(k) + 200 - min(k) AS chars FROM r GROUP BY doc_id, run""",
     "p10_shared": _GRAMS + """, w AS (SELECT doc_id, least(200, coalesce(lead(k) OVER (PARTITION BY doc_id ORDER BY k) - k, 200)) AS gained FROM g SEMI JOIN m USING (h)), c AS (SELECT doc_id, sum(gained) AS shared FROM w GROUP BY 1),
 t AS (SELECT doc_id, max(coalesce(length(text), 0)) AS chars FROM documents GROUP BY 1) SELECT t.doc_id, chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN chars = 0 THEN 0.0 ELSE round(coalesce(shared, 0) / chars, 6) END AS share FROM t LEFT JOIN c ON c.doc_id = t.doc_id""",
 }

@@ -3,13 +3,18 @@
 Suffixes are taken at content-chosen anchors: in every stretch of the wanted
 length the gram of least hash is an anchor, so two documents that share such a
 stretch share an anchor at the same place inside it and no shared stretch is
-lost.  Suffixes are partitioned by their first gram; only partitions that hold
-two documents are kept, and a partition beyond the memory bound is split
-further by the whole stretch around the anchor (a longer prefix), where every
-pair left is a result.  Inside a partition the suffixes are laid side by side
-and, offset by offset, equal stretches form the tree's deep nodes; a pair is
-given at the first offset where it matches, extended to its maximal repeat and
-compared character by character.
+lost.  A stretch begins ``l`` characters before its anchor, 0 <= l <= length -
+gram.  Suffixes are partitioned by their first gram, which lies in the
+stretches of all ``l``; a partition beyond ``group_rows`` is halved by ``l``,
+each half keyed by the longer prefix that its stretches have in common, until
+it fits or the prefix is the whole stretch, where the partition is one node.
+
+Inside a partition the suffixes are sorted, forwards from the anchor and
+backwards before it, with the longest common prefixes of neighbours: runs of
+neighbours with a common prefix of at least ``d`` are the suffix tree's nodes
+of that depth.  Suffixes in one node of depth ``length - l`` forwards and of
+depth ``l`` backwards share a stretch.  The partitions' bounds decide only
+where a node is found, never what is found.
 
 Texts that are copies of one another are represented by the copy of least
 doc_id and joined back at the end.
@@ -22,7 +27,8 @@ length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,53 +126,89 @@ def suffix_anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "h bigint, doc_id bigint, at int")
 
 
-def _matches(group: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndarray, texts: list[str], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of rows of one group whose surroundings hold a common stretch, with its maximal ends."""
-    back = length - gram
-    width = back + length
-    raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+def _neighbours(texts: list[str], group: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order of the texts within their groups, common prefixes with the one before (-1 across groups), and the texts' codes in that order."""
+    order = np.array(sorted(range(len(texts)), key=lambda i: (group[i], texts[i])), dtype=np.int64)
+    raw = [texts[i].encode("utf-32-le", "surrogatepass") for i in order]
     sizes = np.array([len(r) // 4 for r in raw])
-    grid = np.zeros((len(texts), width), dtype=np.uint32)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    inside = np.arange(sizes.sum()) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    grid[row, np.repeat(back - left, sizes) + inside] = np.frombuffer(b"".join(raw), dtype=np.uint32) + np.uint32(1)
-    first, last = back - left, back - left + sizes
-    up, _ = _powers(width)
-    sums = np.zeros((len(texts), width + 1), dtype=np.uint64)
-    np.cumsum(grid.astype(np.uint64) * up, axis=1, out=sums[:, 1:], dtype=np.uint64)
-    seed = _mixed(group.view(np.uint64))
-    for o in range(back + 1):
-        rows = np.flatnonzero((first <= o) & (last >= o + length))
+    grid = np.zeros((len(raw), width), dtype=np.uint32)
+    row = np.repeat(np.arange(len(raw)), sizes)
+    grid[row, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.frombuffer(b"".join(raw), dtype=np.uint32) + np.uint32(1)
+    same = (grid[1:] == grid[:-1]) & (grid[1:] > 0)
+    common = np.where(same.all(axis=1), width, same.argmin(axis=1)) if width else np.zeros(len(raw) - 1, dtype=np.int64)
+    groups = np.array(group)[order]
+    return order, np.concatenate(([-1], np.where(groups[1:] == groups[:-1], common, -1))), grid
+
+
+def _nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, the number of its tree node of that depth."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
+def _shared_nodes(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(l, rows, ends, before): by the stretch that begins l before the anchor, the rows of nodes of two rows or more.
+
+    Rows come node by node and within a node by the code ``before`` the stretch
+    (negative and unlike any other where none is known); ``ends`` has the end of each row's node.
+    """
+    back = length - gram
+    column = lambda c: table.column(c).to_numpy().astype(np.int64)
+    left, lo, hi = column("left"), column("lo"), column("hi")
+    group = np.unique(np.stack([column("k0"), column("k1"), lo]), axis=1, return_inverse=True)[1].ravel().tolist()
+    around = table.column("around").to_pylist()
+    after = [t[n:] for t, n in zip(around, left.tolist())]
+    size = np.array([len(t) for t in after])
+    forward, ahead, _ = _neighbours(after, group, length)
+    backward, behind, codes = _neighbours([t[:n][::-1] for t, n in zip(around, left.tolist())], group, back)
+    place = np.empty(len(backward), dtype=np.int64)
+    place[backward] = np.arange(len(backward))
+    for off in range(int(lo.min()), int(hi.max()) + 1):
+        rows = np.flatnonzero((lo <= off) & (off <= hi) & (left >= off) & (size >= length - off))
         if len(rows) < 2:
             continue
-        key = _mixed((sums[rows, o + length] - sums[rows, o]) ^ seed[rows])
-        before = np.where(first[rows] < o, grid[rows, o - 1].astype(np.int64), -1 - np.arange(len(rows))) if o else -1 - np.arange(len(rows))
-        by = np.lexsort((before, key))
-        rows, key, before = rows[by], key[by], before[by]
-        if not (key[1:] == key[:-1]).any():
-            continue
-        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
-        class_end = ends[np.searchsorted(ends, np.arange(len(rows)), side="right")]
-        subs = np.flatnonzero(np.append((key[1:] != key[:-1]) | (before[1:] != before[:-1]), True)) + 1
+        node = _nodes(forward, ahead, length - off)[rows] * np.int64(len(left) + 1) + _nodes(backward, behind, off)[rows]
+        before = np.where(left[rows] > off, codes[place[rows], min(off, back - 1)].astype(np.int64), -1 - rows) if off < back else -1 - rows
+        by = np.lexsort((before, node))
+        rows, node, before = rows[by], node[by], before[by]
+        last = np.flatnonzero(np.append(node[1:] != node[:-1], True)) + 1
+        ends = last[np.searchsorted(last, np.arange(len(rows)), side="right")]
+        begins = np.concatenate(([0], last[:-1]))[np.searchsorted(last, np.arange(len(rows)), side="right")]
+        keep = np.flatnonzero(ends - begins > 1)
+        if len(keep):
+            gone = np.cumsum(ends - begins == 1)
+            yield off, rows[keep], (ends - gone[ends - 1])[keep], before[keep]
+
+
+def _pairs_of(table: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of documents that share a stretch, given where it cannot be longer to the left."""
+    doc = table.column("doc_id").to_numpy()
+    for off, rows, ends, before in _shared_nodes(table, length, gram):
+        subs = np.flatnonzero(np.append((ends[1:] != ends[:-1]) | (before[1:] != before[:-1]), True)) + 1
         sub_end = subs[np.searchsorted(subs, np.arange(len(rows)), side="right")]
-        many = class_end - sub_end
+        many = ends - sub_end
         for lo, hi in _slices(many, 200_000):
             n = many[lo:hi]
-            if not n.sum():
-                continue
             a = np.repeat(np.arange(lo, hi), n)
-            b = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n) + sub_end[a]
-            a, b = rows[a], rows[b]
-            keep = (doc[a] != doc[b]) & (group[a] == group[b])
-            a, b = a[keep], b[keep]
-            same = grid[a, o:] == grid[b, o:]
-            same &= grid[a, o:] > 0
-            keep = same[:, :length].all(axis=1)
-            a, b, same = a[keep], b[keep], same[keep]
-            span = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-            swap = doc[a] > doc[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield doc[a], doc[b], at[a] - back + o, at[b] - back + o, span
+            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + sub_end[a]
+            one, two = doc[rows[a]], doc[rows[b]]
+            found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)])[:, one != two], axis=1)
+            if found.size:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["doc_id_a", "doc_id_b"])
+
+
+def _covers_of(table: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """For each suffix that shares stretches with other documents, the interval these cover; all of them hold its gram."""
+    doc, at = table.column("doc_id").to_numpy(), table.column("at").to_numpy().astype(np.int64)
+    first, last = np.full(len(doc), -1), np.full(len(doc), length)
+    for off, rows, ends, _ in _shared_nodes(table, length, gram):
+        starts = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+        shared = np.minimum.reduceat(doc[rows], starts) != np.maximum.reduceat(doc[rows], starts)
+        rows = rows[np.repeat(shared, np.diff(np.append(starts, len(rows))))]
+        first[rows], last[rows] = np.maximum(first[rows], off), np.minimum(last[rows], off)
+    met = np.flatnonzero(first >= 0)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[met]), pa.array((at - first)[met].astype(np.int32)), pa.array((at + length - last)[met].astype(np.int32))], names=["doc_id", "lo", "hi"])
 
 
 def _slices(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -179,49 +221,62 @@ def _slices(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-_SPANS = "doc_id_a bigint, doc_id_b bigint, from_a int, from_b int, chars int"
+def _in_partitions(rows: DataFrame, found: Callable[[pa.Table, int, int], Iterator[pa.RecordBatch]], schema: str, length: int, gram: int) -> DataFrame:
+    """``found`` over whole partitions, several at once."""
 
-
-def _small_groups(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table):
-            h = table.column("h").to_numpy()
-            for out in _matches(h, table.column("doc_id").to_numpy(), table.column("at").to_numpy().astype(np.int64), table.column("left").to_numpy().astype(np.int64), table.column("around").to_pylist(), length, gram):
-                a, b, fa, fb, n = out
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(fa.astype(np.int32)), pa.array(fb.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id_a", "doc_id_b", "from_a", "from_b", "chars"])
-
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= CHUNK_ROWS:
                 table = pa.Table.from_batches(held)
-                h = table.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1], side="left"))  # the last group may go on
-                if cut:
-                    yield from flush(table.slice(0, cut))
+                keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("k0", "k1", "lo")])
+                other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+                if len(other):  # the last partition may go on
+                    cut = int(other[-1]) + 1
+                    yield from found(table.slice(0, cut), length, gram)
                     held = table.slice(cut).to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+        if held and sum(b.num_rows for b in held):
+            yield from found(pa.Table.from_batches(held), length, gram)
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPANS)
+    return rows.select("k0", "k1", "lo", "hi", "doc_id", "at", "left", "around").repartition("k0", "k1", "lo").sortWithinPartitions("k0", "k1", "lo").mapInArrow(run, schema)
 
 
-def _large_groups(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Partitions beyond the bound, split by the whole stretch: every pair left in a part is a result."""
+def partitions(rows: DataFrame, *, length: int, gram: int, group_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes in partitions of at most ``group_rows``, and those of larger nodes, whose prefix is the whole stretch."""
     back = length - gram
-    wide = rows.withColumn("o", F.explode(F.sequence(F.lit(back) - F.col("left"), F.lit(back) - F.col("left") + F.length("around") - length)))
-    wide = wide.filter(f"o <= {back}").withColumn("stretch", F.expr(f"substring(around, o - ({back} - left) + 1, {length})"))
-    wide = wide.withColumn("before", F.expr(f"CASE WHEN o > {back} - left AND o > 0 THEN substring(around, o - ({back} - left), 1) END"))
-    wide = wide.withColumn("after", F.expr(f"nullif(substring(around, o - ({back} - left) + {length} + 1, 1), '')"))
-    side = wide.select("h", "o", "doc_id", "at", F.md5("stretch").alias("key"), "before", "after")
-    a, b = side.alias("a"), side.alias("b")
-    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.o") == F.col("b.o")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    # The first and the last offset of a run of matches; between them lie fewer than ``length``, so the two stretches cover the run.
-    first = F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
-    last = F.col("a.after").isNull() | F.col("b.after").isNull() | (F.col("a.after") != F.col("b.after")) | (F.col("a.o") == back)
-    out = a.join(b, same & (first | last))
-    return out.select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"), (F.col("a.at") - back + F.col("a.o")).cast("int").alias("from_a"), (F.col("b.at") - back + F.col("b.o")).cast("int").alias("from_b"), F.lit(length).cast("int").alias("chars"))
+    small, large = [rows.filter(F.col("n") <= group_rows)], rows.filter(F.col("n") > group_rows)
+    whole = []
+    while large.limit(1).count():
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
+        cut = large.withColumn("half", F.explode(halves)).withColumn("lo", F.col("half.lo")).withColumn("hi", F.col("half.hi")).drop("half", "n")
+        # Of the stretches that begin lo to hi before the anchor all hold what lies between the last's begin and the first's end.
+        cut = cut.filter((F.col("left") >= F.col("lo")) & (F.length("around") - F.col("left") >= length - F.col("hi")))
+        prefix = F.expr(f"substring(around, left - lo + 1, lo + {length} - hi)")
+        cut = materialise(cut.withColumn("prefix", prefix).withColumn("k0", F.xxhash64("prefix")).withColumn("k1", F.xxhash64(F.lit(1), "prefix")).drop("prefix"), "halves")
+        sizes = cut.groupBy("k0", "k1", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("k0", "k1", "lo", "n")
+        cut = materialise(cut.join(sizes, ["k0", "k1", "lo"]), "halved")
+        small.append(cut.filter(F.col("n") <= group_rows))
+        whole.append(cut.filter((F.col("n") > group_rows) & (F.col("lo") == F.col("hi"))))
+        large = cut.filter((F.col("n") > group_rows) & (F.col("lo") < F.col("hi")))
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, whole) if whole else None
+
+
+BLOCK_ROWS = 2_000
+
+
+def _whole_pairs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """All pairs of each large node, which are its result, block by block of its members, so that no task meets a node."""
+    before = F.when(F.col("left") > F.col("lo"), F.expr("substring(around, left - lo, 1)"))
+    side = rows.select("k0", "k1", "lo", "n", "doc_id", before.alias("before")).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    side = side.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    a = side.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
+    b = side.withColumn("other", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part"))))
+    met = a.alias("a").join(b.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k0", "k1", "lo", "part", "other")])
+    further = F.col("a.before").eqNullSafe(F.col("b.before")) & F.col("a.before").isNotNull() & (F.col("a.lo") < length - gram)
+    met = met.filter((F.col("a.doc_id") != F.col("b.doc_id")) & ~further)
+    return met.select(F.least("a.doc_id", "b.doc_id").alias("doc_id_a"), F.greatest("a.doc_id", "b.doc_id").alias("doc_id_b"))
 
 
 def copies(documents: DataFrame, length: int) -> DataFrame:
@@ -231,29 +286,28 @@ def copies(documents: DataFrame, length: int) -> DataFrame:
     return sums.join(reps, ["m", "n"]).select("rep", "doc_id", F.col("n").alias("chars"))
 
 
-def shared_spans(documents: DataFrame, members: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id_a, doc_id_b, from_a, from_b, chars) between representatives of equal texts.
-
-    Spans are maximal up to the reach of their anchors; spans of one pair may overlap.
-    """
+def _suffixes(documents: DataFrame, members: DataFrame, *, length: int, gram: int) -> DataFrame:
+    """(k0, k1, lo, hi, n, doc_id, at, left, around): suffixes whose gram two texts hold, among representatives of equal texts."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null").join(members.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     places = materialise(suffix_anchors(docs, length, gram).distinct(), "anchors")
     groups = places.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("h", "n")
     met = places.join(groups, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("places"))
     back = length - gram
     around = documents.select("doc_id", "text").join(met, "doc_id").select("doc_id", "text", F.explode("places").alias("p")).select(
-        "p.h", "doc_id", "p.at", "p.n", F.least(F.lit(back), F.col("p.at")).alias("left"),
+        F.col("p.h").alias("k0"), F.lit(0).cast("bigint").alias("k1"), F.lit(0).alias("lo"), F.lit(back).alias("hi"), "p.n", "doc_id", "p.at", F.least(F.lit(back), F.col("p.at")).alias("left"),
         F.expr(f"substring(text, p.at - least({back}, p.at) + 1, least({back}, p.at) + {length})").alias("around"),
     )
-    around = materialise(around, "around")
-    small = _small_groups(around.filter(F.col("n") <= group_rows).select("h", "doc_id", "at", "left", "around"), length, gram)
-    return materialise(small.unionByName(_large_groups(around.filter(F.col("n") > group_rows), length, gram)), "spans")
+    return materialise(around, "around")
 
 
 def sharing_pairs(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of documents with a common stretch, copies included."""
     members = materialise(copies(documents, length), "copies")
-    pairs = shared_spans(documents, members, length=length, gram=gram, group_rows=group_rows).select("doc_id_a", "doc_id_b").distinct()
+    small, whole = partitions(_suffixes(documents, members, length=length, gram=gram), length=length, gram=gram, group_rows=group_rows)
+    pairs = _in_partitions(small, _pairs_of, "doc_id_a bigint, doc_id_b bigint", length, gram)
+    if whole is not None:
+        pairs = pairs.unionByName(_whole_pairs(whole, length, gram))
+    pairs = materialise(pairs.distinct(), "pairs")
     for side in ("doc_id_a", "doc_id_b"):
         same = members.select(F.col("rep").alias(side), F.col("doc_id").alias("member"))
         pairs = pairs.join(same, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
@@ -262,17 +316,24 @@ def sharing_pairs(documents: DataFrame, *, length: int = LENGTH, gram: int = GRA
     return pairs.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).unionByName(within)
 
 
+def shared_stretches(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, start, chars): the parts of each document that stretches of ``length`` found in others cover, touching ones as one; no pair is made."""
+    members = materialise(copies(documents, length), "copies")
+    small, whole = partitions(_suffixes(documents, members, length=length, gram=gram), length=length, gram=gram, group_rows=group_rows)
+    covers = _in_partitions(small, _covers_of, "doc_id bigint, lo int, hi int", length, gram)
+    if whole is not None:
+        covers = covers.unionByName(whole.select("doc_id", (F.col("at") - F.col("lo")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
+    # What a representative shares, its copies share at the same places; copies share all.
+    covers = covers.join(members.select("doc_id"), "doc_id", "left_anti").unionByName(members.select("doc_id", F.lit(0).alias("lo"), F.col("chars").alias("hi"))).distinct()
+    before = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    reach = F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    runs = covers.withColumn("begins", (reach.isNull() | (F.col("lo") > reach)).cast("int")).withColumn("run", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(F.min("lo").alias("start"), (F.max("hi") - F.min("lo")).alias("chars")).drop("run")
+
+
 def shared_parts(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, chars, shared_chars, share): how much of each document stands in others."""
-    members = materialise(copies(documents, length), "copies")
-    spans = shared_spans(documents, members, length=length, gram=gram, group_rows=group_rows)
-    ends = spans.select(F.col("doc_id_a").alias("doc_id"), F.col("from_a").alias("lo"), (F.col("from_a") + F.col("chars")).alias("hi"))
-    ends = ends.union(spans.select("doc_id_b", "from_b", F.col("from_b") + F.col("chars"))).distinct()
-    before = Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    gained = ends.withColumn("reach", F.coalesce(F.max("hi").over(before), F.lit(0)))
-    covered = gained.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "reach"))).alias("covered"))
+    covered = shared_stretches(documents, length=length, gram=gram, group_rows=group_rows).groupBy("doc_id").agg(F.sum("chars").alias("covered"))
     docs = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).filter("doc_id is not null").groupBy("doc_id").agg(F.max("chars").alias("chars"))
-    whole = members.select("doc_id").distinct().withColumn("copied", F.lit(True))
-    out = docs.join(covered, "doc_id", "left").join(whole, "doc_id", "left")
-    shared = F.when(F.col("copied"), F.col("chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint")
-    return out.select("doc_id", F.col("chars").cast("bigint").alias("chars"), shared.alias("shared_chars"), F.round(F.coalesce(F.try_divide(shared, F.col("chars")), F.lit(0.0)), 6).alias("share"))
+    shared = F.coalesce("covered", F.lit(0)).cast("bigint")
+    return docs.join(covered, "doc_id", "left").select("doc_id", F.col("chars").cast("bigint").alias("chars"), shared.alias("shared_chars"), F.round(F.coalesce(F.try_divide(shared, F.col("chars")), F.lit(0.0)), 6).alias("share"))

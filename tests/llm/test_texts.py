@@ -98,7 +98,25 @@ def brute_share(texts, n):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [4000, 1])
+def brute_stretches(texts, n):
+    at = defaultdict(set)
+    for i, t in texts:
+        for k in range(len(t or "") - n + 1):
+            at[t[k:k + n]].add(i)
+    out = set()
+    for i, t in texts:
+        lo = hi = None
+        for k in range(len(t or "") - n + 1):
+            if len(at[t[k:k + n]]) > 1:
+                if hi is None or k > hi:
+                    out |= {(i, lo, hi - lo)} if hi else set()
+                    lo = k
+                hi = k + n
+        out |= {(i, lo, hi - lo)} if hi else set()
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [4000, 10, 1])
 def test_spans_against_brute_force(spark, group_rows):
     rng = random.Random(11)
     pool = ["".join(rng.choice("abé😀 \n") for _ in range(60)) for _ in range(4)] + ["-" * 70]
@@ -110,6 +128,7 @@ def test_spans_against_brute_force(spark, group_rows):
             a = rng.randrange(25)
             t += p[a:a + rng.randrange(20, 60)] + rng.choice("xyz")
         texts.append((i, t))
+    texts += [(i, "".join(rng.choice("abcd") for _ in range(rng.randrange(20))) + pool[0][:34] + rng.choice("xyz")) for i in range(70, 90)]
     texts += [(50, texts[3][1]), (51, texts[3][1]), (60, None), (61, ""), (62, "short")]
     df = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
     kw = dict(length=30, gram=12, group_rows=group_rows)
@@ -117,11 +136,12 @@ def test_spans_against_brute_force(spark, group_rows):
     assert len(got) == len({tuple(r) for r in got})
     assert {tuple(r) for r in got} == brute_pairs(texts, 30)
     assert {r.doc_id: r.shared_chars for r in X.shared_parts(df, **kw).collect()} == brute_share(texts, 30)
+    assert {tuple(r) for r in X.shared_stretches(df, **kw).collect()} == brute_stretches(texts, 30)
 
 
 def test_spans_on_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert X.sharing_pairs(df).count() == 0 and X.shared_parts(df).count() == 0
+    assert X.sharing_pairs(df).count() == 0 and X.shared_parts(df).count() == 0 and X.shared_stretches(df).count() == 0
 
 
 def test_anchors_cover_every_stretch():
