@@ -99,13 +99,13 @@ _HASH = {"python", "bash", "ruby", "yaml", "toml", "properties"}
 _BETWEEN = re.compile(r"^\s*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\])\s*$")
 
 
-def _docstring(lines: list[str], at: int) -> str | None:
-    """The string that is the first statement of the Python definition at or after line ``at``."""
-    i = at
-    while i < len(lines) and not re.match(r"\s*(?:async\s+)?(?:def|class)\b", lines[i]):
-        if i > at + 20:
-            return None
+def _docstring(lines: list[str], at: int, end: int | None) -> str | None:
+    """The string that is the first statement of the Python definition that begins in lines ``at`` to ``end``."""
+    i, end = at, len(lines) if end is None or end <= at else min(end, len(lines))
+    while i < end and not re.match(r"\s*(?:async\s+)?(?:def|class)\b", lines[i]):
         i += 1
+    if i >= end:
+        return None
     depth = 0
     while i < len(lines):
         code = re.sub(r"\"[^\"]*\"|'[^']*'", "", lines[i]).split("#")[0]
@@ -129,13 +129,13 @@ def _docstring(lines: list[str], at: int) -> str | None:
     return rest[start:end] if end >= 0 else None
 
 
-def comment_of(lines: list[str], start: int, language: str | None) -> str | None:
-    """The comment that belongs to the definition whose first line is ``start`` (from 1)."""
+def comment_of(lines: list[str], start: int, language: str | None, end: int | None = None) -> str | None:
+    """The comment that belongs to the definition of lines ``start`` to ``end`` (from 1)."""
     at = start - 1
     if not 0 <= at < len(lines):
         return None
     if language == "python":
-        own = _docstring(lines, at)
+        own = _docstring(lines, at, end)
         if own is not None:
             return own
     i = at - 1
@@ -158,13 +158,35 @@ def comment_of(lines: list[str], start: int, language: str | None) -> str | None
     return "\n".join(lines[j + 1 : i + 1]) if j < i else None
 
 
-def normalised_signature(c: Column) -> Column:
-    """Parameter types without blanks, generics' insides, names of parameters and return types."""
-    s = F.regexp_replace(c, r"\)\s*(?:->|:).*$", ")")
+# How languages write a parameter.
+_NAME_COLON_TYPE = ("python", "typescript", "rust", "kotlin", "scala", "swift")
+_NAME_TYPE = ("go",)
+_TYPE_NAME = ("java", "c", "cpp", "csharp", "php")
+
+
+def normalised_signature(c: Column, language: Column) -> Column:
+    """Parameter types in order, in brackets, without names, defaults, receivers, modifiers, generics' insides, blanks and the return type.
+
+    A parameter without a type counts as ``_``; types keep their case.
+    """
+    s = F.regexp_replace(c, r"^[^(]*\(", "")
     for _ in range(3):
-        s = F.regexp_replace(s, r"<[^<>]*>|\[[^\[\]]*\]", "")
-    s = F.regexp_replace(s, r"\s*=\s*[^,)]+", "")
-    return F.lower(F.regexp_replace(s, r"\s+", ""))
+        s = F.regexp_replace(s, r"<[^<>]*>", "")
+    s = F.regexp_replace(s, r"\[[^\[\]]+\]", "[]")
+    for _ in range(2):
+        s = F.regexp_replace(s, r"\([^()]*\)(?=.*\))", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"\).*$", ""), r"\s*=(?!>)[^,]*", "")
+    known = F.lower(language)
+
+    def kind(p: Column) -> Column:
+        p = F.trim(p)
+        after = F.when(F.contains(p, F.lit(":")), F.regexp_replace(p, r"^[^:]*:\s*", "")).otherwise("_")
+        bare = F.trim(F.regexp_replace(p, r"@\w+\s*|\b(?:final|const|volatile|register)\s+", ""))
+        before = F.when(F.rlike(bare, F.lit(r"^.*[\s*&\]].*\w$")), F.regexp_replace(bare, r"\w+$", "")).otherwise(bare)
+        return F.when(known.isin(*_NAME_COLON_TYPE), after).when(known.isin(*_NAME_TYPE), F.regexp_replace(p, r"^\w+\s+", "")).when(known.isin(*_TYPE_NAME), before).otherwise("_")
+
+    own = F.filter(F.split(s, ","), lambda p: ~F.rlike(F.trim(p), F.lit(r"^(?:&?\s*(?:'\w+\s+)?(?:mut\s+)?self|cls|this)?$")))
+    return F.concat(F.lit("("), F.regexp_replace(F.array_join(F.transform(own, kind), ","), r"\s+", ""), F.lit(")"))
 
 
 def callables(nodes: DataFrame, files: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -196,19 +218,19 @@ def documented(symbols: DataFrame, sources: DataFrame) -> DataFrame:
         for c in found:
             doc, origin = c["doc"], "doc"
             if not doc:
-                doc, origin = (comment_of(lines, c["start_line"], c["language"]) if c["start_line"] else None), "comment"
+                doc, origin = (comment_of(lines, c["start_line"], c["language"], c["end_line"]) if c["start_line"] else None), "comment"
             says = describes(doc, _own_words(c["kind"], c["name"], c["qualified_name"]))
             code = "\n".join(lines[c["start_line"] - 1 : c["end_line"]]) if c["start_line"] and c["end_line"] else None
-            yield c["repo_id"], c["node_id"], file_id, c["kind"], c["name"], c["qualified_name"], c["signature"], origin if doc else None, cleaned(doc) if doc else None, says, code
+            yield c["repo_id"], c["node_id"], file_id, c["language"], c["kind"], c["name"], c["qualified_name"], c["signature"], origin if doc else None, cleaned(doc) if doc else None, says, code
 
-    schema = "repo_id string, node_id string, file_id string, kind string, name string, qualified_name string, signature string, origin string, doc string, says boolean, code string"
+    schema = "repo_id string, node_id string, file_id string, language string, kind string, name string, qualified_name string, signature string, origin string, doc string, says boolean, code string"
     out = map_rows(texts, ["file_id", "text", "callables"], emit, schema)
     return out.dropDuplicates(["repo_id", "node_id"])
 
 
 def pairs(nodes: DataFrame, files: DataFrame, snapshots: DataFrame, sources: DataFrame) -> DataFrame:
     """(repo_id, node_id, qualified_name, signature, kind, origin, description, code)."""
-    rows = documented(callables(nodes, files, snapshots), sources).withColumn("overload", normalised_signature(F.col("signature")))
+    rows = documented(callables(nodes, files, snapshots), sources).withColumn("overload", normalised_signature(F.col("signature"), F.col("language")))
     # The documented declaration of each symbol, whatever file it stands in; the least node_id if there are several.
     # A symbol without a name is alone, so that nameless rows never meet in one task.
     symbol = F.coalesce("qualified_name", F.concat(F.lit("#"), "node_id"))

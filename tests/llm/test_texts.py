@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.llm import leaks as L
 from graphloom.llm import mixing as M
@@ -266,6 +267,16 @@ def test_vendored_copies(spark):
     assert {(r.repo_id, r.file_id) for r in V.judged(s, u.limit(0)).collect()} == {("r3", "e"), ("r4", "f")}
 
 
+def test_copies_whose_lines_also_stand_elsewhere(spark):
+    lib = [f"export function thing{i}(a) {{ return wrap{i * 7}(a, {i}); }}" for i in range(20)]
+    parts = [lib[k::3] + [f"const own{k}_{i} = made{k}(config, {i * 3});" for i in range(30)] for k in range(3)]
+    rows = [(r, f, "1", "src/x.js", "javascript", "\n".join(t)) for r, f, t in [("a", "p0", parts[0]), ("a", "p1", parts[1]), ("a", "p2", parts[2]), ("a", "q", lib), ("b", "copy", lib + ["let changed = here(1, 2);"])]]
+    rows += [(f"z{i}", f"z{i}", "1", "src/z.js", "javascript", "\n".join(f"const z{i}_{k} = own{i}_{k}(x);" for k in range(8))) for i in range(9)]
+    s = spark.createDataFrame(rows, "repo_id string, file_id string, blob_sha string, path string, language string, text string")
+    u = spark.createDataFrame([], "pkg_name string, file_name string, text string")
+    assert {r.file_id: round(r.containment, 3) for r in V.judged(s, u).collect()} == {"q": 1.0, "copy": round(20 / 21, 3)}
+
+
 LICENCE = "".join(f"# Paragraph {i} of a long licence that a tool or a package puts before all else, word after word.\n" for i in range(90))
 
 
@@ -322,12 +333,49 @@ def test_comments_of_definitions():
     assert P.comment_of([], 1, "go") is None and P.comment_of(go, 99, "go") is None
 
 
+@pytest.mark.parametrize(
+    ("language", "signature", "kind"),
+    [
+        ("java", "(final String name, List<Map<String, Foo>> rows) throws X", "(String,List)"), ("java", "(String other, List<foo> r)", "(String,List)"), ("java", "(int[] a, foo b)", "(int[],foo)"), ("java", "()", "()"),
+        ("python", "(self, a: int = 3, b=None, *args) -> dict[str, int]", "(int,_,_)"), ("typescript", "(a: string[], f: (x: number) => void): string", "(string[],=>void)"), ("go", "(a int, b []string) (int, error)", "(int,[]string)"),
+        ("rust", "(&mut self, a: &str) -> Option<u32>", "(&str)"), ("c", "(const char *path, int)", "(char*,int)"), ("cpp", "int load(const char *p, int n)", "(char*,int)"), ("javascript", "(a, b = 1)", "(_,_)"), (None, "(a)", "(_)"), ("java", None, None),
+    ],
+)
+def test_normalised_signatures(spark, language, signature, kind):
+    df = spark.createDataFrame([(signature, language)], "s string, l string")
+    assert df.select(P.normalised_signature(F.col("s"), F.col("l"))).first()[0] == kind
+
+
+def test_pairs_of_overloads_against_brute_force(spark):
+    rng = random.Random(4)
+    t = dt.datetime(2024, 1, 1)
+    kinds = ["String", "int", "List<Foo>", "foo", "Foo"]
+    rows = []
+    for i in range(60):
+        types = [rng.choice(kinds) for _ in range(rng.randrange(3))]
+        sig = "(" + ", ".join(f"{k} {rng.choice('abc')}{j}" for j, k in enumerate(types)) + ")"
+        rows.append((f"n{i:02}", rng.choice(["p.load", "p.save"]), sig, rng.choice([None, None, "Reads the ledger twice.", "TODO"]), [k.split("<")[0] for k in types]))
+    nodes = [("r", 1, i, "Method", q.split(".")[1], q, f"f{i}", None, 5, 6, s, d, t) for i, q, s, d, _ in rows]
+    n = spark.createDataFrame(nodes, "repo_id string, snapshot_no int, node_id string, kind string, name string, qualified_name string, file_id string, parent_id string, start_line int, end_line int, signature string, doc string, ingested_at timestamp")
+    f = spark.createDataFrame([("r", 1, f"f{r[0]}", "b", "java", t) for r in rows], "repo_id string, snapshot_no int, file_id string, blob_sha string, language string, ingested_at timestamp")
+    src = spark.createDataFrame([(f"f{r[0]}", "b", "\n" * 8) for r in rows], "file_id string, blob_sha string, text string")
+    told = {(q, tuple(k)) for _, q, _, d, k in rows if d and d != "TODO"}
+    want = {(i, "doc") for i, _, _, d, _ in rows if d and d != "TODO"} | {(i, "declaration") for i, q, _, d, k in rows if d is None and (q, tuple(k)) in told}
+    got = P.pairs(n, f, spark.createDataFrame([("r", 1)], "repo_id string, snapshot_no int"), src).collect()
+    assert {(r.node_id, r.origin) for r in got} == want and any(o == "declaration" for _, o in want)
+
+
+def test_docstring_behind_long_decorators():
+    lines = ("@deco(\n" + "".join(f"    option_{i}={i},\n" for i in range(60)) + ")\ndef f():\n    \"\"\"Counts the rows.\"\"\"\n\ndef g():\n    \"\"\"Other.\"\"\"\n").split("\n")
+    assert P.comment_of(lines, 1, "python", 64) == "Counts the rows." and P.comment_of(lines, 1, "python", 50) is None
+
+
 def test_pairs_table(spark):
     t = dt.datetime(2024, 1, 1)
     n = "repo_id string, snapshot_no int, node_id string, kind string, name string, qualified_name string, file_id string, parent_id string, start_line int, end_line int, signature string, doc string, ingested_at timestamp, text string"
     base = lambda i, name, line, doc=None, file="f", kind="Function", sig="(a)", no=2, at=t: ("r", no, i, kind, name, f"m.{name}", file, None, line, line and line + 1, sig, doc, at, "clash")
     nodes = [base("1", "load", 3), base("1", "load", 3), base("2", "save", 6, "Writes all rows."), base("3", "get_x", 9, "Gets x."), base("4", "gone", 1, "Old text kept.", no=1), base("5", "late", 6, "wrong"), base("5", "late", 6, None, at=t + dt.timedelta(days=1)), base("6", "A", 1, "A class of rows.", kind="Class"), base("7", "nofile", 1, "Writes all.", file="zz"), base("8", "null", None, None)]
-    nodes += [base("9", "decl", 1, "Declared elsewhere, with care.", file="f", sig="(int a)"), base("10", "decl", 9, None, file="g", sig="( int a )"), base("11", "decl", 9, None, file="g", sig="(str a)")]
+    nodes += [base("9", "decl", 1, "Declared elsewhere, with care.", file="f", sig="(a: int)"), base("10", "decl", 9, None, file="g", sig="( b : int )"), base("11", "decl", 9, None, file="g", sig="(a: str)")]
     nodes[-2] = nodes[-2][:5] + ("m.decl",) + nodes[-2][6:]
     src = "\n\ndef load(a):\n    '''Loads rows from disk.'''\n\ndef save(a):\n    pass\n\ndef get_x(a):\n    pass\n"
     files = [("r", 2, "f", "b", "python", t), ("r", 2, "f", "b", "python", t), ("r", 2, "g", "b", "python", t)]
