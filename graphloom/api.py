@@ -44,6 +44,14 @@ class Estate:
                 df = getattr(self, name)
                 if df is not None and "repo_id" in df.columns:
                     setattr(self, name, df.join(keep, "repo_id", "left_semi"))
+            # Texts and ends of edges are permitted with their files and nodes.
+            if self.texts is not None:
+                self.texts = self.texts.join(self.files.select("file_id").distinct(), "file_id", "left_semi")
+            for end in ("src", "dst"):
+                ids = self.nodes.select(F.col("node_id").alias(end)).distinct()
+                self.edges = self.edges.join(ids, end, "left_semi")
+                if self.candidates is not None and end in self.candidates.columns:
+                    self.candidates = self.candidates.join(ids, end, "left_semi")
 
     def _edges(self, bands: Iterable[str] | None, kind: str | None = "CALLS") -> DataFrame:
         e = self.edges.filter(F.col("band").isin(*(bands or DRAWN)))
@@ -68,7 +76,7 @@ class Estate:
     def symbol(self, node_id: str) -> DataFrame:
         """The node with its chain of parents, nearest first."""
         parents = self.nodes.filter("parent_id is not null").select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
-        chain = graph.reach(parents, self._one(node_id), 32).select(F.col("node").alias("node_id"), "distance")
+        chain = graph.reach(parents, self._one(node_id), None).select(F.col("node").alias("node_id"), "distance")
         return chain.join(self.nodes.select("node_id", "kind", "name", "qualified_name"), "node_id").orderBy("distance")
 
     def callers(self, node_id: str, depth: int = 1, bands: Iterable[str] | None = None) -> DataFrame:

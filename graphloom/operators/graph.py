@@ -8,6 +8,8 @@ reached for the first time.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,13 @@ from graphloom.functions.vocab import band_of_rank, band_rank
 from graphloom.plans.shared import materialise, release
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, reverse: bool = False) -> DataFrame:
-    """(seed, node, distance): nodes within ``depth`` steps of each seed, nearest distance, the seed itself at 0."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, *, reverse: bool = False) -> DataFrame:
+    """(seed, node, distance): nodes within ``depth`` steps of each seed, or at any distance, nearest distance, the seed itself at 0."""
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = materialise(edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct(), "steps")
     seen = materialise(seeds.select(F.col(seeds.columns[0]).alias("seed"), F.col(seeds.columns[0]).alias("node")).filter("seed is not null").distinct().withColumn("distance", F.lit(0)), "seen")
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(steps, frontier.node == steps["at"]).select("seed", F.col("next").alias("node")).distinct()
         new = materialise(new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)), "frontier")
         if new.isEmpty():
@@ -31,7 +33,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, reverse: bool = Fal
     return seen
 
 
-def hierarchy_levels(parents: DataFrame, depth: int = 32) -> DataFrame:
+def hierarchy_levels(parents: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, ancestor, level) over (child, parent) rows with any number of parents, nearest level first, cycle-safe."""
     return reach(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), parents.select("child"), depth).filter("distance > 0").select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("distance").alias("level"))
 
@@ -43,7 +45,10 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def call_chain(edges: DataFrame, seeds: DataFrame, depth: int, *, callers: bool = True) -> DataFrame:
-    """(caller, callee, depth): the edges of simple paths from the seeds, one row per edge and depth."""
+    """(caller, callee, depth): the edges of simple paths from the seeds, one row per edge and depth.
+
+    Paths over the same nodes that end in the same node go on alike, so one of them is kept.
+    """
     depth = max(1, min(10, depth))
     near, far = ("dst", "src") if callers else ("src", "dst")
     e = materialise(edges.select("src", "dst").distinct(), "steps")
@@ -54,7 +59,7 @@ def call_chain(edges: DataFrame, seeds: DataFrame, depth: int, *, callers: bool
         step = materialise(step.select("src", "dst", F.lit(d).alias("depth"), F.col(far).alias("at"), F.array_append("path", F.col(far)).alias("path")), "chain")
         rows = step.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), "depth")
         out = rows if out is None else out.unionByName(rows)
-        paths = step.select("at", "path")
+        paths = step.select("at", F.array_sort("path").alias("path")).distinct()
     return out.distinct()
 
 
@@ -71,6 +76,8 @@ def traces(edges: DataFrame, src: object, dst: object, *, depth: int = 8, most:
         step = materialise(step.select(F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path")), "trace")
         done = step.filter(F.col("at") == F.lit(dst)).select(F.lit(d).alias("length"), "path")
         found = done if found is None else found.unionByName(done)
+        if found.count() >= most:  # later ones are longer
+            break
         paths = step.filter(F.col("at") != F.lit(dst))
     return found.orderBy("length", "path").limit(most)
 
@@ -241,14 +248,20 @@ def reachable_max(edges: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def feedback_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, src, dst): edges whose removal leaves no cycle, by a greedy order of each component (net outgoing weight, then node)."""
+    """(component, src, dst): edges whose removal leaves no cycle, by a greedy order of each component (net outgoing weight, then node).
+
+    Of the edges against that order and those along it, the lighter are cut, so never more than half of a component's weight; self-loops are always cut.
+    """
     m = components.select("node", "component")
     inside = edges.join(m.select(F.col("node").alias("src"), "component"), "src").join(m.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").filter("component = c2").select("component", "src", "dst", "weight")
     net = inside.select("component", F.col("src").alias("node"), F.col("weight").alias("w")).union(inside.select("component", "dst", -F.col("weight"))).groupBy("component", "node").agg(F.sum("w").alias("net"))
     a = net.select(F.col("node").alias("src"), F.col("net").alias("sn"))
     b = net.select(F.col("node").alias("dst"), F.col("net").alias("dn"))
     placed = inside.join(a, "src").join(b, "dst")
-    return placed.filter("sn < dn or (sn = dn and src >= dst)").select("component", "src", "dst")
+    placed = placed.withColumn("against", F.expr("sn < dn or (sn = dn and src >= dst)")).withColumn("loop", F.col("src") == F.col("dst"))
+    light = placed.filter("not loop").groupBy("component").agg(F.sum(F.when(F.col("against"), F.col("weight")).otherwise(-F.col("weight"))).alias("excess"))
+    cut = placed.join(light, "component", "left")
+    return cut.filter("loop or against = (coalesce(excess, 0) <= 0)").select("component", "src", "dst")
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,22 +19,48 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, score) of texts holding a term; idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+@dataclass
+class TextIndex:
+    """An inverted index written once: postings (term, key, tf, n) sorted by term, and the corpus' counts.
 
-    Term counts are columns, not exploded postings, so nothing is shuffled; the
-    corpus statistics are one row, read first. Null texts are empty.
+    A search reads the row groups of its terms only.
     """
-    terms = sorted({t.lower() for t in terms})
-    counted = df.select(col(key).alias(key), tokens(col(text)).alias("__t"))
-    counted = counted.select(key, F.size("__t").alias("__n"), *((F.size("__t") - F.size(F.array_remove("__t", t))).alias(f"__f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("__all"), F.avg("__n").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(terms)))).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = math.log(1 + (stats["__all"] - stats[f"__d{i}"] + 0.5) / (stats[f"__d{i}"] + 0.5))
-        tf = F.col(f"__f{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / (stats["__avg"] or 1.0)))
-    return counted.filter(sum((F.col(f"__f{i}") for i in range(len(terms))), F.lit(0)) > 0).select(key, score.alias("score"))
+
+    key: str
+    postings: DataFrame
+    texts: int
+    words: int
+
+    def bm25(self, terms: list[str]) -> DataFrame:
+        """(key, score) of texts holding a term; idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
+        terms = sorted({t.lower() for t in terms})
+        found = self.postings.filter(F.col("term").isin(terms))
+        held = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # as many rows as the query has words
+        if not held:
+            return found.select(self.key, F.lit(0.0).alias("score"))
+        idf = F.lit(0.0)
+        for term, n in held.items():
+            idf = F.when(F.col("term") == term, math.log(1 + (self.texts - n + 0.5) / (n + 0.5))).otherwise(idf)
+        mean = self.words / self.texts if self.words else 1.0
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
+        # In the order of the terms, so that sums come out the same to the last digit.
+        parts = F.array_sort(F.collect_list(F.struct("term", part.alias("part"))))
+        return found.groupBy(self.key).agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
+
+
+def text_index(df: DataFrame, key: str, text: str) -> TextIndex:
+    """The index of a text column; null texts are empty, keys are taken to be unique."""
+    words = df.select(col(key).alias(key), tokens(col(text)).alias("__t"))
+    words = materialise(words.select(key, F.size("__t").alias("n"), "__t"), "words")
+    counts = words.agg(F.count("*").alias("texts"), F.sum("n").alias("words")).first()
+    one = words.select(key, "n", F.explode("__t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    # A term that a third of the texts hold spreads over the partitions of its range by key.
+    return TextIndex(key, materialise(one.repartitionByRange("term", key).sortWithinPartitions("term"), "postings"), counts["texts"], counts["words"] or 0)
+
+
+def bm25(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """(key, score) of the texts of a table that is searched once."""
+    return text_index(df, key, text).bm25(terms)
 
 
 def fuzzy(df: DataFrame, key: str, weights: dict[str, float], query: str, threshold: float = 0.4) -> DataFrame:

@@ -28,8 +28,8 @@ def _dims(df: DataFrame, vector: str) -> DataFrame:
 def top_k_exact(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, *, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest other rows of each query row.
 
-    Queries go out in blocks of bounded size; each task scores its rows against a
-    block and keeps its own k best, and only those meet in the final ranking.
+    Queries go out in blocks of bounded size; each task scores its batches of rows
+    against a block and keeps its k best so far, and only those meet in the final ranking.
     """
     rows = _dims(df, vector).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     asked = _dims(queries, vector).select(F.col(key).alias("id"), F.col(vector).alias("v")).dropDuplicates(["id"])
@@ -42,17 +42,28 @@ def top_k_exact(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids = np.array([q for q, _ in shared.value])
             q = _unit([v for _, v in shared.value]) if len(ids) else None
+            near, value = None, None
             for b in batches:
                 if q is None or not len(b):
                     continue
                 sims = q @ _unit(list(b["v"])).T
                 own = b["id"].to_numpy()
                 sims[ids[:, None] == own[None, :]] = -np.inf
+                owners = np.broadcast_to(own, sims.shape)
+                if near is not None:
+                    sims, owners = np.hstack((value, sims)), np.hstack((near, owners))
                 m = min(k + 1, sims.shape[1])
-                best = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < sims.shape[1] else np.tile(np.arange(m), (len(ids), 1))
-                value = np.take_along_axis(sims, best, axis=1)
-                keep = np.isfinite(value)
-                yield pd.DataFrame({"query": np.repeat(ids, m)[keep.ravel()], "neighbour": own[best].ravel()[keep.ravel()], "similarity": value.ravel()[keep.ravel()]})
+                if m < sims.shape[1]:
+                    by = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                    border = np.take_along_axis(sims, by, axis=1).min(axis=1)
+                    # Equal similarities up to rounding are ranked by id, so the least ids of those at the border stay.
+                    for i in np.flatnonzero((sims >= border[:, None] - 1e-9).sum(axis=1) > m):
+                        by[i] = np.lexsort((owners[i], -np.round(sims[i], 9)))[:m]
+                    owners, sims = np.take_along_axis(owners, by, axis=1), np.take_along_axis(sims, by, axis=1)
+                near, value = owners, sims
+            if near is not None:
+                keep = np.isfinite(value).ravel()
+                yield pd.DataFrame({"query": np.repeat(ids, near.shape[1])[keep], "neighbour": near.ravel()[keep], "similarity": value.ravel()[keep]})
 
         kind = rows.schema["id"].dataType.simpleString()
         found = rows.mapInPandas(score, f"query {kind}, neighbour {kind}, similarity double")

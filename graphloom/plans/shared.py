@@ -2,6 +2,7 @@
 
 ``materialise`` writes a DataFrame once and reads it back, so that a loop's
 plan stays short and a lost executor costs no recomputation of earlier rounds.
+Tables are deleted by ``release``, or else when the application ends.
 The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
 is another chosen: a temporary folder on ``local[...]`` masters, the SQL
 warehouse folder (shared by definition) elsewhere.
@@ -34,6 +35,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)  # what nothing releases goes with the application
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out

@@ -16,7 +16,7 @@ from graphloom.plans.shared import materialise
 EXCLUDED = r"(^|/)(\.git|\.hg|\.svn|\.venv|node_modules|__pycache__|target)$"
 
 
-def directory(spark: SparkSession, root: str, *, deepest: int = 64) -> DataFrame:
+def directory(spark: SparkSession, root: str) -> DataFrame:
     """(path, size_bytes, language, outcome, content) of the files under ``root``.
 
     Folders are listed level by level on the executors, through Arrow's file
@@ -43,7 +43,7 @@ def directory(spark: SparkSession, root: str, *, deepest: int = 64) -> DataFrame
 
     level = spark.createDataFrame([("",)], "path string")
     found = None
-    for _ in range(deepest):
+    while True:
         here = materialise(level.mapInPandas(listed, "path string, folder boolean, size_bytes long"), "listing")
         files = here.filter("not folder").select("path", "size_bytes")
         found = files if found is None else found.unionByName(files)

@@ -7,6 +7,7 @@ batch query it stands for.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,29 @@ from pyspark.sql import functions as F
 from graphloom.plans.shared import shared_dir
 
 
+class Feed:
+    """The table as a file stream, and a second source that says when no more will come.
+
+    ``close`` adds one row of nulls, stamped long after all others, which moves
+    the watermark past every window but its own, which therefore never comes out.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, stamp: str = "ts"):
+        self.rows = stream_of(spark, sf_dir, name)
+        self.stamp, self.folder = stamp, f"{shared_dir(spark)}/closing-{uuid.uuid4().hex}"
+        self._row().limit(0).write.parquet(self.folder)
+        self.rows = self.rows.unionByName(spark.readStream.schema(self.rows.schema).parquet(self.folder))
+
+    def _row(self) -> DataFrame:
+        from pyspark.sql import SparkSession as session
+
+        spark = session.active()
+        return spark.range(1).select(*(F.lit("2200-01-01").cast("timestamp").alias(f.name) if f.name == self.stamp else F.lit(None).cast(f.dataType).alias(f.name) for f in self.rows.schema.fields))
+
+    def close(self) -> None:
+        self._row().write.mode("append").parquet(self.folder)
+
+
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -24,19 +48,25 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})  # watermarks need instants
 
 
-def run_available(df: DataFrame, tag: str, *, mode: str = "append") -> DataFrame:
-    """Run until the input is drained; in complete mode the last result replaces the ones before."""
-    import uuid
+def run_available(df: DataFrame, tag: str, feed: Feed | None = None) -> DataFrame:
+    """Run in append mode until the input is drained, and until a ``feed`` is closed; the rows written.
 
+    Each batch has a folder of its own, which a retry of the batch overwrites.
+    """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    def drain() -> None:
+        df.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    drain()
+    for _ in range(2 if feed is not None else 0):  # the batch after the closing row's sees the watermark it moved
+        feed.close()
+        drain()
+    return spark.read.schema(df.schema.add("batch", "long")).parquet(f"{base}/out").drop("batch")
 
 
 def daily_usage(events: DataFrame) -> DataFrame:

@@ -176,7 +176,8 @@ def test_streams_equal_their_batches(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
     df.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     stream = lambda: jobs.stream_of(spark, str(tmp_path), "events")
-    daily = {r.day: r.calls for r in jobs.run_available(jobs.daily_usage(stream()), "t", mode="complete").collect()}
+    feed = jobs.Feed(spark, str(tmp_path), "events")
+    daily = {r.day: r.calls for r in jobs.run_available(jobs.daily_usage(feed.rows), "t", feed).collect()}
     assert daily == {r.d: r.n for r in df.groupBy(F.to_date("ts").cast("string").alias("d")).agg(F.count("*").alias("n")).collect()}
     feed = []
     paths = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "1", 1)], "path string, digest string, seen_at int")
@@ -201,5 +202,11 @@ def test_facade(spark):
     assert {(r.measure, r.n) for r in e.blast_radius(["n1"]).collect()} == {("symbols", 2), ("level:file", 1), ("band:exact", 1), ("unresolved_touched", 1)}
     assert e.diff_impact(spark.createDataFrame([("f", 2, 2)], "file_id string, start int, end int")).count() == 2
     assert e.manifest().count() == 1 and e.coverage().first().parsed == 1
+    assert e.lines("f", 1, 2).count() == 1
+    both = texts.union(spark.createDataFrame([("g", "c", "secret")], texts.schema))
+    across = edges.union(spark.createDataFrame([("r", "n1", "n3", "CALLS", "exact")], edges.schema))
+    denied = Estate(nodes, across, files, both, candidates=spark.createDataFrame([("r", "n1", "n3")], "repo_id string, src string, dst string"), permitted=["r"])
+    assert denied.lines("g", 1, 2).count() == 0 and denied.lines("f", 1, 2).count() == 1
+    assert denied.callees("n1").count() == 0 and denied.open_candidates("n1").count() == 0
     assert [tuple(r) for r in e.feedback(spark.createDataFrame([("n2", "n1", "correct")], "edge_src string, edge_dst string, verdict string")).collect()] == [("exact", "correct", 1)]
     assert e.trace("n2", "n1").first().path == ["n2", "n1"]
