@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +140,41 @@ def byte_budget(df: DataFrame, keys: list[str], order: list[Column], size: Colum
     return df.withColumn("__used", F.sum(size).over(w)).filter(F.col("__used") <= budget).drop("__used")
 
 
+def forbidden_contexts(edges: DataFrame, members: DataFrame, pairs: list[tuple]) -> DataFrame:
+    """(src, dst, band, from_context, to_context): drawn edges between contexts of which a rule forbids it; members (node, context)."""
+    a, b = members.select(F.col("node").alias("src"), F.col("context").alias("from_context")), members.select(F.col("node").alias("dst"), F.col("context").alias("to_context"))
+    met = edges.filter(F.col("band").isin(*DRAWN)).join(a, "src").join(b, "dst")
+    wrong = F.lit(False)
+    for x, y in pairs:
+        wrong = wrong | ((F.col("from_context") == x) & (F.col("to_context") == y))
+    return met.filter(wrong).select("src", "dst", "band", "from_context", "to_context")
+
+
+def forbidden_cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): members of cycles of two nodes or more; a cycle is named by its greatest member."""
+    from graphloom.operators.graph import strong_components
+
+    c = strong_components(edges)
+    several = c.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return c.join(several, "component", "left_semi").select("node", F.col("component").alias("cycle"))
+
+
+def paged(df: DataFrame, order: list[Column], limit: int, view: str, asked: str, *, cursor: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """A page, its (total, has_more) and the next page's cursor: view, digest of the question, offset.
+
+    A cursor of another view or question is stale and raises an error.
+    """
+    digest = hashlib.md5(asked.encode()).hexdigest()
+    offset = 0
+    if cursor is not None:
+        known, was, offset_text = cursor.rsplit(":", 2)
+        if (known, was) != (view, digest):
+            raise ValueError("stale cursor")
+        offset = int(offset_text)
+    rows, total = page(df, order, limit, offset)
+    return rows, total, f"{view}:{digest}:{offset + limit}"
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """One page of an ordered listing, and (total, has_more)."""
     rows = df.orderBy(*order).offset(offset).limit(limit)

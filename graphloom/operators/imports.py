@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.resolution import import_decision
+from graphloom.operators.resolution import import_decision, prioritised
 
 # What a bare specifier may stand for.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
@@ -117,6 +117,25 @@ def visible(candidates: DataFrame, places: DataFrame) -> DataFrame:
     return own.unionByName(candidates.filter("path <> target_path").join(seen, ["path", "target_path"], "left_semi"))
 
 
+def base_types(bases: DataFrame, types: DataFrame, imported: DataFrame) -> DataFrame:
+    """(child, base, tier, target): the type a base's name means; the first lookup that finds any decides, and several leave the target null.
+
+    bases (child, repo, module, file, base); types (type, repo, module, qualified_name, name);
+    imported (file, name, type).  Lookups: the exact qualified name in the
+    repository, the name in the same module, an import of the file, a name of
+    the whole repository.
+    """
+    b, t = bases.select("child", "repo", "module", "file", "base").distinct(), types.select("type", "repo", "module", "qualified_name", "name")
+    exact = b.join(t.select("repo", F.col("qualified_name").alias("base"), "type"), ["repo", "base"])
+    module = b.join(t.select("repo", "module", F.col("name").alias("base"), "type"), ["repo", "module", "base"])
+    seen = b.join(imported.select("file", F.col("name").alias("base"), "type"), ["file", "base"])
+    unique = b.join(t.select("repo", F.col("name").alias("base"), "type"), ["repo", "base"])
+    key = F.struct("child", "base")
+    found = prioritised([df.select(key.alias("site"), "type") for df in (exact, module, seen, unique)], "site", "type")
+    tier = F.element_at(F.array(*map(F.lit, ("qualified", "module", "import", "repository"))), F.col("priority") + 1)
+    return found.select("site.child", "site.base", tier.alias("tier"), "target")
+
+
 def inherited_members(sites: DataFrame, bases: DataFrame, members: DataFrame, depth: int = 10) -> DataFrame:
     """(site, target, level): the member of the nearest ancestor type that has the name; two at one level are both given.
 

@@ -54,12 +54,60 @@ def split_callee(text: Column) -> tuple[Column, Column]:
     return F.when(receiver == "", F.lit(None)).otherwise(receiver), name
 
 
+# How languages write the current object and its parent, and where a bare name is a member first.
+CURRENT = {
+    "python": "self cls", "rust": "self Self", "swift": "self", "ruby": "self", "objc": "self", "php": "$this self static", "perl": "$self",
+    "java": "this", "kotlin": "this", "scala": "this", "groovy": "this", "csharp": "this", "cpp": "this", "typescript": "this", "javascript": "this",
+}
+PARENT = {
+    "python": "super()", "csharp": "base", "php": "parent", "java": "super", "kotlin": "super", "scala": "super", "groovy": "super", "swift": "super", "ruby": "super", "objc": "super",
+    "typescript": "super", "javascript": "super",
+}
+IMPLICIT = ("java", "kotlin", "csharp", "cpp", "scala", "groovy", "swift", "ruby")
+
+
 def receiver_role(language: Column, receiver: Column) -> Column:
-    """bare, current, super or other."""
-    r = F.lower(receiver)
-    current = r.isin("this", "self", "cls", "$this") & ~((language == "go") | (language == "c"))
-    parent = r.isin("super", "super()", "parent", "base")
-    return F.when(receiver.isNull() | (receiver == ""), "bare").when(current, "current").when(parent, "super").otherwise("other")
+    """bare, current, super or other, as the language writes it."""
+    written = lambda table: F.concat_ws(" ", language, receiver).isin(*(f"{k} {w}" for k, v in table.items() for w in v.split()))
+    none = receiver.isNull() | (receiver == "")
+    return F.when(none & language.isin(*IMPLICIT), "current").when(none, "bare").when(written(CURRENT), "current").when(written(PARENT), "super").otherwise("other")
+
+
+def reachable(candidates: DataFrame, imports: DataFrame) -> DataFrame:
+    """Candidates (site, file, module, ...) with whether some import of the site's file holds the module's name or lies in it.
+
+    One name holds another at a part's boundary, so the test is an equality of
+    prefixes: no import is compared with all modules.
+    """
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda k: F.array_join(F.slice(F.split(c, r"\."), 1, k), "."))
+    inside = candidates.select("file", "module").distinct().withColumn("part", F.explode(prefixes(F.col("module")))).join(imports.select("file", F.col("module").alias("part")).distinct(), ["file", "part"]).select("file", "module")
+    holding = imports.select("file", F.explode(prefixes(F.col("module"))).alias("module")).distinct()
+    met = inside.unionByName(candidates.select("file", "module").join(holding, ["file", "module"])).distinct().withColumn("reachable", F.lit(True))
+    return candidates.join(met, ["file", "module"], "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
+
+
+def fuzzy_fallback(sites: DataFrame, definitions: DataFrame, site: str, name: str, *, most: int = 2) -> DataFrame:
+    """(site, target, distance): the one definition nearest in spelling to a name nothing else resolved, at most ``most`` edits away; ties resolve nothing.
+
+    Two names at most k edits apart share one of k + 1 equal pieces in nearly
+    the same place, so only names of one piece and close lengths are compared.
+    """
+    pieces = most + 1
+
+    def cut(n: Column) -> Column:
+        width = F.floor(F.length(n) / pieces).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct((i * width).cast("int").alias("at"), F.when(i == most, n.substr(i * width + 1, F.length(n))).otherwise(n.substr(i * width + 1, width)).alias("piece"), F.length(n).alias("length")))
+
+    known = definitions.select(F.col(name).alias("target")).filter(F.length("target") > most).distinct()
+    indexed = known.select("target", F.explode(cut(F.col("target"))).alias("p")).select("target", "p.*")
+    asked = sites.select(site, F.col(name).alias("asked")).filter(F.length("asked") > most).distinct()
+    shapes = indexed.select("length", "at", F.length("piece").alias("width")).distinct()
+    names = asked.select("asked").distinct().withColumn("length", F.explode(F.sequence(F.length("asked") - most, F.length("asked") + most)))
+    tried = names.join(F.broadcast(shapes), "length").withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - most), F.col("at") + most)))
+    tried = tried.withColumn("piece", F.expr("substring(asked, start + 1, width)"))
+    met = tried.join(indexed, ["length", "at", "piece"]).select("asked", "target").distinct().withColumn("distance", F.levenshtein("asked", "target")).filter(F.col("distance").between(1, most))
+    best = met.groupBy("asked").agg(F.min("distance").alias("distance")).join(met, ["asked", "distance"]).groupBy("asked", "distance").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
+    return asked.join(best, "asked").select(site, "target", "distance")
 
 
 def provenance(own: Column, internal_import: Column, bindings: Column, external_bindings: Column) -> Column:

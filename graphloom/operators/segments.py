@@ -6,12 +6,14 @@ table without violations gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.rows import col, row_hash
+from graphloom.plans.shared import shared_dir
 
 # The keys a segment's meta table holds, no more and no fewer.
 META_KEYS = ("commit_sha", "engine_version", "language_matrix_version", "tool_version", "precise_sources", "profile", "repo_id", "repo_id_source", "repo_url", "schema_version")
@@ -64,6 +66,27 @@ def write_segment(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     return content_hash(df.sparkSession.read.parquet(path))
 
 
+def open_segment(spark: SparkSession, path: str, schema: str, keys: Sequence[str], checksum: str, meta: DataFrame) -> DataFrame:
+    """A stored segment, read with a fixed schema; refused if its meta, its keys or its content is not what it must be."""
+    defects = [f"{r.defect} {r.key}" for r in meta_defects(meta).limit(10).collect()]
+    if defects:
+        raise ValueError(f"{path}: meta table: {', '.join(defects)}")
+    df = spark.read.schema(schema).parquet(path)
+    if not duplicate_keys(df, path, keys).isEmpty():
+        raise ValueError(f"{path}: duplicate keys")
+    if content_hash(df).first()["checksum"] != checksum:
+        raise ValueError(f"{path}: content is not what was written")
+    return df
+
+
+def export_range(df: DataFrame, day: str, first: Column, last: Column) -> DataFrame:
+    """Rows of the days from first to last, written as JSON lines in the shared folder; the written table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    df.filter(col(day).between(first, last)).write.json(path)
+    return spark.read.schema(df.schema).json(path)
+
+
 def publish_manifest(previous: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """(repo_id, segment): the previous rows, those of rebuilt repositories replaced."""
     return previous.join(rebuilt.select("repo_id"), "repo_id", "left_anti").select("repo_id", "segment").unionByName(rebuilt.select("repo_id", "segment"))

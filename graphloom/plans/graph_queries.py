@@ -231,19 +231,25 @@ def gr_folders(spark: SparkSession, d: str) -> DataFrame:
     return graph.path_prefixes(facts.latest_files(spark, d), "repo_id", "path").withColumnRenamed("g", "repo_id")
 
 
-@query(ctes("latest", "g_nodes", recursive=True) + ", a AS (SELECT repo_id, node_id AS node, parent_id AS ancestor, 1 AS level FROM g_nodes WHERE parent_id IS NOT NULL UNION SELECT a.repo_id, a.node, n.parent_id, a.level + 1 FROM a JOIN g_nodes n ON n.repo_id = a.repo_id AND n.node_id = a.ancestor WHERE n.parent_id IS NOT NULL AND a.level < 4) SELECT a.repo_id, a.node AS node_id, min_by(a.ancestor, a.level) AS declaring_type FROM a JOIN g_nodes t ON t.repo_id = a.repo_id AND t.node_id = a.ancestor AND t.kind IN ('Class', 'Struct') GROUP BY ALL")
+_ABOVE = """, u AS (SELECT repo_id, node_id, parent_id AS at FROM g_nodes WHERE parent_id IS NOT NULL UNION SELECT u.repo_id, u.node_id, n.parent_id FROM u JOIN g_nodes n ON n.repo_id = u.repo_id AND n.node_id = u.at WHERE n.kind NOT IN ('Class', 'Struct') AND n.parent_id IS NOT NULL),
+d AS (SELECT u.repo_id, u.node_id, t.node_id AS declaring_type FROM u JOIN g_nodes t ON t.repo_id = u.repo_id AND t.node_id = u.at AND t.kind IN ('Class', 'Struct'))"""
+
+
+def _declaring(n: DataFrame) -> DataFrame:
+    """(repo_id, node_id, kind, declaring_type): the nearest type above each node at any depth; types are the roots of a forest cut at them."""
+    is_type = F.col("kind").isin("Class", "Struct")
+    cut = n.withColumn("parent_id", F.when(~is_type, F.col("parent_id")))
+    top = hierarchy.roots_and_depths(hierarchy.forest(cut, group="repo_id", node="node_id", parent="parent_id", once=True)).filter("depth >= 0")
+    top = materialise(top.select(F.col("g").alias("repo_id"), F.col("id").alias("node_id"), "root").join(n.filter(is_type).select("repo_id", F.col("node_id").alias("root")), ["repo_id", "root"]), "declaring")
+    own = n.filter(~is_type).join(top, ["repo_id", "node_id"]).select("repo_id", "node_id", "kind", F.col("root").alias("declaring_type"))
+    above = top.select("repo_id", F.col("node_id").alias("parent_id"), "root")
+    return own.unionByName(n.filter(is_type).join(above, ["repo_id", "parent_id"]).select("repo_id", "node_id", "kind", F.col("root").alias("declaring_type")))
+
+
+@query(ctes("latest", "g_nodes", recursive=True) + _ABOVE + " SELECT repo_id, node_id, declaring_type FROM d")
 def gr_declaring_type(spark: SparkSession, d: str) -> DataFrame:
-    """Each node's nearest enclosing type, at most four levels up."""
-    n = facts.latest_graph(spark, d, "kind", "parent_id")
-    up = n.filter("parent_id is not null").select("repo_id", F.col("node_id").alias("node"), F.col("parent_id").alias("ancestor"))
-    step = up.select("repo_id", F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    types = n.filter(F.col("kind").isin("Class", "Struct")).select("repo_id", F.col("node_id").alias("ancestor"))
-    level, out = up, None
-    for k in range(1, 5):
-        hit = level.join(types, ["repo_id", "ancestor"], "left_semi").select("repo_id", "node", "ancestor", F.lit(k).alias("level"))
-        out = hit if out is None else out.unionByName(hit)
-        level = level.join(step, ["repo_id", "ancestor"]).select("repo_id", "node", F.col("next").alias("ancestor"))
-    return out.groupBy("repo_id", F.col("node").alias("node_id")).agg(F.min_by("ancestor", "level").alias("declaring_type"))
+    """Each node's nearest enclosing type, however deep."""
+    return _declaring(facts.latest_graph(spark, d, "kind", "parent_id")).select("repo_id", "node_id", "declaring_type")
 
 
 @query(ctes("sym_edges", recursive=True) + ", s AS (SELECT p_partkey AS seed FROM part WHERE p_size = 1), r AS (SELECT seed, seed AS node, 0 AS distance FROM s UNION SELECT r.seed, e.dst, r.distance + 1 FROM r JOIN sym_edges e ON e.src = r.node WHERE r.distance < 3) SELECT seed, node, min(distance) AS distance FROM r GROUP BY ALL")
@@ -310,22 +316,15 @@ def gr_communities(spark: SparkSession, d: str) -> DataFrame:
 @query(ctes("call_edges", "band_rank") + ", v AS (SELECT s_suppkey AS node, s_nationkey AS shown FROM supplier), w AS (SELECT p_partkey AS node, p_size % 25 AS shown FROM part), l AS (SELECT v.shown AS src, w.shown AS dst, sum(weight) AS n, min(rank) AS r FROM call_edges JOIN v ON src = v.node JOIN w ON dst = w.node JOIN band_rank USING (band) WHERE v.shown <> w.shown GROUP BY ALL) SELECT src, dst, CAST(n AS BIGINT) AS n, band AS worst_band, least(1.0, n / 10) AS weight FROM l JOIN band_rank ON rank = r")
 def gr_lift(spark: SparkSession, d: str) -> DataFrame:
     """Calls lifted to nations with the weakest band between them."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("s"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("dst"), (F.col("p_size") % 25).alias("d"))
-    e = facts.call_edges(spark, d).join(s, "src").join(p, "dst").filter("s <> d")
-    g = e.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("weight").alias("n"), V.band_of_rank(F.min(V.band_rank(F.col("band")))).alias("worst_band"))
-    return g.select("src", "dst", "n", "worst_band", F.least(F.lit(1.0), F.col("n") / 10).alias("weight"))
+    shown = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("shown")).unionByName(table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node"), (F.col("p_size") % 25).alias("shown")))
+    return graph.lift_edges(facts.call_edges(spark, d).withColumn("dst", -1 - F.col("dst")), shown).select("src", "dst", "n", "worst_band", "weight")
 
 
-@query(ctes("latest", "g_nodes") + """, f AS (SELECT repo_id, node_id, CASE WHEN kind IN ('Class', 'Struct') THEN node_id END AS own, parent_id FROM g_nodes), v AS (SELECT a.repo_id, a.node_id, coalesce(a.own, b.own, c.own) AS shown FROM f a LEFT JOIN f b ON b.repo_id = a.repo_id AND b.node_id = a.parent_id LEFT JOIN f c ON c.repo_id = a.repo_id AND c.node_id = b.parent_id)
-SELECT repo_id, shown AS type_id, count(*) AS members FROM v WHERE shown IS NOT NULL AND shown <> node_id GROUP BY ALL""")
+@query(ctes("latest", "g_nodes", recursive=True) + _ABOVE + " SELECT d.repo_id, declaring_type AS type_id, count(*) AS members FROM d JOIN g_nodes n ON n.repo_id = d.repo_id AND n.node_id = d.node_id WHERE n.kind NOT IN ('Class', 'Struct') GROUP BY ALL")
 def gr_visible(spark: SparkSession, d: str) -> DataFrame:
-    """Members under each type as their nearest visible ancestor, two levels up."""
-    n = facts.latest_graph(spark, d, "kind", "parent_id")
-    f = n.select("repo_id", "node_id", F.when(F.col("kind").isin("Class", "Struct"), F.col("node_id")).alias("own"), "parent_id")
-    up = lambda k: f.select("repo_id", F.col("node_id").alias(f"p{k}"), F.col("own").alias(f"own{k}"), F.col("parent_id").alias(f"p{k + 1}"))
-    v = f.withColumnRenamed("parent_id", "p1").join(up(1), ["repo_id", "p1"], "left").join(up(2).drop("p3"), ["repo_id", "p2"], "left").withColumn("shown", F.coalesce("own", "own1", "own2"))
-    return v.filter("shown is not null and shown <> node_id").groupBy("repo_id", F.col("shown").alias("type_id")).agg(F.count("*").alias("members"))
+    """Members under each type as their nearest visible ancestor, however deep."""
+    members = _declaring(facts.latest_graph(spark, d, "kind", "parent_id")).filter(~F.col("kind").isin("Class", "Struct"))
+    return members.groupBy("repo_id", F.col("declaring_type").alias("type_id")).agg(F.count("*").alias("members"))
 
 
 _REV = "r AS (SELECT p_partkey AS node, 0 AS distance FROM part WHERE p_size = 3 UNION SELECT e.src, r.distance + 1 FROM r JOIN b ON b.dst = r.node JOIN sym_edges e ON e.src = b.src AND e.dst = b.dst WHERE r.distance < 2), t AS (SELECT DISTINCT node FROM r)"

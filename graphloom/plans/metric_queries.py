@@ -173,9 +173,9 @@ def an_rule_forbid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ctes("call_edges") + f" SELECT s_suppkey AS node FROM supplier WHERE s_nationkey % 4 = 1 AND s_suppkey NOT IN (SELECT src FROM call_edges JOIN part ON p_partkey = dst WHERE band IN {_DRAWN} AND p_brand = 'Brand#11' AND p_size < 5)")
 def an_rule_require(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_brand = 'Brand#11' and p_size < 5").select((-F.col("p_partkey")).alias("node"), F.lit("gateway").alias("role"))
+    p = table(spark, d, "part").filter("p_brand = 'Brand#11' and p_size < 5").select((-1 - F.col("p_partkey")).alias("node"), F.lit("gateway").alias("role"))
     s = table(spark, d, "supplier").filter("s_nationkey % 4 = 1").select(F.col("s_suppkey").alias("node"), F.lit("client").alias("role"))
-    e = facts.call_edges(spark, d).withColumn("dst", -F.col("dst"))
+    e = facts.call_edges(spark, d).withColumn("dst", -1 - F.col("dst"))
     return A.required(e, s.unionByName(p), "client", ["gateway"])
 
 
@@ -263,13 +263,13 @@ def con_identities(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", key.alias("namespace_key")).withColumn("contract_id", I.contract_id("Channel", F.col("namespace_key")))
 
 
-_SIGHT = "s AS (SELECT 'Channel' AS kind, CAST(s_nationkey AS VARCHAR) AS namespace_key, 'provides' AS direction, CASE WHEN s_acctbal > 5000 THEN 'exact' WHEN s_acctbal > 0 THEN 'declared' ELSE 'unresolved' END AS strength, 'S' || CAST(s_suppkey % 3 AS VARCHAR) AS owner, s_name AS source FROM supplier WHERE s_nationkey < 18 UNION ALL SELECT 'Channel', CAST(c_nationkey AS VARCHAR), 'consumes', CASE WHEN c_acctbal > 9000 THEN 'exact' ELSE 'declared' END, c_name, c_mktsegment FROM customer WHERE c_nationkey > 4)"
+_SIGHT = "s AS (SELECT 'Channel' AS kind, CAST(s_nationkey AS VARCHAR) AS namespace_key, 'provides' AS direction, CASE WHEN s_acctbal > 5000 THEN 'exact' WHEN s_acctbal > 0 THEN 'declared' ELSE 'unresolved' END AS strength, 'S' || CAST(s_suppkey % 3 AS VARCHAR) AS owner, s_name AS source FROM supplier UNION ALL SELECT 'Channel', CAST(c_nationkey + 5 AS VARCHAR), 'consumes', CASE WHEN c_acctbal > 9000 THEN 'exact' ELSE 'declared' END, c_name, c_mktsegment FROM customer)"
 
 
 def _sightings(spark: SparkSession, d: str) -> DataFrame:
-    s, c = table(spark, d, "supplier").filter("s_nationkey < 18"), table(spark, d, "customer").filter("c_nationkey > 4")
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     a = s.select(F.lit("Channel").alias("kind"), F.col("s_nationkey").cast("string").alias("namespace_key"), F.lit("provides").alias("direction"), F.when(F.col("s_acctbal") > 5000, "exact").when(F.col("s_acctbal") > 0, "declared").otherwise("unresolved").alias("strength"), F.concat(F.lit("S"), (F.col("s_suppkey") % 3).cast("string")).alias("owner"), F.col("s_name").alias("source"))
-    b = c.select(F.lit("Channel").alias("kind"), F.col("c_nationkey").cast("string").alias("namespace_key"), F.lit("consumes").alias("direction"), F.when(F.col("c_acctbal") > 9000, "exact").otherwise("declared").alias("strength"), F.col("c_name").alias("owner"), F.col("c_mktsegment").alias("source"))
+    b = c.select(F.lit("Channel").alias("kind"), (F.col("c_nationkey") + 5).cast("string").alias("namespace_key"), F.lit("consumes").alias("direction"), F.when(F.col("c_acctbal") > 9000, "exact").otherwise("declared").alias("strength"), F.col("c_name").alias("owner"), F.col("c_mktsegment").alias("source"))
     return a.unionByName(b)
 
 

@@ -50,9 +50,18 @@ def test_members_and_visibility(spark):
 
 
 def test_rules(spark):
-    calls = spark.createDataFrame([("a.py", "get", ["https://h/users/{id}"]), ("b.py", "get", ["https://h/x"]), ("a.py", "send", ["orders"]), ("a.py", "send", ["${T}"]), ("a.py", "post", [])], "path string, method string, args array<string>")
-    imps = spark.createDataFrame([("a.py", "requests"), ("a.py", "kafka.producer")], "path string, module string")
-    assert {(r.kind, r.direction, r.key) for r in R.call_contracts(spark, calls, imps).collect()} == {("ApiContract", "consumes", "GET /users/{}"), ("Channel", "provides", "orders")}
+    arg = lambda *texts: [(None, t) for t in texts]
+    rows = [("a.py", "python", "requests.get", arg("'https://h/users/{id}'")), ("b.py", "python", "requests.get", arg("'https://h/x'")), ("a.py", "python", "p.send", arg("'orders'")), ("a.py", "python", "p.send", arg("'${T}'")), ("a.py", "python", "requests.post", []), (None, None, None, None), ("a.py", "python", "get", arg("'/x'"))]
+    calls = spark.createDataFrame(rows, "path string, language string, callee string, args array<struct<keyword:string,text:string>>")
+    imps = spark.createDataFrame([("a.py", "requests"), ("a.py", "kafka.producer"), ("a.py", None)], "path string, module string")
+    assert [tuple(r) for r in R.client_calls(calls, imps).collect()] == [("a.py", "requests", "GET /users/{}")]
+    assert [tuple(r) for r in R.messages(calls, imps).collect()] == [("a.py", "kafka-python producer.send", "kafka", "provides", "orders")]
+    typed = spark.createDataFrame([("A.java", "java", "t.send", arg('"x"', "v"), "Other")], "path string, language string, callee string, args array<struct<keyword:string,text:string>>, receiver_type string")
+    assert R.messages(typed, spark.createDataFrame([("A.java", "org.springframework.kafka.core.KafkaTemplate")], "path string, module string")).count() == 0
+    served = spark.createDataFrame([("m.go", "go", "r.GET", arg('"/a/:id"')), ("m.go", "go", "r.GET", arg("name")), ("m.go", "go", "GET", arg('"/b"'))], calls.schema)
+    both = spark.createDataFrame([("m.go", "github.com/gin-gonic/gin"), ("m.go", "github.com/labstack/echo/v4")], "path string, module string")
+    assert [tuple(r) for r in R.endpoints(served, both.limit(1)).collect()] == [("m.go", "gin", "GET /a/{}")] and R.endpoints(served, both).count() == 0
+    assert R.endpoints(calls.limit(0), imps).count() == 0 and R.client_calls(calls, imps.limit(0)).count() == 0
     s = R.service_kind(spark, spark.createDataFrame([("requests.get",), ("a.b",), ("axum::Router",)], "callee string"))
     assert {tuple(r) for r in s.collect()} == {("requests.get", "http"), ("axum::Router", "route_reg")}
     doc = {"servers": [{"url": "https://h"}], "paths": {"/a/{id}": {"get": {}, "parameters": [], "post": {}}}}
