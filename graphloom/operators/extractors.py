@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from graphloom.operators import yaml_values
+
 CHUNK, OVERLAP = 800, 200
 
 
@@ -139,6 +142,90 @@ def tables_defined(text: str | None) -> Iterator[tuple[str, str, str]]:
                 yield name, re.sub(r"[\"`\[\]]", "", words[0]).lower(), words[1].lower()
 
 
+_PRISMA = re.compile(r"(?m)^\s*model\s+(\w+)\s*\{([^}]*)\}")
+_ORM = re.compile(r"@(?:Table|Entity)\s*\(\s*(?:name\s*=\s*)?[\"']([\w.]+)[\"']|(?:__tablename__|db_table)\s*=\s*[\"']([\w.]+)[\"']")
+
+
+def tables_declared(path: str | None, text: str | None) -> Iterator[tuple[str, str]]:
+    """(table, source) that schemas, migrations and mapped classes declare."""
+    body, name = text or "", (path or "").rsplit("/", 1)[-1]
+    if name.endswith(".prisma"):
+        for model, inside in _PRISMA.findall(body):
+            mapped = re.search(r"@@map\(\s*\"([^\"]+)\"", inside)
+            yield (mapped[1] if mapped else model).lower(), "prisma"
+    elif name.endswith((".xml", ".yaml", ".yml")):
+        for t in re.findall(r"<createTable\b[^>]*\btableName=\"([^\"]+)\"|createTable:(?:\s*\n\s+(?!tableName)\w+:.*)*\s*\n\s+tableName:\s*[\"']?([\w.]+)", body):
+            yield (t[0] or t[1]).lower(), "liquibase"
+    elif name.endswith(".sql"):
+        for table in dict.fromkeys(t for t, _, _ in tables_defined(body)):
+            yield table, "ddl"
+    else:
+        for a, b in _ORM.findall(body):
+            yield (a or b).lower(), "orm"
+
+
+def api_operations(text: str | None) -> Iterator[tuple[str | None, str, str]]:
+    """(server, METHOD, path) of an OpenAPI 3 or Swagger 2 document, in JSON or YAML."""
+    from graphloom.operators.rules import document_operations
+
+    try:
+        body = (text or "").lstrip("\ufeff")
+        for d in [json.loads(body)] if body.lstrip()[:1] == "{" else list(yaml_values.documents(body)):
+            yield from document_operations(d)
+    except (ValueError, AttributeError, TypeError, RecursionError):
+        return
+
+
+def channel_operations(text: str | None) -> Iterator[tuple[str, str]]:
+    """(channel, provides or consumes) of an AsyncAPI 2 or 3 document; what others publish the application reads."""
+    try:
+        body = (text or "").lstrip("\ufeff")
+        for d in [json.loads(body)] if body.lstrip()[:1] == "{" else list(yaml_values.documents(body)):
+            if str(d.get("asyncapi", "")).startswith("2"):
+                for channel, item in (d.get("channels") or {}).items():
+                    for said, way in (("subscribe", "provides"), ("publish", "consumes")):
+                        if said in (item or {}):
+                            yield channel, way
+            elif str(d.get("asyncapi", "")).startswith("3"):
+                addresses = {name: (c or {}).get("address") or name for name, c in (d.get("channels") or {}).items()}
+                for op in (d.get("operations") or {}).values():
+                    name = str((op.get("channel") or {}).get("$ref", "")).rsplit("/", 1)[-1]
+                    if name in addresses and op.get("action") in ("send", "receive"):
+                        yield addresses[name], "provides" if op["action"] == "send" else "consumes"
+    except (ValueError, AttributeError, TypeError, RecursionError):
+        return
+
+
+_LISTENERS = re.compile(r"@(KafkaListener|RabbitListener|JmsListener|SqsListener)\s*\(\s*(?:[^()]*?\b(?:topics|queues|destination|value)\s*=\s*)?\{?([^)}]*)")
+
+
+def listeners(text: str | None) -> Iterator[tuple[str, str]]:
+    """(transport, channel) that listener annotations read; only literals count."""
+    kinds = {"KafkaListener": "kafka", "RabbitListener": "rabbitmq", "JmsListener": "jms", "SqsListener": "sqs"}
+    for kind, inside in _LISTENERS.findall(text or ""):
+        for channel in re.findall(r"\"([^\"$#{]+)\"", inside.split(", groupId")[0]):
+            yield kinds[kind], channel
+
+
+def architecture(text: str | None) -> Iterator[tuple[str, str, str | None]]:
+    """(relation, subject, object) of an architecture or catalogue file: systems, contexts, members and what is upstream of what."""
+    try:
+        for d in yaml_values.documents(text):
+            if d.get("kind") and isinstance(d.get("metadata"), dict):
+                name, spec = d["metadata"].get("name"), d.get("spec") or {}
+                yield d["kind"].lower(), name, spec.get("system") or spec.get("domain")
+                for other in spec.get("dependsOn") or []:
+                    yield "upstream_of", other.rsplit(":", 1)[-1].rsplit("/", 1)[-1], name
+            for context, body in (d.get("contexts") or {}).items():
+                yield "context", context, (body or {}).get("system")
+                for member in (body or {}).get("members") or []:
+                    yield "member", member, context
+                for other in (body or {}).get("upstream_of") or []:
+                    yield "upstream_of", context, other
+    except (ValueError, AttributeError, TypeError):
+        return
+
+
 def tables_accessed(sql: str | None) -> Iterator[tuple[str, str]]:
     """(table, read or write), common table expressions left out; DELETE FROM writes."""
     text = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", " ", sql or "", flags=re.S)
@@ -196,20 +283,61 @@ def flatten(value, prefix: str = "", depth: int = 64) -> Iterator[tuple[str, str
 
 
 def config_values(language: str | None, text: str | None) -> Iterator[tuple[str, str]]:
-    """(key, value) of a JSON, TOML or properties file; nothing for one that does not parse."""
+    """(key, value) of a JSON, TOML, YAML, XML or properties file; nothing for one that does not parse."""
     try:
         if language == "json":
             yield from flatten(json.loads((text or "").lstrip("﻿")))
         elif language == "toml":
             yield from flatten(tomllib.loads((text or "").lstrip("﻿")))
+        elif language == "yaml":
+            for d in yaml_values.documents(text):
+                yield from flatten(d)
+        elif language == "xml":
+            yield from _xml_values(ET.fromstring((text or "").lstrip("\ufeff")))
         elif language == "properties":
             for line in re.sub(r"\\\r?\n\s*", "", text or "").split("\n"):
                 if (m := re.match(r"\s*([^#!\s=:][^=:\s]*)\s*[=:]\s*(.*?)\s*$", line)) is not None:
                     yield m[1], m[2]
-    except (ValueError, RecursionError):
+    except (ValueError, RecursionError, ET.ParseError):
         return
 
 
+def _xml_values(element: ET.Element, prefix: str = "") -> Iterator[tuple[str, str]]:
+    """(dotted path, text or attribute) of an element and those in it."""
+    name = f"{prefix}.{element.tag}" if prefix else str(element.tag)
+    for k, v in element.attrib.items():
+        yield f"{name}@{k}", v
+    if (element.text or "").strip():
+        yield name, element.text.strip()
+    for child in element:
+        yield from _xml_values(child, name)
+
+
+def jsonc(text: str | None):
+    """JSON with comments and trailing commas, as compiler configurations are written."""
+    strings = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|//[^\n]*|/\*.*?\*/", re.S)
+    bare = strings.sub(lambda m: m[0] if m[0][0] == '"' else " ", (text or "").lstrip("\ufeff"))
+    return json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+
+
+def compiler_aliases(text: str | None) -> Iterator[tuple[str | None, str, str]]:
+    """(extended configuration, alias prefix, target) of a tsconfig; the base URL is put before targets."""
+    try:
+        d = jsonc(text)
+        o = d.get("compilerOptions") or {}
+        base = str(o.get("baseUrl") or ".").rstrip("/")
+        for alias, targets in (o.get("paths") or {}).items():
+            for t in targets[:1]:
+                yield d.get("extends"), alias.rstrip("*"), f"{base}/{t.rstrip('*')}".removeprefix("./")
+    except (ValueError, AttributeError, TypeError):
+        return
+
+
+def env_redacted(text: str | None) -> str | None:
+    """Every value of a dotenv file replaced by a mark; keys, comments and blank values stay."""
+    return None if text is None else re.sub(r"(?m)^(\s*(?:export\s+)?[A-Za-z_]\w*\s*=)[ \t]*\S.*$", r"\1<redacted>", text)
+
+
 def env_keys(text: str | None) -> Iterator[tuple[int, str]]:
     """(line, variable) read from the environment."""
     p = re.compile(r"(?:os\.environ(?:\.get\(|\[)|os\.getenv\(|getenv\(|System\.getenv\(|env::var\(|process\.env\.|os\.Getenv\(|env_or!?\(|envOr\()\s*[\"']?([A-Za-z_]\w*)")
@@ -251,6 +379,35 @@ def manifest(path: str | None, text: str | None) -> Iterator[tuple[str, str, str
                 yield "go", "", m[1], None, True
             for m in re.finditer(r"(?m)^\s*(?:require\s+)?([\w.\-]+\.[\w.\-]+/\S+)\s+(v\S+)", body):
                 yield "go", "", m[1], m[2], False
+        elif name in ("build.gradle", "build.gradle.kts"):
+            for g, n, v in re.findall(r"(?m)^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|kapt)\s*\(?\s*[\"']([^:\"']+):([^:\"']+)(?::([^\"']+))?[\"']", body):
+                yield "maven", g, n, v or None, False
+        elif name.endswith((".csproj", ".fsproj", ".vbproj")):
+            if m := re.search(r"<PackageId>([^<]+)</PackageId>", body):
+                yield "nuget", "", m[1], (re.search(r"<Version>([^<]+)</Version>", body) or [None, None])[1], True
+            for n, v in re.findall(r"<PackageReference\s+Include=\"([^\"]+)\"(?:\s+Version=\"([^\"]+)\")?", body):
+                yield "nuget", "", n, v or None, False
+        elif name == "setup.cfg":
+            if m := re.search(r"(?m)^name\s*=\s*(\S+)", body):
+                yield "pypi", "", m[1].lower(), (re.search(r"(?m)^version\s*=\s*(\S+)", body) or [None, None])[1], True
+            if m := re.search(r"(?m)^install_requires\s*=\s*\n((?:[ \t]+\S.*\n?)+)", body):
+                for n, v in re.findall(r"(?m)^\s+([\w.\-]+)\s*(.*)$", m[1]):
+                    yield "pypi", "", n.lower(), v or None, False
+        elif name == "requirements.txt":
+            for n, v in re.findall(r"(?m)^\s*([A-Za-z][\w.\-]*)\s*((?:[=<>!~]=?[^;#\s]*)?)", body):
+                yield "pypi", "", n.lower(), v or None, False
+        elif name == "alire.toml":
+            d = tomllib.loads(body)
+            if d.get("name"):
+                yield "alire", "", d["name"], d.get("version"), True
+            for part in d.get("depends-on") or []:
+                for n, v in part.items():
+                    yield "alire", "", n, v if isinstance(v, str) else None, False
+        elif name.endswith(".gpr"):
+            for n in re.findall(r"(?im)^\s*with\s+\"([^\"]+?)(?:\.gpr)?\"\s*;", body):
+                yield "gpr", "", n.lower(), None, False
+            if m := re.search(r"(?im)^\s*(?:library\s+|abstract\s+)?project\s+(\w+)\s+is", body):
+                yield "gpr", "", m[1].lower(), None, True
         elif name == "pom.xml":
             pick = lambda t, s: (m[1].strip() if (m := re.search(rf"<{t}>([^<$]+)</{t}>", s)) else None)
             bare = re.sub(r"(?s)<(?:parent|dependencies|build|dependencyManagement)>.*?</(?:parent|dependencies|build|dependencyManagement)>", "", body)

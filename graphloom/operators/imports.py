@@ -7,11 +7,13 @@ the few paths it could stand for, and how many of them exist decides.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.resolution import import_decision, prioritised
+from graphloom.plans.shared import materialise
 
 # What a bare specifier may stand for.
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js")
@@ -136,20 +138,24 @@ def base_types(bases: DataFrame, types: DataFrame, imported: DataFrame) -> DataF
     return found.select("site.child", "site.base", tier.alias("tier"), "target")
 
 
-def inherited_members(sites: DataFrame, bases: DataFrame, members: DataFrame, depth: int = 10) -> DataFrame:
+def inherited_members(sites: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
     """(site, target, level): the member of the nearest ancestor type that has the name; two at one level are both given.
 
     sites (site, type, name); bases (child, parent); members (type, name, target).
     """
-    level = sites.select("site", F.col("type").alias("at"), "name")
-    out = None
-    step = bases.select(F.col("child").alias("at"), F.col("parent").alias("next")).distinct()
-    for k in range(depth + 1):
-        hit = level.join(members.select(F.col("type").alias("at"), "name", "target"), ["at", "name"]).select("site", "target", F.lit(k).alias("level"))
+    own = materialise(members.select(F.col("type").alias("at"), "name", "target").distinct(), "members")
+    step = materialise(bases.select(F.col("child").alias("at"), F.col("parent").alias("next")).distinct(), "bases")
+    level = materialise(sites.select("site", F.col("type").alias("at"), "name").distinct(), "level")
+    seen, out = level, None
+    for k in count():
+        hit = materialise(level.join(own, ["at", "name"]).select("site", "target", F.lit(k).alias("level")).distinct(), "inherited")
         out = hit if out is None else out.unionByName(hit)
-        level = level.join(step, "at").select("site", F.col("next").alias("at"), "name").distinct()
-    nearest = Window.partitionBy("site")
-    return out.withColumn("best", F.min("level").over(nearest)).filter("level = best").select("site", "target", "level").distinct()
+        # A site that is settled climbs no further, nor does one that was at a type before.
+        up = level.join(hit.select("site"), "site", "left_anti").join(step, "at").select("site", F.col("next").alias("at"), "name").distinct()
+        level = materialise(up.join(seen.select("site", "at"), ["site", "at"], "left_anti"), "level")
+        if level.isEmpty():
+            return out
+        seen = seen.unionByName(level)
 
 
 def longest_alias(imports: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -177,3 +177,11 @@ def suffixes(definitions: DataFrame, qualified: str) -> DataFrame:
     parts = F.split(F.col(qualified), r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     return definitions.select(F.explode(tails).alias("suffix"), F.col(qualified).alias("qualified"))
+
+
+def suppressed(stages: dict[str, Column], unresolved_member: Column, unconfirmed: Column) -> Column:
+    """Band of a site by the first stage that holds; a member of an unresolved receiver has only its imports' evidence, an unconfirmed site none."""
+    band = F.lit("unresolved")
+    for name, holds in reversed(stages.items()):
+        band = F.when(holds & (F.lit(name == "import-guided") | ~unresolved_member), name).otherwise(band)
+    return F.when(unconfirmed, "unconfirmed").otherwise(band)

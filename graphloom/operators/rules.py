@@ -174,12 +174,17 @@ def service_kind(spark: SparkSession, callees: DataFrame) -> DataFrame:
 def openapi_operations(text: str | None) -> Iterator[tuple[str | None, str, str]]:
     """(server, METHOD, path) of an OpenAPI 3 or Swagger 2 document in JSON."""
     try:
-        d = json.loads(text or "")
+        yield from document_operations(json.loads(text or ""))
+    except (ValueError, AttributeError, TypeError, KeyError):
+        return
+
+
+def document_operations(d: dict) -> Iterator[tuple[str | None, str, str]]:
+    """(server, METHOD, path) of a document read from JSON or YAML."""
+    if d.get("openapi") or d.get("swagger") or d.get("paths"):
         servers = [s.get("url") for s in d.get("servers") or []] or ([f"{(d.get('schemes') or ['https'])[0]}://{d['host']}{d.get('basePath', '')}"] if d.get("host") else [None])
         for path, item in (d.get("paths") or {}).items():
             for method in item:
                 if method.lower() in ("get", "put", "post", "delete", "patch", "head", "options", "trace"):
                     for s in servers:
                         yield s, method.upper(), path
-    except (ValueError, AttributeError, TypeError, KeyError):
-        return

@@ -128,3 +128,10 @@ def layer_stats(nodes: DataFrame, layer: str, complexity: str) -> DataFrame:
     """Members and overall complexity per layer: complex or moderate above 30 per cent."""
     g = nodes.groupBy(layer).agg(F.count("*").alias("members"), F.count_if(F.col(complexity) == "complex").alias("c"), F.count_if(F.col(complexity) == "moderate").alias("m"))
     return g.select(layer, "members", F.when(F.col("c") > F.col("members") * 0.3, "complex").when(F.col("m") > F.col("members") * 0.3, "moderate").otherwise("simple").alias("complexity"))
+
+
+def tiles(nodes: DataFrame, container: list[str], order: str, columns: list[str]) -> DataFrame:
+    """(container, nodes, one array per column): the nodes of each container as columns in one order; a container is a view's bounded unit."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    grouped = nodes.groupBy(*container).agg(F.count("*").alias("nodes"), rows.alias("rows"))
+    return grouped.select(*container, "nodes", *(F.col(f"rows.{c}").alias(c) for c in columns))

@@ -79,3 +79,19 @@ def grep_context(df: DataFrame, key: str, text: str, pattern: str, around: int)
 
 def excerpt(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n")
+
+
+def languages(files: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(files' columns, language) of files (repo_id, path, first_line): a repository's override, else a header's rule, else the extension, else the first line.
+
+    overrides (repo_id, pattern, language) are a configuration's few rows; a
+    header belongs to C++ if a source of its name does, else to C.
+    """
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    cpp = files.filter(F.col("path").rlike(r"(?i)\.(?:cpp|cc|cxx)$")).select("repo_id", stem.alias("stem")).distinct().withColumn("paired", F.lit(True))
+    known = detected_language(files).withColumn("stem", stem).join(cpp, ["repo_id", "stem"], "left")
+    said = known.select("repo_id", "path").distinct().join(F.broadcast(overrides.withColumnRenamed("language", "wanted")), "repo_id").filter(F.expr("path RLIKE pattern"))
+    known = known.join(said.groupBy("repo_id", "path").agg(F.min("wanted").alias("wanted")), ["repo_id", "path"], "left")
+    header = F.when(F.col("path").rlike(r"(?i)\.h$"), F.when(F.col("paired"), "cpp").otherwise("c"))
+    language = F.coalesce("wanted", header, "detected", shebang_language(F.coalesce("first_line", F.lit(""))))
+    return known.select(*files.columns, language.alias("language"))

@@ -31,12 +31,6 @@ def res_java_imports(spark: SparkSession, d: str) -> DataFrame:
     return imports.interpreted(_imports(spark, d).filter("language = 'java'"), f).select("repo_id", "path", "module", "decision")
 
 
-@query()
-def res_modules(spark: SparkSession, d: str) -> DataFrame:
-    """The module each latest file belongs to, by its language's rule."""
-    return imports.modules(facts.latest_files(spark, d).select("repo_id", "file_id", "blob_sha", "path", "language"), table(spark, d, "sources")).distinct()
-
-
 @query("SELECT CASE WHEN o_orderstatus = 'P' THEN 'blocked' WHEN o_orderpriority LIKE '1%' AND o_custkey % 7 = 0 THEN 'external' WHEN o_orderpriority LIKE '2%' THEN 'typed' WHEN o_custkey % 11 = 0 THEN 'blocked' WHEN o_custkey % 13 = 0 THEN 'external' WHEN o_orderpriority LIKE '3%' THEN 'exact' WHEN o_totalprice > 200000 THEN 'candidate' ELSE 'unresolved' END AS band, count(*) AS sites FROM orders GROUP BY 1")
 def res_settlement(spark: SparkSession, d: str) -> DataFrame:
     """Precedence of what is known about a site, over made-up flags of orders."""

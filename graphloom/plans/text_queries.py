@@ -100,11 +100,6 @@ def vec_index_recall(spark: SparkSession, d: str) -> DataFrame:
         probes *= 2
 
 
-@query()
-def txt_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return X.chunks(table(spark, d, "documents"), "doc_id", "text")
-
-
 @query()
 def txt_masked(spark: SparkSession, d: str) -> DataFrame:
     """Sources with credential bytes overwritten at equal length."""
@@ -114,32 +109,10 @@ def txt_masked(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ext_config_values(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sources").filter(F.col("language").isin("json", "toml", "properties"))
+    s = table(spark, d, "sources").filter(F.col("language").isin("json", "toml", "yaml", "xml", "properties"))
     return X.table_function(s, ["file_id", "blob_sha", "language", "text"], lambda f, b, lang, t: ((f, b, k, v) for k, v in X.config_values(lang, t)), "file_id string, blob_sha string, key string, value string").distinct()
 
 
-@query()
-def ext_headings(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sources").filter("language = 'markdown'")
-    return X.table_function(s, ["file_id", "blob_sha", "text"], lambda f, b, t: ((f, b, *h) for h in X.headings(t)), "file_id string, blob_sha string, line int, level int, title string").distinct()
-
-
-@query()
-def ext_env_keys(spark: SparkSession, d: str) -> DataFrame:
-    return X.table_function(table(spark, d, "sources"), ["file_id", "blob_sha", "text"], lambda f, b, t: ((f, b, *h) for h in X.env_keys(t)), "file_id string, blob_sha string, line int, variable string").distinct()
-
-
-@query()
-def ext_routes(spark: SparkSession, d: str) -> DataFrame:
-    return X.table_function(table(spark, d, "sources"), ["file_id", "blob_sha", "text"], lambda f, b, t: ((f, b, *h) for h in X.routes(t)), "file_id string, blob_sha string, line int, method string, path string").distinct()
-
-
-@query()
-def ext_manifests(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sources").filter(F.col("path").rlike(r"(^|/)(package\.json|Cargo\.toml|pyproject\.toml|go\.mod|pom\.xml)$"))
-    return X.table_function(s, ["file_id", "path", "text"], lambda f, p, t: ((f, *m) for m in X.manifest(p, t)), "file_id string, ecosystem string, `group` string, name string, version string, provided boolean").distinct()
-
-
 # ---- streaming: each must give what its batch twin gives
 
 
