@@ -29,7 +29,7 @@ DEFINITIONS = [
     ("java", "Class", rf"^\s*{_MODS}(?:class|record) +{_NAME}"),
     ("java", "Interface", rf"^\s*{_MODS}interface +{_NAME}"),
     ("java", "Enum", rf"^\s*{_MODS}enum +{_NAME}"),
-    ("java", "Method", rf"^\s+{_MODS}(?:<[^<>]*> +)?[A-Za-z_][A-Za-z0-9_.<>, \[\]]* +{_NAME} *\([^()]*\)[^()=]*\{{\s*$"),
+    ("java", "Method", rf"^\s+{_MODS}(?:<[^<>]*> +)?[A-Za-z_][A-Za-z0-9_.<>, \[\]]* +([a-z_$][A-Za-z0-9_$]*) *\([^()]*\)[^()=]*\{{\s*$"),
     ("java", "Constructor", rf"^\s+(?:(?:public|private|protected) +)?([A-Z][A-Za-z0-9_]*) *\([^()]*\)[^()=]*\{{\s*$"),
     ("go", "Function", rf"^func +{_NAME} *[(\[]"),
     ("go", "Method", rf"^func +\([^()]*\) +{_NAME} *\("),

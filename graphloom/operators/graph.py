@@ -264,22 +264,54 @@ def feedback_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     return cut.filter("loop or against = (coalesce(excess, 0) <= 0)").select("component", "src", "dst")
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community): label propagation over undirected weights; the smallest label wins ties.
-
-    Not a modularity optimum: labels spread ``rounds`` times, each node taking the
-    heaviest label among its neighbours and its own.
+def communities(edges: DataFrame, patience: int = 2) -> DataFrame:
+    """(node, community): Louvain communities of an undirected weighted graph, named by their least node.
+
+    In each round every node sees the gain of modularity that each neighbour's
+    community offers, and half of the nodes, chosen by hash, take the best one
+    (the least label wins ties), so that neighbours do not swap for ever.  A
+    level ends when modularity has not grown for ``patience`` rounds, its best
+    state being kept; communities then become the nodes of the next level, until
+    none join.  Rounds are joins on edges; nothing is collected.
     """
-    w = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    both = materialise(w.unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "both")
-    state = materialise(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
-    for _ in range(rounds):
-        heard = both.join(state.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("weight"))
-        best = heard.groupBy("src").agg(F.min_by("community", F.struct((-F.col("weight")).alias("w"), F.col("community").alias("c"))).alias("community"))
-        step = materialise(state.select("node").join(best, F.col("node") == F.col("src"), "left").select("node", F.coalesce("community", "node").alias("community")), "labels")
-        release(state)
-        state = step
-    return state
+    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).filter("src is not null and dst is not null and weight > 0")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    graph = materialise(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain")
+    whole = graph.agg(F.sum("weight")).first()[0] or 1.0
+    member = materialise(graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "louvain")
+    while True:
+        degree = materialise(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "louvain")
+        state = degree.select("node", "k", F.col("node").alias("c"))
+        best, best_q, stale = state, None, 0
+        for r in count():
+            totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
+            heard = graph.join(state.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum(F.when(F.col("src") != F.col("dst"), F.col("weight")).otherwise(0.0)).alias("w"), F.sum("weight").alias("all"))
+            heard = heard.unionByName(state.select("node", "c", F.lit(0.0).alias("w"), F.lit(0.0).alias("all"))).groupBy("node", "c").agg(F.sum("w").alias("w"), F.sum("all").alias("all"))
+            scored = heard.join(totals, "c").join(state.withColumnRenamed("c", "own"), "node").withColumn("at_home", F.col("c") == F.col("own"))
+            scored = scored.withColumn("gain", F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("at_home"), F.col("k")).otherwise(0.0)) / whole)
+            home = lambda c: F.max(F.when(F.col("at_home"), F.col(c)))
+            wish = scored.groupBy("node").agg(
+                F.first("k").alias("k"), F.first("own").alias("c"), F.min_by("c", F.struct((-F.round("gain", 12)).alias("g"), F.col("c").alias("c"))).alias("to"),
+                (F.max("gain") > home("gain") + 1e-9).alias("gains"), home("all").alias("inside"), home("tot").alias("tot"),
+            )
+            turn = F.pmod(F.xxhash64(F.col("node"), F.lit(r // 2)), F.lit(2)) == r % 2
+            moved = materialise(wish.withColumn("next", F.when(turn & F.col("gains"), F.col("to")).otherwise(F.col("c"))), "louvain")
+            told = moved.agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares"), F.count_if("gains").alias("wishes")).first()
+            q = (told["inside"] or 0.0) / whole - (told["squares"] or 0.0) / whole**2
+            stale = 0 if best_q is None or q > best_q + 1e-9 else stale + 1
+            if not stale:
+                best, best_q = moved.select("node", "k", "c"), q
+            if stale >= patience or not told["wishes"]:
+                break
+            state = moved.select("node", "k", F.col("next").alias("c"))
+        named = best.groupBy("c").agg(F.min("node").alias("name"), F.count("*").alias("n"))
+        joined = named.filter("n > 1").limit(1).count()
+        if not joined:
+            return member.groupBy("community").agg(F.min("node").alias("least")).join(member, "community").select("node", F.col("least").alias("community"))
+        step = materialise(best.join(named, "c").select("node", "name"), "louvain")
+        member = materialise(member.join(step.withColumnRenamed("node", "community"), "community").select("node", F.col("name").alias("community")), "louvain")
+        a, b = step.select(F.col("node").alias("src"), F.col("name").alias("a")), step.select(F.col("node").alias("dst"), F.col("name").alias("b"))
+        graph = materialise(graph.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame, depth: int, containment: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -28,6 +28,11 @@ STATEMENTS = {
     "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)",
     "go": r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w.\-/]+)\"\s*$",
     "rust": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)",
+    "kotlin": r"(?m)^\s*import\s+([\w.]+)",
+    "csharp": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;",
+    "php": r"(?m)^\s*use\s+(?:function\s+|const\s+)?\\?([\w\\]+)",
+    "c": r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)[\">]",
+    "cpp": r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)[\">]",
 }
 
 
@@ -71,6 +76,10 @@ def candidate_paths(language: Column, path: Column, module: Column) -> Column:
         F.when(language == "python", with_endings(python, PYTHON_ENDINGS))
         .when(language.isin("javascript", "typescript") & module.startswith("."), with_endings(F.array(script), SCRIPT_ENDINGS))
         .when(language == "java", F.array(F.concat(F.regexp_replace(module, r"\.", "/"), F.lit(".java"))))
+        .when(language == "kotlin", with_endings(F.array(F.regexp_replace(module, r"\.", "/")), (".kt", ".java")))
+        .when(language == "csharp", F.array(F.concat(F.regexp_replace(module, r"\.", "/"), F.lit(".cs"))))
+        .when(language == "php", F.flatten(F.transform(F.array(F.regexp_replace(module, r"\\", "/")), lambda b: F.array(F.concat(b, F.lit(".php")), F.concat(F.lit("src/"), F.regexp_replace(b, "^[^/]*/", ""), F.lit(".php"))))))
+        .when(language.isin("c", "cpp"), F.array_distinct(F.array(script, module, F.concat(F.lit("include/"), module), F.concat(F.lit("src/"), module))))
         .when((language == "rust") & module.startswith("crate::"), with_endings(F.array(rust, F.regexp_replace(rust, "/[^/]*$", "")), RUST_ENDINGS))
         .otherwise(F.array().cast("array<string>"))
     )

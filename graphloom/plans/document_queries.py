@@ -186,6 +186,18 @@ def ext_headings(spark: SparkSession, d: str) -> DataFrame:
     return X.table_function(s, ["file_id", "blob_sha", "text"], lambda f, b, t: ((f, b, *h) for h in X.headings(t)), "file_id string, blob_sha string, line int, level int, title string").distinct()
 
 
+@query("WITH p AS (SELECT p_partkey AS k FROM part), e AS (SELECT 'r' AS repo_id, 'a' || k || ['/x.c', '/x.cpp', '/X.kt', '/X.cs', '/X.php'][k % 5 + 1] AS path, k, k % 5 AS l FROM p) SELECT path, CASE l WHEN 0 THEN 'h' || k || '.h' WHEN 1 THEN 'lib/h' || k || '.h' WHEN 2 THEN 'org.m' || k || '.T' WHEN 3 THEN 'Org.M' || k WHEN 4 THEN 'Org\\M' || k END AS module, CASE WHEN k % 3 = 0 THEN CASE WHEN l = 1 AND k % 2 = 0 THEN 'internal_candidates' ELSE 'internal' END ELSE 'external' END AS decision FROM e")
+def res_more_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of C, C++, Kotlin, C# and PHP texts against the files of their repository; a third of the files exist."""
+    k, i = F.col("p_partkey"), (F.col("p_partkey") % 5 + 1).cast("int")
+    put = lambda *t: F.replace(F.element_at(F.array(*map(F.lit, t)), i), F.lit("§"), k.cast("string"))
+    s = table(spark, d, "part").select("p_partkey", F.lit("r").alias("repo_id"), put("a§/x.c", "a§/x.cpp", "a§/X.kt", "a§/X.cs", "a§/X.php").alias("path"), put("c", "cpp", "kotlin", "csharp", "php").alias("language"),
+        put('#include "h§.h"\nint x;', "# include <lib/h§.h>\n", "package a\nimport org.m§.T\n", "using Org.M§;\n", "<?php\nuse Org\\M§;\n").alias("text"))
+    there = s.filter("p_partkey % 3 = 0").select("repo_id", F.explode(F.array(put("a§/h§.h", "include/lib/h§.h", "org/m§/T.kt", "Org/M§.cs", "src/M§.php"), F.when(k % 2 == 0, put("z", "src/lib/h§.h", "z", "z", "z")))).alias("path")).filter("path is not null")
+    f = s.select("repo_id", "path").unionByName(there)
+    return imports.interpreted(imports.statements(s.drop("p_partkey")), f).select("path", "module", "decision")
+
+
 _READ = r"(?:os\.environ\.get\(|os\.environ\[|os\.getenv\(|getenv\(|System\.getenv\(|env::var\(|process\.env\.|os\.Getenv\(|env_or!?\(|envOr\()\s*[\"'']?([A-Za-z_]\w*)"
 
 

@@ -101,9 +101,9 @@ def src_digests(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file_id", "blob_sha", F.sha2("text", 256).alias("content_digest"), text.line_count(F.col("text")).alias("lines")).distinct()
 
 
-@query()
+@query("SELECT DISTINCT file_id, blob_sha, sha1('blob ' || strlen(text) || chr(0) || text) AS git_blob FROM sources")
 def src_blob_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Git's own object id of each text (DuckDB has no sha1 of bytes to compare with)."""
+    """Git's own object id of each text."""
     return table(spark, d, "sources").select("file_id", "blob_sha", I.blob_sha(F.col("text")).alias("git_blob")).distinct()
 
 

@@ -69,7 +69,12 @@ def gr_test_edges(spark: SparkSession, d: str) -> DataFrame:
     return S.test_edges(facts.call_edges(spark, d), tests).select("src", "dst", "band", "weight", "kind")
 
 
-@query()
+_OPENED = "".join(
+    f""", c{k} AS (SELECT *, array_to_string(p[1:least(depth, len(p) - 1)], '/') AS c FROM s{k}), h{k} AS (SELECT repo_id, c FROM c{k} JOIN (SELECT repo_id, count(*) AS total FROM c{k} GROUP BY 1) USING (repo_id) GROUP BY repo_id, c HAVING count(*) > 0.7 * max(total) AND max(len(p) - 1 - depth) > 0),
+s{k + 1} AS (SELECT c{k}.repo_id, p, depth + CASE WHEN h{k}.c IS NULL THEN 0 ELSE 1 END AS depth FROM c{k} LEFT JOIN h{k} ON h{k}.repo_id = c{k}.repo_id AND h{k}.c = c{k}.c)""" for k in range(10))
+
+
+@query(ctes("latest", "g_files") + ", s0 AS (SELECT repo_id, string_split(path, '/') AS p, 1 AS depth FROM g_files)" + _OPENED + " SELECT repo_id, array_to_string(p[1:least(depth, len(p) - 1)], '/') AS container, count(*) AS members FROM s10 GROUP BY ALL")
 def gr_containers(spark: SparkSession, d: str) -> DataFrame:
     """Folders as containers, overfull ones opened level by level."""
     return S.containers(facts.latest_files(spark, d), ["repo_id"], "path")

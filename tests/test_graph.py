@@ -57,6 +57,37 @@ def test_feedback_edges_leave_no_cycle(spark):
     assert all(not (a != b and a in r[b]) and a != b for a, b in rest)
 
 
+def test_feedback_edges_are_not_far_from_the_fewest(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        pairs = sorted({(rng.randrange(6), rng.randrange(6)) for _ in range(14)})
+        e = edges(spark, pairs)
+        cut = {(x.src, x.dst) for x in G.feedback_edges(e, G.strong_components(e)).collect()}
+        loops = {p for p in pairs if p[0] == p[1]}
+        inside = [p for p in pairs if p not in loops]
+        fewest = min(sum(order.index(a) > order.index(b) for a, b in inside) for order in itertools.permutations(range(6)))
+        assert loops <= cut and len(cut - loops) <= max(fewest, min(2 * fewest, len(inside) // 2))
+
+
+def modularity(pairs, label):
+    m = len(pairs)
+    degree = {}
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    inside = sum(label[a] == label[b] for a, b in pairs) / m
+    return inside - sum((sum(d for n, d in degree.items() if label[n] == c) / (2 * m)) ** 2 for c in set(label.values()))
+
+
+def test_communities_find_what_is_planted(spark):
+    rng = random.Random(8)
+    group = {n: n // 8 for n in range(32)}
+    pairs = sorted({(a, b) for a in range(32) for b in range(a + 1, 32) if rng.random() < (0.8 if group[a] == group[b] else 0.04)})
+    got = {x.node: x.community for x in G.communities(edges(spark, pairs)).collect()}
+    assert set(got) == {n for p in pairs for n in p} and all(got[c] == c and c == min(n for n in got if got[n] == c) for c in got.values())
+    assert modularity(pairs, got) >= modularity(pairs, group) - 1e-9
+    assert G.communities(edges(spark, [])).count() == 0
+
+
 def test_transitive_maximum(spark):
     # a<->b, b->c, d->d, e->a with depths 1,0,3,2,0
     e = edges(spark, [(1, 2), (2, 1), (2, 3), (4, 4), (5, 1)])
