@@ -94,6 +94,9 @@ d AS (SELECT DISTINCT h, doc_id FROM g), m AS (SELECT h FROM d GROUP BY 1 HAVING
 """
 ORACLE: dict[str, str] = {
     "p8_found": _PHRASES + "SELECT DISTINCT item_id, doc_id FROM i JOIN p USING (phrase)",
+    "p8_removals": _PHRASES + """, h AS (SELECT DISTINCT i.item_id, q.doc_id, q.k FROM i JOIN (SELECT doc_id, k, array_to_string(words[k:k + 14], ' ') AS phrase FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 14)) AS k FROM d)) q USING (phrase)),
+o AS (SELECT *, max(k + 13) OVER (PARTITION BY doc_id ORDER BY k, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR k - 1 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k, item_id ROWS UNBOUNDED PRECEDING) AS run FROM o)
+SELECT doc_id, min(k) - 1 AS first_word, max(k) + 13 AS last_word, count(DISTINCT item_id) AS items FROM g GROUP BY doc_id, run""",
     "p10_found": _GRAMS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id",
     "p10_stretches": _GRAMS + """, w AS (SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 200, true) AS begins FROM g SEMI JOIN m USING (h)),
 r AS (SELECT doc_id, k, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM w) SELECT doc_id, min(k) - 1 AS start, max(k) + 200 - min(k) AS chars FROM r GROUP BY doc_id, run""",
