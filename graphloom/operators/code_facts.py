@@ -39,17 +39,51 @@ DEFINITIONS = [
     ("rust", "Struct", rf"^\s*(?:pub(?:\([a-z]+\))? +)?struct +{_NAME}"),
     ("rust", "Enum", rf"^\s*(?:pub(?:\([a-z]+\))? +)?enum +{_NAME}"),
     ("rust", "Trait", rf"^\s*(?:pub(?:\([a-z]+\))? +)?trait +{_NAME}"),
+    *((lang, kind, pattern) for lang in ("c", "cpp") for kind, pattern in (
+        ("Struct", rf"^\s*(?:typedef +)?struct +{_NAME} *\{{"), ("Enum", rf"^\s*(?:typedef +)?enum +(?:class +)?{_NAME} *\{{"), ("Macro", rf"^\s*# *define +{_NAME}"),
+        ("Function", r"^[A-Za-z_][A-Za-z0-9_:<>, ]*[ *&]+((?:[A-Za-z_][A-Za-z0-9_]*::)*~?[A-Za-z_][A-Za-z0-9_]*) *\([^;{}]*\) *(?:const *)?\{?\s*$"),
+    )),
+    ("cpp", "Class", rf"^\s*(?:template *<[^<>]*> *)?class +{_NAME} *(?::[^:].*)?\{{?\s*$"),
+    ("csharp", "Class", rf"^\s*(?:(?:public|internal|private|protected|static|sealed|abstract|partial) +)*(?:class|record) +{_NAME}"),
+    ("csharp", "Interface", rf"^\s*(?:(?:public|internal|private|protected|partial) +)*interface +{_NAME}"),
+    ("csharp", "Method", r"^\s+(?:(?:public|internal|private|protected|static|virtual|override|abstract|async|sealed) +)+[A-Za-z_][A-Za-z0-9_.<>, \[\]?]* +([A-Za-z_][A-Za-z0-9_]*) *(?:<[^<>]*>)? *\([^()]*\)"),
+    ("kotlin", "Class", rf"^\s*(?:(?:public|private|internal|data|sealed|abstract|open|inner|enum) +)*(?:class|object) +{_NAME}"),
+    ("kotlin", "Interface", rf"^\s*(?:(?:public|private|internal|sealed|fun) +)*interface +{_NAME}"),
+    ("kotlin", "Function", rf"^\s*(?:(?:public|private|internal|protected|override|suspend|inline|operator|open) +)*fun +(?:<[^<>]*> +)?(?:[A-Za-z_][A-Za-z0-9_]*\.)?{_NAME} *\("),
+    ("swift", "Class", rf"^\s*(?:(?:public|open|internal|private|final) +)*(?:class|actor) +{_NAME} *[:{{<]"),
+    ("swift", "Struct", rf"^\s*(?:(?:public|internal|private) +)*struct +{_NAME}"),
+    ("swift", "Function", rf"^\s*(?:(?:public|open|internal|private|static|override|mutating) +)*func +{_NAME} *[(<]"),
+    ("scala", "Class", rf"^\s*(?:(?:private|protected|abstract|final|sealed|case|implicit) +)*(?:class|object) +{_NAME}"),
+    ("scala", "Trait", rf"^\s*(?:(?:private|protected|sealed) +)*trait +{_NAME}"),
+    ("scala", "Method", rf"^\s*(?:(?:private|protected|override|final|implicit) +)*def +{_NAME}"),
+    ("ruby", "Class", r"^\s*class +([A-Z][A-Za-z0-9_:]*)"),
+    ("ruby", "Module", r"^\s*module +([A-Z][A-Za-z0-9_:]*)"),
+    ("ruby", "Method", r"^\s*def +(?:self\.)?([A-Za-z_][A-Za-z0-9_]*[?!=]?)"),
+    ("php", "Class", rf"^\s*(?:(?:abstract|final|readonly) +)*class +{_NAME}"),
+    ("php", "Interface", rf"^\s*interface +{_NAME}"),
+    ("php", "Trait", rf"^\s*trait +{_NAME}"),
+    ("php", "Function", rf"^\s*(?:(?:public|private|protected|static|abstract|final) +)*function +&?{_NAME} *\("),
+    ("perl", "Module", r"^\s*package +([A-Za-z_][A-Za-z0-9_:]*)"),
+    ("perl", "Function", rf"^\s*sub +{_NAME}"),
+    ("ada", "Module", r"^\s*(?i:package) +(?:(?i:body) +)?([A-Za-z][A-Za-z0-9_.]*) +(?i:is|with|renames)"),
+    ("ada", "Function", r"^\s*(?:(?i:overriding|not overriding) +)?(?i:procedure|function) +([A-Za-z][A-Za-z0-9_]*)"),
+    ("ada", "Struct", r"^\s*(?i:type) +([A-Za-z][A-Za-z0-9_]*) +(?i:is) +(?:(?i:tagged|limited|abstract) +)*(?i:record|new)"),
+    ("bash", "Function", r"^\s*(?:function +)?([A-Za-z_][A-Za-z0-9_-]*) *\( *\)"),
+    ("lua", "Function", r"^\s*(?:local +)?function +([A-Za-z_][A-Za-z0-9_.:]*) *\("),
 ]
 # Words that stand before a bracket without being called or declared.
 NO_NAMES = ("if", "for", "while", "switch", "catch", "return", "new", "match", "else", "do", "in", "not", "and", "or", "await", "async", "func", "function", "fn", "def", "class", "elif", "with", "super", "typeof", "throw", "constructor")
 COMMENT = r"^\s*(?://|#|/\*|\*|--)"
+# Languages whose lines with a hash are no comments.
+PREPROCESSED = ("c", "cpp")
 CALL = r"([A-Za-z_$][A-Za-z0-9_$]*(?:(?:\.|::|->)[A-Za-z_$][A-Za-z0-9_$]*)*) *\("
 
 
 def lines(sources: DataFrame, *columns: str) -> DataFrame:
     """(columns, language, line_no, line) of texts, comment lines left out."""
     rows = sources.filter("text is not null and language is not null").select(*columns, "language", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.filter(~F.col("line").rlike(COMMENT)).select(*columns, "language", (F.col("at") + 1).alias("line_no"), "line")
+    comment = F.col("line").rlike(COMMENT) & ~(F.col("language").isin(*PREPROCESSED) & F.col("line").rlike(r"^\s*#"))
+    return rows.filter(~comment).select(*columns, "language", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def definitions(sources: DataFrame, *columns: str) -> DataFrame:

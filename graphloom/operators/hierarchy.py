@@ -101,7 +101,7 @@ def _doubling(state: DataFrame, sums: list[str], along: dict[str, Column], tag:
         after = live.join(ahead, F.col("p") == F.col("b_n"), "left")
         after = after.select("n", F.col("b_p").alias("p"), *(x.alias(c) for c, x in along.items()), *(c for c in state.columns if c not in ("n", "p", *along)))
         if sums:
-            up = materialise(live.groupBy(F.col("p").alias("n")).agg(*(F.sum(c).alias("u_" + c) for c in sums)), tag)
+            up = live.groupBy(F.col("p").alias("n")).agg(*(F.sum(c).alias("u_" + c) for c in sums))
             sent.append(up)
             after = after.join(up, "n", "left").select(*(c for c in state.columns if c not in sums), *((F.col(c) + F.coalesce("u_" + c, F.lit(0))).alias(c) for c in sums))
         after = materialise(after.select(*state.columns), tag)

@@ -25,7 +25,7 @@ _NOT_NAMES = "(" + ", ".join(map(_QUOTE, C.NO_NAMES)) + ")"
 _LINES = (
     "s AS (SELECT DISTINCT file_id, blob_sha, language, text FROM sources WHERE text IS NOT NULL AND language IS NOT NULL), "
     "r AS (SELECT file_id, blob_sha, language, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM s), "
-    f"l AS (SELECT * FROM r WHERE NOT regexp_matches(line, {_QUOTE(C.COMMENT)}))"
+    f"l AS (SELECT * FROM r WHERE NOT regexp_matches(line, {_QUOTE(C.COMMENT)}) OR language IN ({', '.join(map(_QUOTE, C.PREPROCESSED))}) AND regexp_matches(line, '^\\s*#'))"
 )
 _DEFINED = "d AS (" + " UNION ALL ".join(
     f"SELECT file_id, blob_sha, language, line_no, {_QUOTE(kind)} AS kind, regexp_extract(line, {_QUOTE(pattern)}, 1) AS name FROM l WHERE language = {_QUOTE(language)}" for language, kind, pattern in C.DEFINITIONS
@@ -326,7 +326,8 @@ def top_envelope(spark: SparkSession, d: str) -> DataFrame:
     order = [F.col("p_retailprice").desc(), F.col("p_partkey")]
     _, _, after = A.paged(table(spark, d, "part"), order, 20, "parts", "order by price")
     rows, total, after = A.paged(table(spark, d, "part"), order, 20, "parts", "order by price", cursor=after)
-    return rows.select("p_partkey", "p_name").crossJoin(F.broadcast(total)).withColumn("cursor", F.lit(after))
+    told = total.first()
+    return rows.select("p_partkey", "p_name", F.lit(told["total"]).alias("total"), F.lit(told["has_more"]).alias("has_more"), F.lit(after).alias("cursor"))
 
 
 @query(ctes("call_edges") + " SELECT s_nationkey AS from_context, p_size AS to_context, count(*) AS edges FROM call_edges JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst WHERE band IN ('precise', 'typed', 'import-guided', 'inheritance-guided', 'exact', 'scoped') AND (s_nationkey, p_size) IN ((1, 5), (2, 7), (3, 9)) GROUP BY ALL")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import configuration, imports, structure, text
+from graphloom.operators import code_facts, configuration, imports, structure, text
 from graphloom.operators import extractors as X
 from graphloom.plans import facts
 from graphloom.plans.facts import ctes, table
@@ -119,6 +119,22 @@ extraction("sec_signatures", "Parameter types without blanks and generic argumen
 ], "signature string", lambda path, t: [(X.normalised_parameters(t.split("|")),)])
 
 
+_CODE: list[Case] = [
+    ("c", "#define SIZE§ 3\nstatic int load§(const char *p, int n) {\n  return 1;\n}\nstruct row§ {\n", [(1, "Macro", "SIZE§"), (2, "Function", "load§"), (5, "Struct", "row§")]), ("cpp", "class Box§ : public Base {\nvoid Box§::put(int a) const {\nenum class Kind§ {\n", [(1, "Class", "Box§"), (2, "Function", "Box§::put"), (3, "Enum", "Kind§")]),
+    ("csharp", "public sealed class A§ : B\n{\n    public async Task<int> Run§(int a)\n", [(1, "Class", "A§"), (3, "Method", "Run§")]), ("kotlin", "data class K§(val a: Int)\n  override suspend fun <T> go§(a: T) = 1\n", [(1, "Class", "K§"), (2, "Function", "go§")]),
+    ("swift", "public struct S§ {\n  mutating func m§(a: Int) {\n", [(1, "Struct", "S§"), (2, "Function", "m§")]), ("scala", "sealed trait T§\ncase class C§(a: Int)\n  def f§(x: Int) = x\n", [(1, "Trait", "T§"), (2, "Class", "C§"), (3, "Method", "f§")]),
+    ("ruby", "module M§\n  class C§ < D\n    def self.go§?\n", [(1, "Module", "M§"), (2, "Class", "C§"), (3, "Method", "go§?")]), ("php", "<?php\nfinal class P§ {\n  public static function f§($a) {\n", [(2, "Class", "P§"), (3, "Function", "f§")]),
+    ("perl", "package A::B§;\nsub run§ {\n", [(1, "Module", "A::B§"), (2, "Function", "run§")]), ("ada", "package body P§ is\n   procedure Go§ (A : Integer) is\n-- function No return Integer\n   type R§ is record\n", [(1, "Module", "P§"), (2, "Function", "Go§"), (4, "Struct", "R§")]),
+    ("bash", "# go() {\nrun_§() {\n", [(2, "Function", "run_§")]), ("lua", "local function l§(a)\n", [(1, "Function", "l§")]),
+]
+
+
+@query(wanted(_CODE, "line_no int, kind string, name string"))
+def src_more_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of twelve languages the driver's texts do not hold."""
+    return code_facts.definitions(written(spark, d, _CODE).withColumnRenamed("path", "language"), "k").select("k", "line_no", "kind", "name")
+
+
 # ---- files of the shared folder
 
 
@@ -148,19 +164,6 @@ def src_spans(spark: SparkSession, d: str) -> DataFrame:
     return readers.spans(table(spark, d, "part").select(doc.alias("value"))).select("service", "peer").distinct()
 
 
-@query("SELECT CAST(c AS VARCHAR) AS layer_id, count(*) AS nodes FROM (SELECT p_partkey, p_partkey % 4 AS c FROM part) GROUP BY 1")
-def src_graph_document(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes per layer of a graph document."""
-    folder = _folder(spark, "graph")
-    p = table(spark, d, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") % 4).cast("string").alias("c"))
-    layers = p.groupBy("c").agg(F.array_sort(F.collect_list("id")).alias("nodeIds")).select(F.struct(F.col("c").alias("id"), "nodeIds").alias("l")).agg(F.collect_list("l").alias("layers"))
-    nodes = p.select(F.struct("id").alias("n")).agg(F.collect_list("n").alias("nodes"))
-    doc = nodes.crossJoin(layers).select(F.to_json(F.struct("nodes", F.array(F.struct(F.lit("n0").alias("source"), F.lit("n1").alias("target"))).alias("edges"), "layers")).alias("value"))
-    doc.coalesce(1).write.text(folder)
-    _, _, members = readers.graph_document(spark, folder)
-    return members.groupBy("layer_id").agg(F.count("*").alias("nodes"))
-
-
 @query("WITH f AS (SELECT path, blob_sha, ingested_at FROM files WHERE blob_sha IS NOT NULL) SELECT path, max(blob_sha) AS digest FROM f JOIN (SELECT path, max(ingested_at) AS newest FROM f GROUP BY 1) USING (path) WHERE ingested_at = newest GROUP BY 1")
 def str_change_feed(spark: SparkSession, d: str) -> DataFrame:
     """The newest digest of each path, fed by a stream of file rows in batches."""
