@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.vocab import BANDS, DRAWN, STRENGTHS
-
-
-# Ranges of values that are ranked on their own.
-RANK_PARTS = 64
+from graphloom.plans.shared import materialise
 
 
 def loc(start: Column, end: Column) -> Column:
@@ -45,19 +42,19 @@ def co_change(commit_files: DataFrame, *, most_files: int = 20, least_shared: in
 def percent_rank(df: DataFrame, value: str, alias: str) -> DataFrame:
     """(rank - 1) / (n - 1) over all rows; null values rank first.
 
-    Distinct values are cut at quantiles into ``RANK_PARTS`` ranges; only the
-    ranges' totals meet in one task, and each range is summed on its own.
+    Distinct values are sorted into ranges, one for each shuffle partition; only
+    the ranges' totals meet in one task, and each range is summed on its own.
     """
-    counts = df.groupBy(F.col(value)).agg(F.count("*").alias("__n"))
-    cuts = sorted(set(counts.filter(F.col(value).isNotNull()).approxQuantile(value, [i / RANK_PARTS for i in range(1, RANK_PARTS)], 0.25 / RANK_PARTS)))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value))) if cuts else F.lit(0)
-    counts = counts.withColumn("__part", F.coalesce(part, F.lit(-1)))
+    df = materialise(df, "ranked")
+    counts = df.groupBy(F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    counts = materialise(counts.repartitionByRange("__value").withColumn("__part", F.spark_partition_id()), "ranks")
     ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = counts.groupBy("__part").agg(F.sum("__n").alias("__n"))
     totals = totals.select("__part", ahead(Window.orderBy("__part")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    ranked = counts.withColumn("__inside", ahead(Window.partitionBy("__part").orderBy(value))).join(F.broadcast(totals), "__part")
-    ranked = ranked.select(F.col(value).alias("__value"), (F.col("__before") + F.col("__inside")).alias("__below"), "__all")
-    return df.join(ranked, F.col(value).eqNullSafe(F.col("__value"))).drop("__value").withColumn(alias, F.when(F.col("__all") > 1, F.col("__below") / (F.col("__all") - 1)).otherwise(0.0)).drop("__below", "__all")
+    ranked = counts.withColumn("__inside", ahead(Window.partitionBy("__part").orderBy("__value"))).join(F.broadcast(totals), "__part")
+    ranked = ranked.select("__value", (F.col("__before") + F.col("__inside")).alias("__below"), "__all")
+    share = F.when(F.col("__all") > 1, F.col("__below") / (F.col("__all") - 1)).otherwise(0.0)
+    return df.join(ranked, F.col(value).eqNullSafe(F.col("__value"))).withColumn(alias, share).drop("__value", "__below", "__all")
 
 
 def hotspots(churn: DataFrame, complexity: DataFrame) -> DataFrame:
