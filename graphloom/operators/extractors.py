@@ -20,6 +20,8 @@ from pyspark.sql.types import _parse_datatype_string
 from graphloom.operators import yaml_values
 
 CHUNK, OVERLAP = 800, 200
+# Fixed value: the longest scope, header included, that stays one chunk.
+SCOPE_CHUNK = 3000
 
 
 def table_function(df: DataFrame, columns: list[str], emit: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
@@ -54,6 +56,41 @@ def chunk_spans(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) ->
     return out
 
 
+def scope_spans(text: str | None, scopes: list[tuple[int, int, str]], most: int = SCOPE_CHUNK) -> list[tuple[int, int, str]]:
+    """(start, end, header) of chunks that keep to scopes (first line, last line, name).
+
+    A scope is one chunk under its name, or several if it is longer than ``most``
+    with its header; what lies between scopes is cut like any text, blanks
+    between them not at all.  A scope within an earlier one gives its own chunk.
+    """
+    if text is None:
+        return []
+    known = sorted((a, b, name) for a, b, name in scopes if a is not None and b is not None and b > a >= 1)
+    if not known:
+        return [(a, b, "") for a, b in chunk_spans(text)]
+    begins = [0]
+    while (at := text.find("\n", begins[-1])) >= 0:
+        begins.append(at + 1)
+    place = lambda line: begins[line - 1] if line <= len(begins) else len(text)
+    out: list[tuple[int, int, str]] = []
+
+    def between(a: int, b: int) -> None:
+        if text[a:b].strip():
+            out.extend((a + x, a + y, "") for x, y in chunk_spans(text[a:b]))
+
+    done = 0
+    for first, last, name in known:
+        between(place(done + 1), place(first)) if first > done + 1 else None
+        start, end, header = place(first), place(last + 1), f"-- [{name}]\n"
+        if len(header) + end - start <= most:
+            out.append((start, end, header))
+        else:
+            out.extend((start + x, start + y, header if not i else f"-- [{name} cont.]\n") for i, (x, y) in enumerate(chunk_spans(text[start:end])))
+        done = max(done, last)
+    between(place(done + 1), len(text))
+    return out
+
+
 def chunks(df: DataFrame, key: str, text: str, *, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, chunk_index, start_char, end_char, start_line, end_line, chunk)."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import identity
 from graphloom.functions.vocab import is_drawn, path_role
 from graphloom.plans.shared import materialise
 
@@ -65,6 +66,26 @@ def materialised(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, resolved.filter(~drawn).select("site", "src", "band", F.when(F.col("band") == "candidate", "several candidates").when(F.col("band") == "blocked", "name too common").when(F.col("band") == "external", "outside the repository").otherwise("nothing found").alias("reason"))
 
 
+def routes(endpoints: DataFrame, handlers: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """(route nodes, edges): endpoints (path, framework, key) as nodes of kind Route, and DEFINES_ROUTE edges from handlers (path, key, node_id)."""
+    node = identity.node_id(F.lit(repo), F.lit("Route"), F.col("path"), F.col("key"))
+    nodes = endpoints.select("path", "framework", "key").distinct().withColumn("node_id", node)
+    edges = nodes.join(handlers.select("path", "key", F.col("node_id").alias("src")), ["path", "key"]).select("src", F.col("node_id").alias("dst"), F.lit("DEFINES_ROUTE").alias("kind")).distinct()
+    return nodes, edges
+
+
+def merged_candidates(candidates: DataFrame, merged: DataFrame) -> DataFrame:
+    """The candidates (site, ...) that stay after a precise merge: a site that came out with a target has none."""
+    settled = merged.filter(F.col("outcome").isin("insert", "upgrade", "contradict")).select("site")
+    return candidates.join(settled, "site", "left_anti")
+
+
+def mapped_documents(documents: DataFrame, files: DataFrame, least: float = 0.5) -> DataFrame:
+    """(documents, mapped, accepted): how many of a provider's documents are files; under half of them the merge is refused."""
+    d = documents.select("path").distinct().join(files.select("path").distinct().withColumn("there", F.lit(1)), "path", "left")
+    return d.agg(F.count("*").alias("documents"), F.count("there").alias("mapped")).withColumn("accepted", F.col("mapped") >= least * F.col("documents"))
+
+
 def test_edges(calls: DataFrame, tests: DataFrame) -> DataFrame:
     """A drawn call from a test also tests its target; the call itself stays."""
     return calls.filter(is_drawn(F.col("band"))).join(tests.select(F.col("node").alias("src")), "src", "left_semi").withColumn("kind", F.lit("TESTS"))

@@ -135,6 +135,21 @@ def src_more_definitions(spark: SparkSession, d: str) -> DataFrame:
     return code_facts.definitions(written(spark, d, _CODE).withColumnRenamed("path", "language"), "k").select("k", "line_no", "kind", "name")
 
 
+def _scopes(t: str) -> list[tuple[int, int, str]]:
+    """Procedures of a text that end as they begin."""
+    lines, out = t.split("\n"), []
+    for i, line in enumerate(lines, 1):
+        if line.startswith("procedure "):
+            name = line.split()[1]
+            out.append((i, next((k for k in range(i, len(lines) + 1) if lines[k - 1] == f"end {name};"), i), name))
+    return out
+
+
+extraction("txt_scope_chunks", "Chunks that keep to the scopes of a text, under their names.", [
+    ("", "with A;\n\nprocedure P§ is\nbegin\nend P§;\n\nX : Integer;\n", [("", "with A;\n\n"), ("-- [P§]\n", "procedure P§ is\nbegin\nend P§;\n"), ("", "\nX : Integer;\n")]), ("", "only text §", [("", "only text §")]),
+], "header string, body string", lambda path, t: ((h, t[a:b]) for a, b, h in X.scope_spans(t, _scopes(t))))
+
+
 # ---- files of the shared folder
 
 

@@ -140,3 +140,12 @@ def test_languages(spark):
     f = spark.createDataFrame([("r", "a/x.h", None), ("r", "a/x.cpp", None), ("r", "b/x.h", None), ("r", "run", "#!/usr/bin/env python3"), ("q", "BUILD.py", None), ("r", "odd", "")], "repo_id string, path string, first_line string")
     o = spark.createDataFrame([("q", r"^BUILD", "starlark")], "repo_id string, pattern string, language string")
     assert {r.path: r.language for r in text.languages(f, o).collect()} == {"a/x.h": "cpp", "a/x.cpp": "cpp", "b/x.h": "c", "run": "python", "BUILD.py": "starlark", "odd": None}
+
+
+def test_scope_chunks():
+    body = "procedure Q is\n" + "  a;\n" * 900 + "end Q;\n"
+    said = "with A;\n" + body + "\n\nx\n"
+    spans = extractors.scope_spans(said, [(2, 903, "Q"), (None, 4, "n"), (5, 5, "one line")])
+    assert spans[0] == (0, 8, "") and spans[1][2] == "-- [Q]\n" and all(h == "-- [Q cont.]\n" for _, _, h in spans[2:-1]) and said[spans[-1][0]:spans[-1][1]] == "\n\nx\n"
+    assert spans[1][0] == 8 and spans[-2][1] == 8 + len(body) and len(spans) > 5
+    assert extractors.scope_spans(None, []) == [] and extractors.scope_spans("", [(1, 2, "x")]) == [(0, 0, "-- [x]\n")]
