@@ -79,6 +79,23 @@ def open_segment(spark: SparkSession, path: str, schema: str, keys: Sequence[str
     return df
 
 
+def replace_document(spark: SparkSession, path: str, text: str) -> None:
+    """Put a text in a file's place as a whole: readers see the old one or the new one, never a part."""
+    jvm = spark._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, to, options)
+
+
 def export_range(df: DataFrame, day: str, first: Column, last: Column) -> DataFrame:
     """Rows of the days from first to last, written as JSON lines in the shared folder; the written table."""
     spark = df.sparkSession

@@ -179,6 +179,15 @@ def src_spans(spark: SparkSession, d: str) -> DataFrame:
     return readers.spans(table(spark, d, "part").select(doc.alias("value"))).select("service", "peer").distinct()
 
 
+@query("SELECT 'f' || p_partkey AS path, p_size + 1 AS start_line, 2 AS start_column, p_size + 1 AS end_line, 9 AS end_column, 's' || p_partkey AS symbol, 'definition' AS role FROM part UNION ALL SELECT 'f' || p_partkey, 1, 0, p_size + 2, 3, 't', 'reference' FROM part WHERE p_partkey % 2 = 0")
+def src_compiler_index(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of a compiler index; local symbols are none."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(', {"range": [0, 0, '), (F.col("p_size") + 1).cast("string"), F.lit(', 3], "symbol": "t"}'))).otherwise(', {"range": [1, 1, 2], "symbol": "local 1"}')
+    doc = F.concat(F.lit('{"relative_path": "f'), k, F.lit('", "occurrences": [{"range": ['), n, F.lit(', 2, 9], "symbol": "s'), k, F.lit('", "symbol_roles": 1}'), other, F.lit("]}"))
+    return readers.compiler_index(table(spark, d, "part").select(doc.alias("value")))
+
+
 @query("WITH f AS (SELECT path, blob_sha, ingested_at FROM files WHERE blob_sha IS NOT NULL) SELECT path, max(blob_sha) AS digest FROM f JOIN (SELECT path, max(ingested_at) AS newest FROM f GROUP BY 1) USING (path) WHERE ingested_at = newest GROUP BY 1")
 def str_change_feed(spark: SparkSession, d: str) -> DataFrame:
     """The newest digest of each path, fed by a stream of file rows in batches."""

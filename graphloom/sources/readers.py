@@ -92,6 +92,29 @@ def graph_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return nodes, edges, each.groupBy("node_id").agg(F.min_by("layer_id", "position").alias("layer_id"))
 
 
+def compiler_index(documents: DataFrame, column: str = "value") -> DataFrame:
+    """(path, start_line, start_column, end_line, end_column, symbol, role) of a compiler index's documents in JSON rows; lines count from 1.
+
+    A range of three numbers ends on its own line; the first bit of the roles marks a definition.  Local symbols are left out.
+    """
+    schema = "relative_path string, occurrences array<struct<range: array<int>, symbol: string, symbol_roles: int>>"
+    rows = documents.select(F.from_json(column, schema).alias("d")).select(F.col("d.relative_path").alias("path"), F.explode("d.occurrences").alias("o"))
+    at = lambda k: F.try_element_at("o.range", F.lit(k))
+    short = F.size("o.range") == 3
+    rows = rows.filter("path is not null and o.symbol is not null and size(o.range) in (3, 4)").filter(~F.col("o.symbol").startswith("local "))
+    role = F.when(F.coalesce("o.symbol_roles", F.lit(0)) % 2 == 1, "definition").otherwise("reference")
+    return rows.select("path", (at(1) + 1).alias("start_line"), at(2).alias("start_column"), (F.when(short, at(1)).otherwise(at(3)) + 1).alias("end_line"), F.when(short, at(3)).otherwise(at(4)).alias("end_column"), F.col("o.symbol").alias("symbol"), role.alias("role"))
+
+
+def warehouse(spark: SparkSession, url: str, table: str, columns: list[str], *, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
+    """Columns of a database table over JDBC; with a numeric ``key`` the ranges from low to high are read side by side."""
+    query = f"(SELECT {', '.join(columns)} FROM {table}) AS t"
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", query).option("fetchsize", 10_000)
+    if key is not None and parts > 1:
+        r = r.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return r.load()
+
+
 def spans(traces: DataFrame, column: str = "value") -> DataFrame:
     """(trace, service, peer, ts) of server-to-server spans in OTLP/JSON rows."""
     schema = "resourceSpans array<struct<resource: struct<attributes: array<struct<key: string, value: struct<stringValue: string>>>>, scopeSpans: array<struct<spans: array<struct<traceId: string, startTimeUnixNano: string, attributes: array<struct<key: string, value: struct<stringValue: string>>>>>>>>>"

@@ -149,3 +149,11 @@ def test_scope_chunks():
     assert spans[0] == (0, 8, "") and spans[1][2] == "-- [Q]\n" and all(h == "-- [Q cont.]\n" for _, _, h in spans[2:-1]) and said[spans[-1][0]:spans[-1][1]] == "\n\nx\n"
     assert spans[1][0] == 8 and spans[-2][1] == 8 + len(body) and len(spans) > 5
     assert extractors.scope_spans(None, []) == [] and extractors.scope_spans("", [(1, 2, "x")]) == [(0, 0, "-- [x]\n")]
+
+
+def test_documents_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/doc.json"
+    for said in ("one", "two é\n", ""):
+        segments.replace_document(spark, path, said)
+        assert (tmp_path / "doc.json").read_text(encoding="utf-8") == said
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["doc.json"]
