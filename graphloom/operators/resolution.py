@@ -164,11 +164,11 @@ def common_prefix(a: Column, b: Column, separator: str = r"\.") -> Column:
     return F.when(F.size(differ) > 0, F.array_min(differ) - 1).otherwise(n)
 
 
-def nearest_by_import(candidates: DataFrame, site: str, module: str, qualified: str) -> DataFrame:
-    """The candidate sharing most leading parts with the caller's module; tests rank last; ties go to the least nested, then the smallest name."""
+def nearest_by_import(candidates: DataFrame, site: Sequence[str], module: str, qualified: str, *tie: str) -> DataFrame:
+    """The candidate sharing most leading parts with the caller's module; tests rank last; ties go to the least nested, then the smallest name, then ``tie``."""
     test = F.col(qualified).rlike(r"(?i)(^|[._])tests?([._]|$)")
     score = common_prefix(F.col(module), F.col(qualified)) - F.when(test, 1000).otherwise(0)
-    w = Window.partitionBy(site).orderBy(score.desc(), F.size(F.split(qualified, r"\.")), qualified)
+    w = Window.partitionBy(*site).orderBy(score.desc(), F.size(F.split(qualified, r"\.")), qualified, *tie)
     return candidates.withColumn("score", score).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 

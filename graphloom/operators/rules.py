@@ -11,7 +11,6 @@ literals give no row, nor do null callees or arguments.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -171,14 +170,6 @@ def service_kind(spark: SparkSession, callees: DataFrame) -> DataFrame:
     return parts.join(rules, "library").withColumn("r", F.row_number().over(w)).filter("r = 1").select("callee", "service")
 
 
-def openapi_operations(text: str | None) -> Iterator[tuple[str | None, str, str]]:
-    """(server, METHOD, path) of an OpenAPI 3 or Swagger 2 document in JSON."""
-    try:
-        yield from document_operations(json.loads(text or ""))
-    except (ValueError, AttributeError, TypeError, KeyError):
-        return
-
-
 def document_operations(d: dict) -> Iterator[tuple[str | None, str, str]]:
     """(server, METHOD, path) of a document read from JSON or YAML."""
     if d.get("openapi") or d.get("swagger") or d.get("paths"):

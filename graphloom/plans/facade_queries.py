@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.api import Estate
-from graphloom.operators import segments, structure
+from graphloom.operators import graph, segments, structure
 from graphloom.plans import facts
 from graphloom.plans.facts import ctes, table
 from graphloom.plans.registry import query
-from graphloom.plans.shared import materialise
+from graphloom.plans.shared import materialise, shared_dir
 
 
 def estate(spark: SparkSession, d: str) -> Estate:
@@ -97,6 +97,28 @@ def snk_cache(spark: SparkSession, d: str) -> DataFrame:
     return n(hits, "hit").unionByName(n(misses, "miss"))
 
 
+@query("SELECT p_brand, count(*) AS parts, min(p_partkey) AS first FROM part GROUP BY 1")
+def snk_segment(spark: SparkSession, d: str) -> DataFrame:
+    """A segment written in identity order, opened again with its checks."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/segment-{uuid.uuid4().hex}"
+    p = table(spark, d, "part").select("p_partkey", "p_brand")
+    checksum = segments.write_segment(p, path, ["p_partkey"]).first()["checksum"]
+    meta = spark.createDataFrame([(k, "v") for k in segments.META_KEYS], "key string, value string")
+    again = segments.open_segment(spark, path, "p_partkey bigint, p_brand string", ["p_partkey"], checksum, meta)
+    return again.groupBy("p_brand").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first"))
+
+
+@query("WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey - 1 - s_suppkey % 7 AS parent FROM supplier WHERE s_suppkey > 8 UNION SELECT s_suppkey, s_suppkey // 2 FROM supplier WHERE s_suppkey > 8), r AS (SELECT s_suppkey AS node, s_suppkey AS ancestor, 0 AS level FROM supplier UNION SELECT r.node, e.parent, r.level + 1 FROM r JOIN e ON e.child = r.ancestor), v AS (SELECT s_suppkey AS ancestor FROM supplier WHERE s_suppkey % 6 = 0), m AS (SELECT node, ancestor, min(level) AS level FROM r SEMI JOIN v USING (ancestor) GROUP BY ALL) SELECT node, ancestor AS shown FROM m QUALIFY row_number() OVER (PARTITION BY node ORDER BY level, ancestor) = 1")
+def gr_nearest_visible(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's nearest visible ancestor, itself included, among several parents."""
+    from graphloom.plans.code_queries import gr_ancestors
+
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+    return graph.nearest_visible(gr_ancestors(spark, d), s.filter("node % 6 = 0"), s)
+
+
 @query("SELECT s_suppkey AS segment FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey % 90 FROM customer WHERE c_nationkey < 20)")
 def snk_unreferenced(spark: SparkSession, d: str) -> DataFrame:
     """Segments that no kept manifest names."""

@@ -66,10 +66,8 @@ def res_nearest(spark: SparkSession, d: str) -> DataFrame:
     pairs = join_by_name(spark, d)
     c = _callables(spark, d)
     pairs = pairs.join(c.select("repo_id", "node_id", "qualified_name"), ["repo_id", "node_id"]).join(c.select("repo_id", F.col("node_id").alias("candidate"), F.col("qualified_name").alias("q")), ["repo_id", "candidate"])
-    test = F.col("q").rlike(r"(?i)(^|[._])tests?([._]|$)")
-    score = resolution.common_prefix(F.col("qualified_name"), F.col("q")) - F.when(test, 1000).otherwise(0)
-    w = Window.partitionBy("repo_id", "node_id").orderBy(score.desc(), F.size(F.split("q", r"\.")), "q", "candidate")
-    return pairs.withColumn("score", score.cast("bigint")).withColumn("r", F.row_number().over(w)).filter("r = 1").select("repo_id", "node_id", "candidate", "score")
+    best = resolution.nearest_by_import(pairs, ["repo_id", "node_id"], "qualified_name", "q", "candidate")
+    return best.select("repo_id", "node_id", "candidate", F.col("score").cast("bigint").alias("score"))
 
 
 @query(ctes("latest", "g_nodes") + f", {_CALLABLE}, s AS (SELECT repo_id, node_id, array_to_string(string_split(qualified_name, '.')[-2:], '.') AS suffix FROM c), u AS (SELECT repo_id, suffix, min(node_id) AS target, count(*) AS n FROM s GROUP BY ALL HAVING count(*) = 1) SELECT repo_id, suffix, target FROM u")

@@ -166,9 +166,10 @@ def an_bus_factor(spark: SparkSession, d: str) -> DataFrame:
 @query(ctes("call_edges") + f" SELECT src, dst, band FROM call_edges JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst WHERE band IN {_DRAWN} AND s_nationkey % 4 = 1 AND p_size % 5 = 2")
 def an_rule_forbid(spark: SparkSession, d: str) -> DataFrame:
     """Calls from the api role into the storage role."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") % 4).alias("r"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("dst"), (F.col("p_size") % 5).alias("q"))
-    return facts.call_edges(spark, d).filter(V.is_drawn(F.col("band"))).join(s.filter("r = 1"), "src", "left_semi").join(p.filter("q = 2"), "dst", "left_semi").select("src", "dst", "band")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_nationkey") % 4 == 1, "api").otherwise("other").alias("role"))
+    p = table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node"), F.when(F.col("p_size") % 5 == 2, "storage").otherwise("other").alias("role"))
+    e = facts.call_edges(spark, d).withColumn("dst", -1 - F.col("dst"))
+    return A.forbidden(e, s.unionByName(p), "api", "storage").select("src", (-1 - F.col("dst")).alias("dst"), "band")
 
 
 @query(ctes("call_edges") + f" SELECT s_suppkey AS node FROM supplier WHERE s_nationkey % 4 = 1 AND s_suppkey NOT IN (SELECT src FROM call_edges JOIN part ON p_partkey = dst WHERE band IN {_DRAWN} AND p_brand = 'Brand#11' AND p_size < 5)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import imports as I
 from graphloom.operators import layout as L
+from graphloom.operators import extractors as X
 from graphloom.operators import rules as R
 
 
@@ -65,8 +66,8 @@ def test_rules(spark):
     s = R.service_kind(spark, spark.createDataFrame([("requests.get",), ("a.b",), ("axum::Router",)], "callee string"))
     assert {tuple(r) for r in s.collect()} == {("requests.get", "http"), ("axum::Router", "route_reg")}
     doc = {"servers": [{"url": "https://h"}], "paths": {"/a/{id}": {"get": {}, "parameters": [], "post": {}}}}
-    assert list(R.openapi_operations(json.dumps(doc))) == [("https://h", "GET", "/a/{id}"), ("https://h", "POST", "/a/{id}")]
-    assert list(R.openapi_operations("{")) == [] and list(R.openapi_operations(None)) == []
+    assert list(X.api_operations(json.dumps(doc))) == [("https://h", "GET", "/a/{id}"), ("https://h", "POST", "/a/{id}")]
+    assert list(X.api_operations("{")) == [] and list(X.api_operations(None)) == []
 
 
 def test_squarified():
