@@ -7,7 +7,7 @@ lost.  A stretch begins ``l`` characters before its anchor, 0 <= l <= length -
 gram.  Suffixes are partitioned by their first gram, which lies in the
 stretches of all ``l``; a partition beyond ``group_rows`` is halved by ``l``,
 each half keyed by the longer prefix that its stretches have in common, until
-it fits or the prefix is the whole stretch, where the partition is one node.
+it fits or is one node for all stretches of its half.
 
 Inside a partition the suffixes are sorted, forwards from the anchor and
 backwards before it, with the longest common prefixes of neighbours: runs of
@@ -243,7 +243,7 @@ def _in_partitions(rows: DataFrame, found: Callable[[pa.Table, int, int], Iterat
 
 
 def partitions(rows: DataFrame, *, length: int, gram: int, group_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """The suffixes in partitions of at most ``group_rows``, and those of larger nodes, whose prefix is the whole stretch."""
+    """The suffixes in partitions of at most ``group_rows``, and those of larger partitions that are one node for every stretch of their band."""
     back = length - gram
     small, large = [rows.filter(F.col("n") <= group_rows)], rows.filter(F.col("n") > group_rows)
     whole = []
@@ -254,12 +254,17 @@ def partitions(rows: DataFrame, *, length: int, gram: int, group_rows: int) -> t
         # Of the stretches that begin lo to hi before the anchor all hold what lies between the last's begin and the first's end.
         cut = cut.filter((F.col("left") >= F.col("lo")) & (F.length("around") - F.col("left") >= length - F.col("hi")))
         prefix = F.expr(f"substring(around, left - lo + 1, lo + {length} - hi)")
-        cut = materialise(cut.withColumn("prefix", prefix).withColumn("k0", F.xxhash64("prefix")).withColumn("k1", F.xxhash64(F.lit(1), "prefix")).drop("prefix"), "halves")
-        sizes = cut.groupBy("k0", "k1", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("k0", "k1", "lo", "n")
-        cut = materialise(cut.join(sizes, ["k0", "k1", "lo"]), "halved")
-        small.append(cut.filter(F.col("n") <= group_rows))
-        whole.append(cut.filter((F.col("n") > group_rows) & (F.col("lo") == F.col("hi"))))
-        large = cut.filter((F.col("n") > group_rows) & (F.col("lo") < F.col("hi")))
+        # All that any of them holds: where it is the same in a whole partition, the partition is one node for each of the band's stretches.
+        wide = F.when((F.col("left") >= F.col("hi")) & (F.length("around") - F.col("left") >= length - F.col("lo")), F.md5(F.expr(f"substring(around, left - hi + 1, hi + {length} - lo)")))
+        cut = materialise(cut.withColumn("wide", wide).withColumn("prefix", prefix).withColumn("k0", F.xxhash64("prefix")).withColumn("k1", F.xxhash64(F.lit(1), "prefix")).drop("prefix"), "halves")
+        sizes = cut.groupBy("k0", "k1", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("wide").alias("c"), F.min("wide").alias("w0"), F.max("wide").alias("w1"))
+        sizes = sizes.filter("d0 < d1").select("k0", "k1", "lo", "n", F.expr("n = c and w0 = w1").alias("one"))
+        cut = materialise(cut.drop("wide").join(sizes, ["k0", "k1", "lo"]), "halved")
+        done = F.col("one") | (F.col("lo") == F.col("hi"))
+        small.append(cut.filter(F.col("n") <= group_rows).drop("one"))
+        before = F.when(F.col("left") > F.col("hi"), F.expr("substring(around, left - hi, 1)"))
+        whole.append(cut.filter((F.col("n") > group_rows) & done).select("k0", "k1", "lo", "hi", "n", "doc_id", "at", before.alias("before")))
+        large = cut.filter((F.col("n") > group_rows) & ~done).drop("one")
     return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, whole) if whole else None
 
 
@@ -268,13 +273,12 @@ BLOCK_ROWS = 2_000
 
 def _whole_pairs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """All pairs of each large node, which are its result, block by block of its members, so that no task meets a node."""
-    before = F.when(F.col("left") > F.col("lo"), F.expr("substring(around, left - lo, 1)"))
-    side = rows.select("k0", "k1", "lo", "n", "doc_id", before.alias("before")).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    side = rows.select("k0", "k1", "lo", "hi", "n", "doc_id", "before").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     side = side.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     a = side.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
     b = side.withColumn("other", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part"))))
     met = a.alias("a").join(b.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k0", "k1", "lo", "part", "other")])
-    further = F.col("a.before").eqNullSafe(F.col("b.before")) & F.col("a.before").isNotNull() & (F.col("a.lo") < length - gram)
+    further = F.col("a.before").eqNullSafe(F.col("b.before")) & F.col("a.before").isNotNull() & (F.col("a.hi") < length - gram)
     met = met.filter((F.col("a.doc_id") != F.col("b.doc_id")) & ~further)
     return met.select(F.least("a.doc_id", "b.doc_id").alias("doc_id_a"), F.greatest("a.doc_id", "b.doc_id").alias("doc_id_b"))
 
@@ -322,7 +326,7 @@ def shared_stretches(documents: DataFrame, *, length: int = LENGTH, gram: int =
     small, whole = partitions(_suffixes(documents, members, length=length, gram=gram), length=length, gram=gram, group_rows=group_rows)
     covers = _in_partitions(small, _covers_of, "doc_id bigint, lo int, hi int", length, gram)
     if whole is not None:
-        covers = covers.unionByName(whole.select("doc_id", (F.col("at") - F.col("lo")).alias("lo"), (F.col("at") - F.col("lo") + length).alias("hi")))
+        covers = covers.unionByName(whole.select("doc_id", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") + length - F.col("lo")).alias("hi")))
     # What a representative shares, its copies share at the same places; copies share all.
     covers = covers.join(members.select("doc_id"), "doc_id", "left_anti").unionByName(members.select("doc_id", F.lit(0).alias("lo"), F.col("chars").alias("hi"))).distinct()
     before = Window.partitionBy("doc_id").orderBy("lo", "hi")
