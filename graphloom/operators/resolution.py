@@ -89,23 +89,26 @@ def reachable(candidates: DataFrame, imports: DataFrame) -> DataFrame:
 def fuzzy_fallback(sites: DataFrame, definitions: DataFrame, site: str, name: str, *, most: int = 2) -> DataFrame:
     """(site, target, distance): the one definition nearest in spelling to a name nothing else resolved, at most ``most`` edits away; ties resolve nothing.
 
-    Two names at most k edits apart share one of k + 1 equal pieces in nearly
-    the same place, so only names of one piece and close lengths are compared.
+    Two names at most k edits apart become equal when at most k characters are
+    left out of each, so names meet by equality of what is left; common
+    beginnings bring no names together.
     """
-    pieces = most + 1
 
-    def cut(n: Column) -> Column:
-        width = F.floor(F.length(n) / pieces).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct((i * width).cast("int").alias("at"), F.when(i == most, n.substr(i * width + 1, F.length(n))).otherwise(n.substr(i * width + 1, width)).alias("piece"), F.length(n).alias("length")))
+    def less(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.substring(n, F.lit(1), i - 1), F.substring(n, i + 1, F.length(n))))
+
+    def left(n: Column) -> Column:
+        every = level = F.array(n)
+        for _ in range(most):
+            level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda x: x != ""), less)))
+            every = F.concat(every, level)
+        return F.transform(F.array_distinct(every), lambda x: F.xxhash64(x))
 
     known = definitions.select(F.col(name).alias("target")).filter(F.length("target") > most).distinct()
-    indexed = known.select("target", F.explode(cut(F.col("target"))).alias("p")).select("target", "p.*")
     asked = sites.select(site, F.col(name).alias("asked")).filter(F.length("asked") > most).distinct()
-    shapes = indexed.select("length", "at", F.length("piece").alias("width")).distinct()
-    names = asked.select("asked").distinct().withColumn("length", F.explode(F.sequence(F.length("asked") - most, F.length("asked") + most)))
-    tried = names.join(F.broadcast(shapes), "length").withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - most), F.col("at") + most)))
-    tried = tried.withColumn("piece", F.expr("substring(asked, start + 1, width)"))
-    met = tried.join(indexed, ["length", "at", "piece"]).select("asked", "target").distinct().withColumn("distance", F.levenshtein("asked", "target")).filter(F.col("distance").between(1, most))
+    indexed = known.select("target", F.explode(left(F.col("target"))).alias("rest"))
+    met = asked.select("asked").distinct().select("asked", F.explode(left(F.col("asked"))).alias("rest")).join(indexed, "rest").select("asked", "target").distinct()
+    met = met.withColumn("distance", F.levenshtein("asked", "target")).filter(F.col("distance").between(1, most))
     best = met.groupBy("asked").agg(F.min("distance").alias("distance")).join(met, ["asked", "distance"]).groupBy("asked", "distance").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
     return asked.join(best, "asked").select(site, "target", "distance")
 
