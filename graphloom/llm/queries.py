@@ -45,7 +45,7 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.judged(table(spark, sf_dir, "sources"), table(spark, sf_dir, "upstream")).select("repo_id", "file_id").distinct()
+    return provenance.judged(table(spark, sf_dir, "sources"), table(spark, sf_dir, "upstream"), only_verdicts=True).select("repo_id", "file_id").distinct()
 
 
 def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,6 +308,65 @@ def test_copies_held_by_many_repositories(spark):
     assert {r.file_id for r in got} == {f"{name}{i}" for name in ("lib", "loose", "tiny") for i in range(12)} and all(r.containment == 1 for r in got)
 
 
+def test_partners_that_no_line_names_first(spark):
+    own = lambda f: [f"const own_{f}_{i} = made(config, {i * 3});" for i in range(30)]
+    rare = [f"export function thing{i}(a) {{ return wrap{i * 7}(a, {i}); }}" for i in range(20)]
+    common = [f"const both{i} = create{i}(options, {i * 5});" for i in range(20)]
+    files = {("a", "q"): rare, ("b", "copy"): [*rare, "let changed = here(1, 2);"]}
+    files |= {("a", f"p{k}{j}"): rare[k::7] + own(f"p{k}{j}") for k in range(7) for j in range(5)}
+    for i in range(8):
+        files |= {(f"r{i}", f"c{i}"): [*common, f"let changed{i} = here(1, 2);"]}
+        files |= {(f"r{i}", f"p{i}{k}{j}"): common[k::7] + own(f"p{i}{k}{j}") for k in range(7) for j in range(5)}
+    s = spark.createDataFrame([(r, f, "1", "src/x.js", "javascript", "\n".join(t)) for (r, f), t in files.items()], "repo_id string, file_id string, blob_sha string, path string, language string, text string")
+    u = spark.createDataFrame([], "pkg_name string, file_name string, text string")
+    want = {"q": 1.0, "copy": round(20 / 21, 3)} | {f"c{i}": round(20 / 21, 3) for i in range(8)}
+    assert {r.file_id: round(r.containment, 3) for r in V.judged(s, u).collect()} == want
+    assert {r.file_id for r in V.judged(s, u, only_verdicts=True).collect()} == set(want)
+
+
+def _judged_by_all_pairs(sources, upstream):
+    """{file_id: (reason, containment, origin)}, every file beside every other."""
+    sets = {f: (r, *V.headed_lines(text), V.own_reason(path, language, text), V.text_hash(text)) for r, f, _, path, language, text in sources}
+    catalogue = [(set(V.line_hashes(text)), V.text_hash(text)) for *_, text in upstream]
+    repositories = defaultdict(set)
+    for r, lines, *_ in sets.values():
+        for h in lines:
+            repositories[h].add(r)
+    out = {}
+    for f, (r, lines, head, reason, whole) in sets.items():
+        rare, body = {h for h in lines if len(repositories[h]) <= V.RARE_REPOSITORIES}, set(lines[head:])
+        share = lambda n: n / len(rare) if len(rare) >= V.MIN_RARE_LINES else 0.0
+        own = lambda n: n / len(body) if n >= V.MIN_RARE_LINES and n > V.CONTAINED * len(body) else 0.0
+        others = [set(x[1]) for x in sets.values() if x[0] != r]
+        a = max(share(sum(any(h in c for c, _ in catalogue) for h in rare)), own(max(len(body & c) for c, _ in catalogue)), float(whole in [w for _, w in catalogue if w is not None]))
+        b = max(share(max(len(rare & x) for x in others)), own(max(len(body & x) for x in others)))
+        reason = "vendored" if max(a, b) >= V.CONTAINED else reason
+        if reason:
+            out[f] = reason, round(max(a, b), 9), "catalogue" if a >= b else "repository"
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    heads, texts = [f"# leading comment number {i}" for i in range(6)], [[f"value_{k}_{i} = compute_{k}({i})" for i in range(14)] for k in range(12)]
+    pool = [x for t in texts for x in t]
+    sources = [("r0", "none", "1", None, None, None)]
+    for i in range(240):
+        t = rng.choice(texts)
+        lines = rng.sample(t, rng.randrange(3, 15)) + rng.sample(pool, rng.randrange(6)) + [f"only_{i}_{k} = here({k})" for k in range(rng.choice((0, 0, 2, 9)))]
+        text = "\n".join(rng.sample(heads, rng.randrange(3)) + lines)
+        for j in range(rng.choice((1, 1, 1, 2, 3))):
+            repo = rng.randrange(9) if t not in texts[:7] else rng.randrange(3)
+            sources.append((f"r{repo}", f"f{i}_{j}", "1", rng.choice(("a.py", "a.py", "a_pb2.py", "vendor/a.py")), "python", rng.choice(("", "", "\x0c")) + text))
+    upstream = [("p", f"n{k}", "\n".join(rng.sample(texts[k], 9))) for k in (0, 5, 11)] + [("p", "whole", sources[9][-1])]
+    s = spark.createDataFrame(sources, "repo_id string, file_id string, blob_sha string, path string, language string, text string")
+    u = spark.createDataFrame(upstream, "pkg_name string, file_name string, text string")
+    want = _judged_by_all_pairs(sources, upstream)
+    assert {r.file_id: (r.reason, round(r.containment, 9), r.origin) for r in V.judged(s, u).collect()} == want
+    assert {r.file_id for r in V.judged(s, u, only_verdicts=True).collect()} == set(want)
+
+
 # ---- pairs
 
 
