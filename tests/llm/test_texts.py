@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -363,10 +364,30 @@ def test_copies_against_all_pairs(spark, seed):
     s = spark.createDataFrame(sources, "repo_id string, file_id string, blob_sha string, path string, language string, text string")
     u = spark.createDataFrame(upstream, "pkg_name string, file_name string, text string")
     want = _judged_by_all_pairs(sources, upstream)
-    assert {r.file_id: (r.reason, round(r.containment, 9), r.origin) for r in V.judged(s, u).collect()} == want
+    assert {r.file_id: (r.reason, round(r.containment, 9), r.origin) for r in V.judged(s, u, block_lines=200 * seed**9).collect()} == want
     assert {r.file_id for r in V.judged(s, u, only_verdicts=True).collect()} == set(want)
 
 
+@pytest.mark.parametrize("work", [1, 50, 2_000_000])
+@pytest.mark.parametrize("common", [6, 60])
+def test_questions_against_brute_force(monkeypatch, work, common):
+    monkeypatch.setattr(V, "PART_WORK", work)
+    rng = random.Random(common)
+    lines = lambda: rng.sample(range(common), rng.randrange(1, 6)) + rng.sample(range(100, 160), rng.randrange(8))
+    asked = {i: (rng.randrange(3), lines()) for i in range(40)}
+    least = {i: rng.randrange(1, len(x) + 1) for i, (_, x) in asked.items()}
+    rows = [(i, True, r, len(x), least[i], h, h) for i, (r, x) in asked.items() for h in x]
+    table = pa.table({c: [row[k] for row in rows] for k, c in enumerate(("text", "by_rare", "r", "most", "least", "n", "h"))})
+    files = [(rng.randrange(3), lines() if i % 9 else []) for i in range(90)]
+    questions = V.Questions(table)
+    best = np.zeros(len(questions.start), np.int64)
+    for part in (files[:50], files[50:], []):
+        questions.count(best, np.array([r for r, _ in part], np.int64), np.array([len(x) for _, x in part], np.int64), np.array([h for _, x in part for h in x], np.int64))
+    most = {i: max((len({*x} & {*y}) for q, y in files if q != r), default=0) for i, (r, x) in asked.items()}
+    got = dict(zip(questions.text.tolist(), best.tolist()))
+    assert all(got[i] == most[i] if most[i] >= least[i] else got[i] < least[i] for i in asked)
+
+
 # ---- pairs
 
 
