@@ -89,28 +89,37 @@ def reachable(candidates: DataFrame, imports: DataFrame) -> DataFrame:
 def fuzzy_fallback(sites: DataFrame, definitions: DataFrame, site: str, name: str, *, most: int = 2) -> DataFrame:
     """(site, target, distance): the one definition nearest in spelling to a name nothing else resolved, at most ``most`` edits away; ties resolve nothing.
 
-    Two names at most k edits apart become equal when at most k characters are
-    left out of each, so names meet by equality of what is left; common
-    beginnings bring no names together.
+    Of two names at most k edits apart, k characters can be left out of the
+    longer, and of the shorter so many fewer as it is shorter, that the same is
+    left; so names meet by equality of what is left, and common beginnings bring
+    no names together.  A name is cut only for the lengths there are on the
+    other side.  What is left is many times the tables read, which Spark's size
+    estimates don't show, so no join of it is a broadcast.
     """
 
     def less(n: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.substring(n, F.lit(1), i - 1), F.substring(n, i + 1, F.length(n))))
 
-    def left(n: Column) -> Column:
-        every = level = F.array(n)
-        for _ in range(most):
-            level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda x: x != ""), less)))
-            every = F.concat(every, level)
-        return F.transform(F.array_distinct(every), lambda x: F.xxhash64(x))
+    def left(names: DataFrame, others: DataFrame) -> DataFrame:
+        lengths = others.agg(F.collect_set(F.length(others.columns[0])).alias("lengths"))  # no more than the longest name has characters
+        n, level = names.columns[0], F.array(names[names.columns[0]])
+        rests = []
+        for k in range(most + 1):
+            longer = F.length(n) + (most - k)
+            needed = F.exists("lengths", lambda m: m.between(longer - most, longer)) if k == most else F.array_contains("lengths", longer)
+            rests.append(F.when(needed, level).otherwise(F.array().cast("array<string>")))
+            level = F.array_distinct(F.flatten(F.transform(level, less)))
+        return names.crossJoin(F.broadcast(lengths)).select(n, F.explode(F.transform(F.concat(*rests), lambda x: F.xxhash64(x))).alias("rest"))
 
     known = definitions.select(F.col(name).alias("target")).filter(F.length("target") > most).distinct()
     asked = sites.select(site, F.col(name).alias("asked")).filter(F.length("asked") > most).distinct()
-    indexed = known.select("target", F.explode(left(F.col("target"))).alias("rest"))
-    met = asked.select("asked").distinct().select("asked", F.explode(left(F.col("asked"))).alias("rest")).join(indexed, "rest").select("asked", "target").distinct()
+    names = asked.select("asked").distinct()
+    met = left(names, known).join(left(known, names).hint("merge"), "rest").select("asked", "target").distinct()
     met = met.withColumn("distance", F.levenshtein("asked", "target")).filter(F.col("distance").between(1, most))
-    best = met.groupBy("asked").agg(F.min("distance").alias("distance")).join(met, ["asked", "distance"]).groupBy("asked", "distance").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
-    return asked.join(best, "asked").select(site, "target", "distance")
+    at = lambda c, d: F.when(F.col("distance") == d, F.col(c))
+    ns, targets = (F.array(*(f(at("target", d)) for d in range(1, most + 1))) for f in (F.count, F.min))
+    best = met.groupBy("asked").agg(F.min("distance").alias("distance"), ns.alias("ns"), targets.alias("targets")).filter("element_at(ns, distance) = 1")
+    return asked.join(best.hint("merge"), "asked").select(site, F.element_at("targets", F.col("distance")).alias("target"), "distance")
 
 
 def provenance(own: Column, internal_import: Column, bindings: Column, external_bindings: Column) -> Column:

@@ -110,6 +110,17 @@ def test_fuzzy_names_against_all(spark):
     assert got == want and want
 
 
+def test_fuzzy_fallback_broadcasts_no_names(spark):
+    names = lambda n: spark.range(n).select(F.col("id").alias("site"), F.format_string("Name#%012d", "id").alias("name"))
+    found = resolution.fuzzy_fallback(names(2000), names(50), "site", "name")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and not sent, sent
+    near = resolution.fuzzy_fallback(spark.createDataFrame([(1, "abcdefgh"), (2, "abcd"), (3, "abcdef"), (4, "xbcdey"), (5, "")], "site int, name string"), spark.createDataFrame([("abcdef",), ("",)], "name string"), "site", "name")
+    assert {tuple(r) for r in near.collect()} == {(1, "abcdef", 2), (2, "abcdef", 2), (4, "abcdef", 2)}
+
+
 def test_reachable_modules(spark):
     c = spark.createDataFrame([(1, "f", "a.b"), (2, "f", "a.bc"), (3, "f", "a"), (4, "g", "a.b"), (5, "f", None)], "site int, file string, module string")
     i = spark.createDataFrame([("f", "a.b.c"), ("f", "x")], "file string, module string")
