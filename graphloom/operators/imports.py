@@ -168,10 +168,14 @@ def inherited_members(sites: DataFrame, bases: DataFrame, members: DataFrame) ->
 
 
 def longest_alias(imports: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(module, target): the most specific alias prefix of each module replaced by its target. Aliases are a config file's few rows."""
-    cuts = F.sequence(F.lit(1), F.length("module"))
-    tried = imports.select("module").distinct().withColumn("prefix", F.explode(F.transform(cuts, lambda n: F.substring(F.col("module"), F.lit(1), n))))
-    hit = tried.join(aliases, "prefix")
+    """(module, target): the most specific alias prefix of each module replaced by its target. Aliases are a config file's few rows.
+
+    They are what is broadcast: a module is cut at each length of an alias, so
+    modules are many rows more than Spark's size estimates show.
+    """
+    lengths = aliases.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    tried = imports.select("module").distinct().crossJoin(F.broadcast(lengths)).select("module", F.explode(F.filter("lengths", lambda n: n <= F.length("module"))).alias("n"))
+    hit = tried.withColumn("prefix", F.substring("module", F.lit(1), F.col("n"))).join(F.broadcast(aliases), "prefix")
     best = hit.groupBy("module").agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("b"))
     return best.select("module", F.concat(F.col("b.target"), F.substring(F.col("module"), F.length("b.prefix") + 1, F.length("module"))).alias("target"))
 

@@ -50,6 +50,19 @@ def test_members_and_visibility(spark):
     assert [tuple(r) for r in al.collect()] == [("@app/x/y", "lib/y")]
 
 
+def test_aliases_are_broadcast_and_modules_are_not(spark):
+    modules = spark.range(2000).select(F.format_string("@app/x/%06d", "id").alias("module"))
+    al = I.longest_alias(modules, spark.createDataFrame([("@app/", "src/"), ("@app/x/", "lib/")], "prefix string, target string"))
+    assert {tuple(r) for r in al.collect()} == {(f"@app/x/{i:06d}", f"lib/{i:06d}") for i in range(2000)}
+    plan = al._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString().splitlines()
+    for at in (i for i, line in enumerate(plan) if "BroadcastExchange" in line):
+        depth = plan[at].index("BroadcastExchange")
+        below = plan[at + 1 : next((j for j in range(at + 1, len(plan)) if len(plan[j]) - len(plan[j].lstrip(" :+-")) <= depth - 3), len(plan))]
+        assert not any("Generate" in line or "Range" in line for line in below), below
+    every = I.longest_alias(spark.createDataFrame([("@app/x",), ("z",), ("",), (None,)], "module string"), spark.createDataFrame([("@app/", "src/"), ("", "base/")], "prefix string, target string"))
+    assert {tuple(r) for r in every.collect()} == {("@app/x", "src/x"), ("z", "base/z"), ("", "base/")}
+
+
 def test_rules(spark):
     arg = lambda *texts: [(None, t) for t in texts]
     rows = [("a.py", "python", "requests.get", arg("'https://h/users/{id}'")), ("b.py", "python", "requests.get", arg("'https://h/x'")), ("a.py", "python", "p.send", arg("'orders'")), ("a.py", "python", "p.send", arg("'${T}'")), ("a.py", "python", "requests.post", []), (None, None, None, None), ("a.py", "python", "get", arg("'/x'"))]
