@@ -33,9 +33,86 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, *, reverse: boo
     return seen
 
 
-def hierarchy_levels(parents: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, ancestor, level) over (child, parent) rows with any number of parents, nearest level first, cycle-safe."""
-    return reach(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), parents.select("child"), depth).filter("distance > 0").select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("distance").alias("level"))
+LOCAL_EDGES = 500_000
+
+
+def _walked(steps: DataFrame) -> DataFrame:
+    """(seed, node, distance) of all pairs of a graph known to be small: each task holds its edges and walks from some of its nodes.
+
+    Walks from a block of nodes go on together, one step at a time.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark, kind = steps.sparkSession, steps.schema["src"].dataType.simpleString()
+    held = steps.toArrow()
+    coded = pa.concat_arrays([*held["src"].chunks, *held["dst"].chunks] or [pa.array([], held.schema.types[0])]).dictionary_encode(null_encoding="encode")
+    names, codes = coded.dictionary, coded.indices.to_numpy().astype("int64")
+    src, dst, n = codes[: len(held)], codes[len(held) :], len(names)
+    ends, start = dst[np.argsort(src, kind="stable")], np.append(0, np.cumsum(np.bincount(src, minlength=n)))
+    seeds = np.unique(src)
+    block = max(1, min(1024, 16_000_000 // max(1, n)))
+
+    def walk(row_seed):
+        def said():
+            row, node, distance = (np.concatenate(c) for c in zip(*pile))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(row_seed[row])), names.take(pa.array(node)), pa.array(distance)], ["seed", "node", "distance"])
+
+        seen = np.zeros(len(row_seed) * n, bool)
+        row, node, pile, held_rows, d = np.arange(len(row_seed)), row_seed, [], 0, 0
+        seen[row * n + node] = True
+        while len(node):
+            d += 1
+            many = start[node + 1] - start[node]
+            at = np.repeat(start[node] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            met = np.repeat(row * n, many) + ends[at]
+            met = np.unique(met[~seen[met]])
+            seen[met] = True
+            row, node = np.divmod(met, n)
+            pile.append((row, node, np.full(len(met), d, "int32")))
+            held_rows += len(met)
+            if held_rows > 500_000:
+                yield said()
+                pile, held_rows = [], 0
+        if held_rows:
+            yield said()
+
+    def run(batches):
+        for batch in batches:
+            mine = seeds[batch.column(0).to_numpy()]
+            for i in range(0, len(mine), block):
+                yield from walk(mine[i : i + block])
+
+    parts = max(1, min(len(seeds), max(2 * spark.sparkContext.defaultParallelism, len(seeds) // 500)))
+    return spark.range(0, len(seeds), 1, parts).mapInArrow(run, f"seed {kind}, node {kind}, distance int")
+
+
+def _doubled(steps: DataFrame) -> DataFrame:
+    """(seed, node, distance) of all pairs, in log2 of the greatest distance rounds: who is 2^k away is joined with all that is up to 2^k further."""
+    pairs = materialise(steps.filter("not src <=> dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).alias("distance")), "pairs")
+    far = 1
+    while not (edge := pairs.filter(F.col("distance") == far).select("seed", F.col("node").alias("via"))).isEmpty():
+        ahead = pairs.select(F.col("seed").alias("via"), "node", (F.col("distance") + far).alias("distance"))
+        more = edge.join(ahead, "via").filter("not seed <=> node").select("seed", "node", "distance")
+        longer = materialise(pairs.unionByName(more).groupBy("seed", "node").agg(F.min("distance").alias("distance")), "pairs")
+        release(pairs)
+        pairs, far = longer, 2 * far
+    return pairs
+
+
+def hierarchy_levels(parents: DataFrame, depth: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, ancestor, level) over (child, parent) rows with any number of parents, nearest level first, cycle-safe.
+
+    Without a depth, the rows go to every task if they are *counted* to be at
+    most ``local_edges``; beyond that distances are doubled.
+    """
+    level = lambda df: df.select(F.col("seed").cast(parents.schema["child"].dataType).alias("node"), F.col("node").alias("ancestor"), F.col("distance").alias("level"))
+    e = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    if depth is not None:
+        return level(reach(e, parents.select("child"), depth).filter("distance > 0"))
+    kind = e.select("src").union(e.select("dst")).schema["src"].dataType
+    steps = materialise(e.filter("src is not null").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).distinct(), "steps")
+    return level(_walked(steps) if steps.count() <= local_edges else _doubled(steps))
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -104,9 +181,6 @@ def nearest_visible(levels: DataFrame, shown: DataFrame, nodes: DataFrame) -> Da
     return there.groupBy("node").agg(F.min_by("ancestor", F.struct("level", "ancestor")).alias("shown"))
 
 
-LOCAL_EDGES = 500_000
-
-
 def _local_components(live: DataFrame) -> DataFrame:
     """Components of a graph known to be small, by one depth-first pass in one task."""
     kind = live.schema["src"].dataType.simpleString()

@@ -160,3 +160,38 @@ def test_precise_merge(spark):
     sites = spark.createDataFrame([("s1", "f", 0, 10, "typed", "x"), ("s2", "f", 20, 30, "typed", "x"), ("s3", "f", 40, 50, None, None), ("s4", "f", 60, 70, "typed", "x"), ("s5", "f", 80, 90, "typed", "x")], "site string, file string, start int, end int, band string, target string")
     occ = spark.createDataFrame([("f", 5, 8, "x"), ("f", 22, 23, "y"), ("f", 41, 42, "z"), ("f", 61, 62, "x"), ("f", 63, 64, "y"), ("f", 90, 95, "x")], "file string, start int, end int, target string")
     assert {(r.site, r.outcome, r.target) for r in S.precise_merge(sites, occ).collect()} == {("s1", "upgrade", "x"), ("s2", "contradict", "y"), ("s3", "insert", "z"), ("s4", "conflict", "x"), ("s5", "kept", "x")}
+
+
+@pytest.mark.parametrize("local_edges", [G.LOCAL_EDGES, 0])
+def test_levels_of_deep_and_tangled_hierarchies(spark, local_edges):
+    def want(rows):
+        up, out = {}, set()
+        for c, p in rows:
+            up.setdefault(c, set()).add(p)
+        for c in up:
+            at, seen, level = {c}, {c}, 0
+            while at:
+                level += 1
+                at = {p for x in at for p in up.get(x, ()) if x is not None} - seen
+                seen |= at
+                out |= {(c, p, level) for p in at}
+        return out
+
+    rng = random.Random(5)
+    for rows in ([(i, i - 1) for i in range(1, 90)] + [(i, i // 2) for i in range(2, 90)], [(rng.randrange(40), rng.randrange(40)) for _ in range(70)], [(1, 1), (1, 2), (2, 1), (3, None)], []):
+        df = spark.createDataFrame(rows, "child int, parent bigint")
+        got = G.hierarchy_levels(df, local_edges=local_edges)
+        assert got.dtypes == [("node", "int"), ("ancestor", "bigint"), ("level", "int")]
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want(rows)
+    text = G.hierarchy_levels(spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "a")], "child string, parent string"), local_edges=local_edges)
+    assert {tuple(r) for r in text.collect()} == {("c", "b", 1), ("c", "a", 1), ("b", "a", 1)}
+
+
+def test_levels_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(G, "materialise", lambda df, tag, real=G.materialise: written.append(tag) or real(df, tag))
+    chain = spark.range(1, 120).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    for local_edges in (G.LOCAL_EDGES, 0):
+        written.clear()
+        assert G.hierarchy_levels(chain, local_edges=local_edges).agg(F.count("*"), F.max("level")).first() == (119 * 120 // 2, 119) and len(written) < 12
