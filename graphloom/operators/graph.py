@@ -174,11 +174,59 @@ def lift_edges(edges: DataFrame, visible: DataFrame, *, kind: str | None = None)
     return lifted.groupBy(*keys).agg(*aggs).withColumn("weight", F.least(F.lit(1.0), F.col("n") / 10))
 
 
-def nearest_visible(levels: DataFrame, shown: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shown): each node's nearest ancestor, itself included, among ``shown``."""
-    up = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level")).unionByName(levels.select("node", "ancestor", "level"))
-    there = up.join(shown.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
-    return there.groupBy("node").agg(F.min_by("ancestor", F.struct("level", "ancestor")).alias("shown"))
+def nearest_visible(parents: DataFrame, shown: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, shown): each node's nearest ancestor, itself included, among ``shown``; the least of several as near.
+
+    ``parents`` are (child, parent) rows with any number of parents, cycles too.
+    What is shown spreads downward, and a node that has its nearest takes no
+    other, so no list of all ancestors is made.  Rows go to one task if they are
+    *counted* to be at most ``local_edges``; beyond that, each round settles the
+    nodes one level further down.
+    """
+    own = shown.select("node").filter("node is not null").distinct()
+    steps = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")).filter("src is not null and dst is not null").distinct()
+    live = materialise(steps.withColumn("step", F.lit(True)).union(own.select("node", "node", F.lit(False))), "shown")
+    if live.count() <= local_edges:
+        found = _local_spread(live)
+    else:
+        found = frontier = materialise(live.filter("not step").select(F.col("src").alias("node"), F.col("dst").alias("shown")), "shown")
+        steps = live.filter("step").select(F.col("src").alias("child"), F.col("dst").alias("node"))
+        while True:
+            new = frontier.join(steps, "node").groupBy(F.col("child").alias("node")).agg(F.min("shown").alias("shown"))
+            new = materialise(new.join(found.select("node"), "node", "left_anti"), "shown")
+            if new.isEmpty():
+                break
+            found, frontier = found.unionByName(new), new
+    return found.join(nodes.select("node").union(parents.select("child")).distinct(), "node", "left_semi")
+
+
+def _local_spread(live: DataFrame) -> DataFrame:
+    """(node, shown) over rows (src, dst, step) known to be few: steps to a parent, or else what is shown; in one task."""
+    kind = live.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        below: dict = {}
+        best: dict = {}
+        for f in batches:
+            for a, b, step in zip(f["src"].tolist(), f["dst"].tolist(), f["step"].tolist()):
+                if step:
+                    below.setdefault(b, []).append(a)
+                else:
+                    best[a] = a
+        level = dict(best)
+        while level:
+            new: dict = {}
+            for node, least in level.items():
+                for child in below.get(node, ()):
+                    if child not in best and (child not in new or least < new[child]):
+                        new[child] = least
+            best.update(new)
+            level = new
+        yield pd.DataFrame({"node": list(best), "shown": list(best.values())})
+
+    return live.coalesce(1).mapInPandas(run, f"node {kind}, shown {kind}")
 
 
 def _local_components(live: DataFrame) -> DataFrame:

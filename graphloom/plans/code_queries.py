@@ -193,12 +193,16 @@ def res_base_types(spark: SparkSession, d: str) -> DataFrame:
     return imports.base_types(b, t, seen)
 
 
+def supplier_parents(spark: SparkSession, d: str) -> DataFrame:
+    """(child, parent): up to two parents of each type."""
+    s = table(spark, d, "supplier").filter("s_suppkey > 8").select(F.col("s_suppkey").alias("child"))
+    return s.withColumn("parent", F.col("child") - 1 - F.col("child") % 7).unionByName(s.withColumn("parent", F.floor(F.col("child") / 2)))
+
+
 @query("WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey - 1 - s_suppkey % 7 AS parent FROM supplier WHERE s_suppkey > 8 UNION SELECT s_suppkey, s_suppkey // 2 FROM supplier WHERE s_suppkey > 8), r AS (SELECT child AS node, parent AS ancestor, 1 AS level FROM e UNION SELECT r.node, e.parent, r.level + 1 FROM r JOIN e ON e.child = r.ancestor) SELECT node, ancestor, min(level) AS level FROM r GROUP BY ALL")
 def gr_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Every ancestor of every type that may have several parents, nearest level, however deep."""
-    s = table(spark, d, "supplier").filter("s_suppkey > 8").select(F.col("s_suppkey").alias("child"))
-    up = s.withColumn("parent", F.col("child") - 1 - F.col("child") % 7).unionByName(s.withColumn("parent", F.floor(F.col("child") / 2)))
-    return graph.hierarchy_levels(up)
+    return graph.hierarchy_levels(supplier_parents(spark, d))
 
 
 @query("WITH x AS (SELECT l_orderkey AS site, o_custkey % 100 AS file, 'm' || (l_suppkey % 10) || '.n' || (l_partkey % 10) AS module, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey), i AS (SELECT DISTINCT c_custkey % 100 AS file, 'm' || (c_nationkey % 10) || CASE WHEN c_custkey % 2 = 0 THEN '.n' || (c_custkey % 10) || '.x' ELSE '' END AS module FROM customer), d AS (SELECT DISTINCT file, module FROM x), r AS (SELECT DISTINCT d.file, d.module FROM d JOIN i ON i.file = d.file AND (starts_with(d.module || '.', i.module || '.') OR starts_with(i.module || '.', d.module || '.'))) SELECT r.file IS NOT NULL AS reachable, count(*) AS candidates FROM x LEFT JOIN r USING (file, module) GROUP BY 1")

@@ -113,10 +113,10 @@ def snk_segment(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT s_suppkey AS child, s_suppkey - 1 - s_suppkey % 7 AS parent FROM supplier WHERE s_suppkey > 8 UNION SELECT s_suppkey, s_suppkey // 2 FROM supplier WHERE s_suppkey > 8), r AS (SELECT s_suppkey AS node, s_suppkey AS ancestor, 0 AS level FROM supplier UNION SELECT r.node, e.parent, r.level + 1 FROM r JOIN e ON e.child = r.ancestor), v AS (SELECT s_suppkey AS ancestor FROM supplier WHERE s_suppkey % 6 = 0), m AS (SELECT node, ancestor, min(level) AS level FROM r SEMI JOIN v USING (ancestor) GROUP BY ALL) SELECT node, ancestor AS shown FROM m QUALIFY row_number() OVER (PARTITION BY node ORDER BY level, ancestor) = 1")
 def gr_nearest_visible(spark: SparkSession, d: str) -> DataFrame:
     """Each node's nearest visible ancestor, itself included, among several parents."""
-    from graphloom.plans.code_queries import gr_ancestors
+    from graphloom.plans.code_queries import supplier_parents
 
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    return graph.nearest_visible(gr_ancestors(spark, d), s.filter("node % 6 = 0"), s)
+    return graph.nearest_visible(supplier_parents(spark, d), s.filter("node % 6 = 0"), s)
 
 
 @query("SELECT s_suppkey AS segment FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey % 90 FROM customer WHERE c_nationkey < 20)")

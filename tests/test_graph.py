@@ -195,3 +195,31 @@ def test_levels_take_few_rounds(spark, monkeypatch):
     for local_edges in (G.LOCAL_EDGES, 0):
         written.clear()
         assert G.hierarchy_levels(chain, local_edges=local_edges).agg(F.count("*"), F.max("level")).first() == (119 * 120 // 2, 119) and len(written) < 12
+
+
+@pytest.mark.parametrize("local_edges", [G.LOCAL_EDGES, 0])
+def test_nearest_visible_lists_no_ancestors(spark, monkeypatch, local_edges):
+    def want(rows, shown, nodes):
+        up, out = {}, set()
+        for c, p in rows:
+            up.setdefault(c, set()).add(p)
+        for n in {*nodes, *up}:
+            at, seen = {n}, {n}
+            while at and not at & shown:
+                at = {p for x in at for p in up.get(x, ()) if p is not None} - seen
+                seen |= at
+            out |= {(n, min(at & shown))} if at else set()
+        return out
+
+    monkeypatch.setattr(G, "hierarchy_levels", None)
+    rng = random.Random(6)
+    for rows, shown, nodes in (
+        ([(i, i - 1 - i % 7) for i in range(9, 90)] + [(i, i // 2) for i in range(9, 90)], {x for x in range(90) if x % 6 == 0}, set(range(90))),
+        ([(rng.randrange(40), rng.randrange(40)) for _ in range(60)], {3, 7, 20}, {1, 2, 3, 99}),
+        ([(1, 1), (1, 2), (2, 1), (3, None), (4, 5)], {5, 3}, {3, 6}),
+        ([], {1}, {1, 2}),
+    ):
+        ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "node bigint")
+        got = G.nearest_visible(spark.createDataFrame(rows, "child bigint, parent bigint"), ids(shown), ids(nodes), local_edges)
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want(rows, shown, nodes)
